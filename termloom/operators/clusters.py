@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,15 +17,17 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.functions import vectors
 from termloom.operators.lsa import column_signs
-from termloom.settings import BLOCK_ROWS, BROADCAST_BYTES
+from termloom.settings import BLOCK_ROWS, BROADCAST_BYTES, stored
 
-# Restarts, seed and iteration limit of k-means, the swept range, the default k.
+# Restarts, seed, iteration limit and tolerance of k-means, the swept range, the default k.
 RESTARTS = 10
 SEED = 42
 MAX_ITERATIONS = 300
+TOLERANCE = 1e-4
 SWEEP = range(2, 15)
 DEFAULT_K = 5
 
@@ -52,24 +54,173 @@ def with_vector(points: DataFrame) -> DataFrame:
     return points.withColumn("vector", array_to_vector("features"))
 
 
-def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """The cheapest of `restarts` fits. `points` has a `vector` column and should be cached."""
-    best = None
-    for restart in range(restarts):
-        model = KMeans(
-            k=k, seed=seed + restart, maxIter=MAX_ITERATIONS, featuresCol="vector", predictionCol="cluster"
-        ).fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def kmeans(points: DataFrame, key: str, k: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """(cluster, center) of the cheapest of `restarts` fits."""
+    return _center_table(points.sparkSession, fit_centers(points, key, [k], restarts, seed)[k])
 
 
-def model_centers(spark: SparkSession, model: KMeansModel) -> DataFrame:
-    """(cluster, center) of a fitted model."""
-    rows = [(i, center.tolist()) for i, center in enumerate(model.clusterCenters())]
+def _center_table(spark: SparkSession, centers: np.ndarray) -> DataFrame:
+    rows = [(i, center.tolist()) for i, center in enumerate(centers)]
     return spark.createDataFrame(rows, "cluster int, center array<double>")
 
 
+def fit_centers(
+    points: DataFrame,
+    key: str,
+    ks,
+    restarts: int = RESTARTS,
+    seed: int = SEED,
+    max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
+) -> dict[int, np.ndarray]:
+    """Centres of the cheapest of `restarts` k-means fits, for every k of `ks`.
+
+    All fits advance together: one pass over the points serves every k and every restart, so
+    the number of passes is that of the slowest fit, not the sum of all. The driver holds only
+    centres. A fit rests once its centres move less than `tolerance` times the mean variance.
+    """
+    ks = sorted(set(ks))
+    rows = points.select(F.xxhash64(key, F.lit(seed)).alias("_hash"), "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        variance = rows.select(Summarizer.variance(array_to_vector("features"))).first()[0].toArray().mean()
+        seeds = _seed_centers(rows, max(ks), restarts)
+        fits = {(k, r): seeds[r][:k] for k in ks for r in range(restarts)}
+        moving = set(fits)
+        for _ in range(max_iterations):
+            updated, _costs = _lloyd_step(rows, {name: fits[name] for name in moving})
+            for name, centers in updated.items():
+                if ((centers - fits[name]) ** 2).sum() <= tolerance * variance:
+                    moving.discard(name)
+                fits[name] = centers
+            if not moving:
+                break
+        _, costs = _lloyd_step(rows, fits)
+    finally:
+        rows.unpersist()
+    return {k: fits[min(((k, r) for r in range(restarts)), key=costs.get)] for k in ks}
+
+
+def _seed_centers(rows: DataFrame, k: int, restarts: int) -> np.ndarray:
+    """k starting centres per restart, each drawn with odds in proportion to the squared distance
+    to the nearest one so far.
+
+    A row draws log(u) / distance2 with u from its hash, and the largest draw wins: the same
+    odds as sampling from the whole table, with one row per task and restart to compare.
+    """
+    spark = rows.sparkSession
+    schema = "restart int, draw double, features array<double>"
+    chosen = None
+    for step in range(k):
+        known = spark.sparkContext.broadcast(chosen)
+        draws = rows.mapInArrow(_draw_task(known, step, restarts), schema)
+        best = draws.groupBy("restart").agg(F.max_by("features", F.struct("draw", "features")).alias("features"))
+        found = np.array([r.features for r in best.orderBy("restart").collect()])[:, None, :]
+        chosen = found if chosen is None else np.concatenate([chosen, found], axis=1)
+    return chosen
+
+
+def _draw_task(known, step: int, restarts: int):
+    def mixed(values):
+        import numpy as np
+
+        # The SplitMix64 finalizer.
+        values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return values ^ (values >> np.uint64(31))
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centers = known.value
+        best_draw, best_row = np.full(restarts, -np.inf), [None] * restarts
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for restart in range(restarts):
+                stream = mixed(np.array([step * 1_000_003 + restart + 1], dtype=np.uint64))
+                u = (mixed(hashes ^ stream) >> np.uint64(11)).astype(float) + 0.5
+                weight = np.ones(len(x))
+                if centers is not None:
+                    weight = np.min([((x - c) ** 2).sum(axis=1) for c in centers[restart]], axis=0)
+                draws = np.full(len(x), -np.finfo(float).max)
+                np.divide(np.log(u / 2.0**53), weight, out=draws, where=weight > 0)
+                row = int(draws.argmax())
+                if best_row[restart] is None or draws[row] > best_draw[restart]:
+                    best_draw[restart], best_row[restart] = draws[row], x[row].copy()
+        found = [r for r in range(restarts) if best_row[r] is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array(best_draw[found]),
+                 pa.array([best_row[r] for r in found], pa.list_(pa.float64()))],
+                names=["restart", "draw", "features"],
+            )
+
+    return draw
+
+
+def _lloyd_step(rows: DataFrame, fits: dict) -> tuple[dict, dict]:
+    """New centres and current cost of several fits from one pass over the points.
+
+    A task returns one row of sums per centre, so what is shuffled does not grow with the
+    points of a task. A centre without points stays where it is.
+    """
+    names = sorted(fits)
+    ends = np.cumsum([len(fits[name]) for name in names])
+    state = rows.sparkSession.sparkContext.broadcast((np.concatenate([fits[name] for name in names]), ends))
+    sums = rows.mapInArrow(_sum_task(state), "slot int, members double, cost double, total array<double>")
+    reduced = sums.groupBy("slot").agg(
+        F.sum("members").alias("members"),
+        F.sum("cost").alias("cost"),
+        Summarizer.sum(array_to_vector("total")).alias("total"),
+    )
+    centers, cost = state.value[0].copy(), np.zeros(ends[-1])
+    for row in reduced.collect():
+        cost[row.slot] = row.cost
+        if row.members:
+            centers[row.slot] = row.total.toArray() / row.members
+    starts = [0, *ends[:-1]]
+    return (
+        {name: centers[a:b] for name, a, b in zip(names, starts, ends)},
+        {name: float(cost[a:b].sum()) for name, a, b in zip(names, starts, ends)},
+    )
+
+
+def _sum_task(state):
+    def sum_up(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centers, ends = state.value
+        center_norm = (centers * centers).sum(axis=1)
+        members, cost = np.zeros(len(centers)), np.zeros(len(centers))
+        total = np.zeros_like(centers)
+        step = max(1, 4_000_000 // len(centers))
+        for batch in batches:
+            points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for start in range(0, len(points), step):
+                x = points[start : start + step]
+                distance2 = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centers.T) + center_norm
+                nearest = np.zeros_like(distance2)
+                low = 0
+                for high in ends:
+                    nearest[np.arange(len(x)), low + distance2[:, low:high].argmin(axis=1)] = 1.0
+                    low = high
+                members += nearest.sum(axis=0)
+                cost += (nearest * np.maximum(distance2, 0.0)).sum(axis=0)
+                total += nearest.T @ x
+        slots = np.nonzero(members)[0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slots.astype(np.int32)), pa.array(members[slots]), pa.array(cost[slots]),
+             pa.array(list(total[slots]), pa.list_(pa.float64()))],
+            names=["slot", "members", "cost", "total"],
+        )
+
+    return sum_up
+
+
 def cluster_means(points: DataFrame, label: str = "cluster") -> DataFrame:
     """(cluster, center): mean vector per label, combined map-side."""
     return (
@@ -82,31 +233,44 @@ def cluster_means(points: DataFrame, label: str = "cluster") -> DataFrame:
 def assigned(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Add `cluster` and `distance2` of the nearest centre; ties go to the lower cluster.
 
-    The centres (k rows, far below the broadcast bound) travel with the task; points stay put.
+    The centres (k rows, checked against the broadcast bound) travel with the task; points
+    stay put.
     """
     rows = centers.orderBy("cluster").collect()
-    if len(rows) * len(rows[0].center) * 8 > BROADCAST_BYTES:
-        raise ValueError(f"{len(rows)} centres are too many to send to every task")
-    labels = [r.cluster for r in rows]
-    matrix = points.sparkSession.sparkContext.broadcast([r.center for r in rows])
+    labels = np.array([r.cluster for r in rows], dtype=np.int32)
+    return _with_nearest(points, {"cluster": np.array([r.center for r in rows])}, labels, distance="distance2")
+
+
+def _with_nearest(points: DataFrame, centers: dict, labels=None, distance: str | None = None) -> DataFrame:
+    """One label column per entry of `centers`, in one pass."""
+    size = sum(c.nbytes for c in centers.values())
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"{size} bytes of centres are too many to send to every task")
+    matrices = points.sparkSession.sparkContext.broadcast(centers)
     position = points.columns.index("features")
 
     def nearest(batches):
         import numpy as np
         import pyarrow as pa
 
-        centers_ = np.array(matrix.value)
         for batch in batches:
             x = batch.column(position).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            distance2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centers_], axis=1)
-            best = distance2.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.array(labels, dtype=np.int32)[best]),
-                 pa.array(distance2[np.arange(len(best)), best])],
-                names=[*batch.schema.names, "cluster", "distance2"],
-            )
-
-    schema = points.select("*").schema.add("cluster", "int").add("distance2", "double")
+            columns, names = list(batch.columns), list(batch.schema.names)
+            for name, matrix in matrices.value.items():
+                distance2 = np.stack([((x - c) ** 2).sum(axis=1) for c in matrix], axis=1)
+                best = distance2.argmin(axis=1)
+                columns.append(pa.array((best if labels is None else labels[best]).astype(np.int32)))
+                names.append(name)
+            if distance:
+                columns.append(pa.array(distance2.min(axis=1)))
+                names.append(distance)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = points.select("*").schema
+    for name in centers:
+        schema = schema.add(name, T.IntegerType())
+    if distance:
+        schema = schema.add(distance, T.DoubleType())
     return points.mapInArrow(nearest, schema)
 
 
@@ -127,9 +291,7 @@ def silhouette(
     """
     if metric == SQUARED_EUCLIDEAN:
         return _silhouette_squared(points, labelings)
-    sizes = {
-        name: {r[0]: r[1] for r in points.groupBy(name).count().orderBy(name).collect()} for name in labelings
-    }
+    sizes = _sizes(points, labelings)
     if min(len(s) for s in sizes.values()) < 2:
         raise ValueError("a silhouette needs at least two clusters")
     # Slots number the clusters of all labelings one after another.
@@ -140,7 +302,7 @@ def silhouette(
     slot_columns = []
     for name in labelings:
         slot_of = F.create_map(*[F.lit(x) for pair in slots[name].items() for x in pair])
-        slot_columns.append(slot_of[F.col(name)])
+        slot_columns.append(slot_of[F.col(name).cast("int")])
     keyed = points.select(F.col(key).alias("_key"), "features", F.array(*slot_columns).alias("_slots"))
 
     sums = _distance_sums(keyed, len(counts), max_bytes, block_rows)
@@ -148,6 +310,15 @@ def silhouette(
     return _mean_silhouettes(sums, labelings, bounds, counts)
 
 
+def _sizes(points: DataFrame, labelings: list[str]) -> dict[str, dict[int, int]]:
+    """Members per cluster of every labeling, from one pass."""
+    labels = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("labeling"), F.col(name).cast("int").alias("label")) for name in labelings
+    ]))
+    counted = points.select(labels.alias("l")).groupBy("l.labeling", "l.label").count().orderBy("label").collect()
+    return {name: {r.label: r["count"] for r in counted if r.labeling == name} for name in labelings}
+
+
 def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int) -> DataFrame:
     """(_slots, sums): for every point its summed distance to the members of every slot."""
     rows, size = keyed.agg(F.count("*"), F.max(F.size("features"))).first()
@@ -169,12 +340,16 @@ def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int
     block = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = keyed.withColumn("_l", block).select("*", other.alias("_r"))
-    right = keyed.select("features", "_slots", block.alias("_r")).select("*", other.alias("_l"))
+    # Both sides are one table; new columns keep their attributes apart.
+    right = keyed.select(
+        F.col("features").alias("_f"), F.col("_slots").alias("_s"), block.alias("_r")
+    ).select("*", other.alias("_l"))
 
     def pair(a, b):
-        return a.select(["_key", "_slots"]).append_column("sums", sums_between(a, b))
+        members = b.select(["_f", "_s"]).rename_columns(["features", "_slots"])
+        return a.select(["_key", "_slots"]).append_column("sums", sums_between(a, members))
 
-    schema = keyed.select("_key", "_slots").schema.add("sums", "array<double>")
+    schema = keyed.select("_key", "_slots").schema.add("sums", T.ArrayType(T.DoubleType()))
     partial = left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r")).applyInArrow(pair, schema)
     return partial.groupBy("_key").agg(
         F.first("_slots").alias("_slots"),
@@ -256,20 +431,14 @@ def silhouette_sweep(
 ) -> DataFrame:
     """(k, silhouette) for every k, on the vectors as they are.
 
-    All labelings are evaluated together, so distances are taken once and not once per k.
+    All fits share their passes and all labelings are scored from the same distances.
     """
-    cached = with_vector(points.select(key, "features")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        labeled = cached
-        for k in ks:
-            model = kmeans(cached, k, restarts, seed)
-            model.setPredictionCol(f"k{k}")
-            labeled = model.transform(labeled)
-        scores = silhouette(labeled, [f"k{k}" for k in ks], key, metric)
-        rows = scores.select(F.substring("labeling", 2, 9).cast("int").alias("k"), "silhouette").collect()
-    finally:
-        cached.unpersist()
-    return points.sparkSession.createDataFrame(rows, "k int, silhouette double")
+    rows = points.select(key, "features")
+    centers = fit_centers(rows, key, ks, restarts, seed)
+    # Stored, because the score reads the labels three times.
+    labeled = stored(_with_nearest(rows, {f"k{k}": centers[k] for k in centers}), "sweep_labels")
+    scores = silhouette(labeled, [f"k{k}" for k in centers], key, metric)
+    return scores.select(F.substring("labeling", 2, 9).cast("int").alias("k"), "silhouette")
 
 
 def pick_k(scores: DataFrame, mode: str = "fixed", k: int = DEFAULT_K) -> DataFrame:
@@ -282,17 +451,12 @@ def pick_k(scores: DataFrame, mode: str = "fixed", k: int = DEFAULT_K) -> DataFr
 
 
 def final_clusters(
-    points: DataFrame, k: int = DEFAULT_K, restarts: int = RESTARTS, seed: int = SEED
+    points: DataFrame, key: str, k: int = DEFAULT_K, restarts: int = RESTARTS, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
     """Normalise, cluster, label: (points with `cluster`, centres)."""
     unit_points = normalized(points)
-    cached = with_vector(unit_points).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = kmeans(cached, k, restarts, seed)
-    finally:
-        cached.unpersist()
-    labeled = model.transform(with_vector(unit_points)).drop("vector")
-    return labeled, model_centers(points.sparkSession, model)
+    centers = fit_centers(unit_points, key, [k], restarts, seed)[k]
+    return _with_nearest(unit_points, {"cluster": centers}), _center_table(points.sparkSession, centers)
 
 
 class Projection:

@@ -15,6 +15,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.settings import BROADCAST_BYTES
 
@@ -159,7 +160,7 @@ def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "feature
             embedding = pa.ListArray.from_arrays(offsets, pa.array(product.ravel()))
             yield pa.RecordBatch.from_arrays([*kept, embedding], names=[*others, "embedding"])
 
-    schema = features.select(*others).schema.add("embedding", "array<double>")
+    schema = features.select(*others).schema.add("embedding", T.ArrayType(T.DoubleType()))
     return unpacked.mapInArrow(multiply, schema)
 
 
@@ -170,7 +171,7 @@ def _project_by_join(features: DataFrame, term_vectors: DataFrame, vector: str,
     raw = F.unwrap_udt(F.col(vector))
     cells = keyed.select(key, F.explode(F.arrays_zip(raw["indices"], raw["values"])).alias("e"))
     parts = (
-        cells.select(key, F.col("e.0").alias("term_id"), F.col("e.1").alias("x"))
+        cells.select(key, F.col("e.indices").alias("term_id"), F.col("e.values").alias("x"))
         .join(term_vectors.select("term_id", "v"), "term_id")
         .select(key, "x", F.posexplode("v").alias("topic", "w"))
         .groupBy(key, "topic")

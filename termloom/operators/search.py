@@ -205,6 +205,8 @@ def batch_nearest(
         partial = table.mapInArrow(scan, schema)
     else:
         rows = table.count()
+        # Both sides may come from one table; a new column keeps their attributes apart.
+        queries = queries.select("_query", F.col("embedding").alias("_wanted"))
         query_blocks = max(1, math.ceil(count / block_rows))
         table_blocks = max(1, math.ceil(rows / block_rows))
         left = _in_blocks(queries, "_query", query_blocks, "_qb").select(
@@ -216,7 +218,7 @@ def batch_nearest(
         partial = (
             left.groupBy("_qb", "_tb")
             .cogroup(right.groupBy("_qb", "_tb"))
-            .applyInArrow(lambda q, t: best_of(q, t), schema)
+            .applyInArrow(lambda q, t: best_of(q.rename_columns({"_wanted": "embedding"}), t), schema)
         )
 
     tie = F.col("_key").asc() if ties == "key" else F.col("_label").desc()

@@ -158,7 +158,7 @@ def entries(df: DataFrame, vector: str, value: str = "value") -> DataFrame:
     others = [c for c in df.columns if c != vector]
     return (
         df.select(*others, F.explode(F.arrays_zip(raw["indices"], raw["values"])).alias("e"))
-        .select(*others, F.col("e.0").alias("term_id"), F.col("e.1").alias(value))
+        .select(*others, F.col("e.indices").alias("term_id"), F.col("e.values").alias(value))
     )
 
 
@@ -171,7 +171,7 @@ def top_terms(weights: DataFrame, vocab: DataFrame, n: int, key: str = "doc_id",
     by_weight = F.array_sort(
         F.transform(
             F.arrays_zip(raw["indices"], raw["values"]),
-            lambda e: F.struct((-e["1"]).alias("order"), e["0"].alias("term_id")),
+            lambda e: F.struct((-e["values"]).alias("order"), e["indices"].alias("term_id")),
         )
     )
     best = weights.select(key, F.posexplode(F.slice(by_weight, 1, n)).alias("pos", "e")).select(

@@ -74,7 +74,7 @@ class Explorer:
         )
         scores = clusters.silhouette_sweep(points, "term", ks, restarts)
         best_k = clusters.pick_k(scores, mode, k).first().k
-        labeled, centers = clusters.final_clusters(points, best_k, restarts)
+        labeled, centers = clusters.final_clusters(points, "term", best_k, restarts)
         projection = clusters.Projection(clusters.normalized(points))
         return ClusterReport(
             silhouettes=scores,

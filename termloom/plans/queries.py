@@ -602,11 +602,9 @@ def pca_covariance(spark, sf_dir):
 
 
 def kmeans(spark, sf_dir):
-    points = clusters.with_vector(_points(spark, sf_dir).select("vec_id", "features"))
-    cached = points.persist()
-    model = clusters.kmeans(cached, clusters.DEFAULT_K)
-    cached.unpersist()
-    return clusters.cluster_sizes(model.transform(points))
+    points = _points(spark, sf_dir).select("vec_id", "features")
+    centers = clusters.kmeans(points, "vec_id", clusters.DEFAULT_K)
+    return clusters.cluster_sizes(clusters.assigned(points, centers))
 
 
 def silhouette_sweep(spark, sf_dir):
@@ -614,7 +612,7 @@ def silhouette_sweep(spark, sf_dir):
 
 
 def final_clusters(spark, sf_dir):
-    labeled, _ = clusters.final_clusters(_points(spark, sf_dir))
+    labeled, _ = clusters.final_clusters(_points(spark, sf_dir), "vec_id")
     return clusters.cluster_sizes(labeled)
 
 
@@ -625,7 +623,7 @@ def pca_2d(spark, sf_dir):
 
 def scatter_table(spark, sf_dir):
     points = _points(spark, sf_dir).select("vec_id", "features")
-    labeled, centers = clusters.final_clusters(points)
+    labeled, centers = clusters.final_clusters(points, "vec_id")
     return clusters.scatter_table(labeled, centers, clusters.Projection(clusters.normalized(points)))
 
 
