@@ -41,9 +41,8 @@ MARKUP_RULES_V1 = (
     (rf"[{WIDE_SPACE}]+", " "),
 )
 
-# Tokens are runs of ASCII letters, two or more.
-TOKEN_BREAK = "[^A-Za-z]+"
-MIN_TOKEN_LENGTH = 2
+# Fixed value: a token is a run of two or more ASCII letters in lower-cased text.
+TOKEN = "[a-z]{2,}"
 
 
 def _replace_all(text: Column, rules) -> Column:
@@ -69,9 +68,7 @@ def collapse_links(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII letters, in text order."""
-    return F.filter(
-        F.split(F.lower(text), TOKEN_BREAK), lambda token: F.length(token) >= MIN_TOKEN_LENGTH
-    )
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def without_stopwords(tokens: Column, words: Iterable[str] = ENGLISH) -> Column:

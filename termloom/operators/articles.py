@@ -29,12 +29,14 @@ def articles(pages: DataFrame) -> DataFrame:
 
 
 def article_text(article_rows: DataFrame, clean=strip_markup) -> DataFrame:
-    """Replace raw_text by its cleaned text and drop rows left empty."""
-    return (
-        article_rows.withColumn("text", clean(F.col("raw_text")))
-        .drop("raw_text")
-        .filter(F.length("text") > 0)
-    )
+    """Replace raw_text by its cleaned text and drop rows left empty.
+
+    The text passes through a one-element array, so that the filter on its length does not
+    compute the cleaning a second time below the projection.
+    """
+    kept = F.filter(F.array(clean(F.col("raw_text"))), lambda text: F.length(text) > 0)
+    others = [c for c in article_rows.columns if c != "raw_text"]
+    return article_rows.select(*others, F.explode_outer(kept).alias("text")).filter(F.col("text").isNotNull())
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = SAMPLE_SEED) -> DataFrame:
@@ -65,6 +67,21 @@ def cap_rows(df: DataFrame, limit: int, key: str | None = None) -> DataFrame:
     return df.filter(F.col(key) <= last.scalar())
 
 
+def splits(scan: DataFrame) -> int:
+    """Partitions of a plain scan; planning only, no job runs."""
+    return scan.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """Round-robin the rows when the source has too few splits; 0 leaves the layout to Spark."""
+    """Deal the rows out evenly over `partitions`."""
     return df.repartition(partitions) if partitions > 0 else df
+
+
+def spread_scan(scan: DataFrame, at_least: int | None = None) -> DataFrame:
+    """Deal out a scan that has fewer splits than tasks could run; leave a larger one alone.
+
+    A table of many files is never shuffled by this. One file of one row group, whatever its
+    rows cost to process, would otherwise keep a single core busy.
+    """
+    wanted = at_least or scan.sparkSession.sparkContext.defaultParallelism
+    return spread(scan, wanted) if splits(scan) < wanted else scan

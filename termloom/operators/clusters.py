@@ -174,13 +174,13 @@ def _lloyd_step(rows: DataFrame, fits: dict) -> tuple[dict, dict]:
     reduced = sums.groupBy("slot").agg(
         F.sum("members").alias("members"),
         F.sum("cost").alias("cost"),
-        Summarizer.sum(array_to_vector("total")).alias("total"),
-    )
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+    ).toArrow()
+    slots = reduced.column("slot").to_numpy()
+    total = reduced.column("total").combine_chunks().flatten().to_numpy().reshape(len(slots), -1)
     centers, cost = state.value[0].copy(), np.zeros(ends[-1])
-    for row in reduced.collect():
-        cost[row.slot] = row.cost
-        if row.members:
-            centers[row.slot] = row.total.toArray() / row.members
+    cost[slots] = reduced.column("cost").to_numpy()
+    centers[slots] = total / reduced.column("members").to_numpy()[:, None]
     starts = [0, *ends[:-1]]
     return (
         {name: centers[a:b] for name, a, b in zip(names, starts, ends)},
@@ -212,9 +212,10 @@ def _sum_task(state):
                 cost += (nearest * np.maximum(distance2, 0.0)).sum(axis=0)
                 total += nearest.T @ x
         slots = np.nonzero(members)[0]
+        offsets = pa.array(np.arange(len(slots) + 1) * centers.shape[1], pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array(slots.astype(np.int32)), pa.array(members[slots]), pa.array(cost[slots]),
-             pa.array(list(total[slots]), pa.list_(pa.float64()))],
+             pa.ListArray.from_arrays(offsets, pa.array(total[slots].ravel()))],
             names=["slot", "members", "cost", "total"],
         )
 

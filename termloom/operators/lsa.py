@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.operators.joins import salted_join
+from termloom.operators.terms import entries
 from termloom.settings import BROADCAST_BYTES
 
 # Fixed value: terms listed per topic.
@@ -111,19 +113,23 @@ def _times(vector: Column, factors: list[float]) -> Column:
 
 
 def project_documents(
-    features: DataFrame, term_vectors: DataFrame, vector: str = "features", max_bytes: int = BROADCAST_BYTES
+    features: DataFrame,
+    term_vectors: DataFrame,
+    vector: str = "features",
+    key: str = "doc_id",
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows of A times V under their own columns: (..., embedding).
 
     Up to `max_bytes` V is sent to the executors and each Arrow batch is multiplied there; no
-    row moves. A larger V is joined to the stored entries by term instead. A document without
-    any vocabulary term gets the zero vector.
+    row moves. A larger V is joined to the stored entries by term instead, and `key` has to be
+    unique. A document without any vocabulary term gets the zero vector.
     """
     terms, width = term_vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     if not terms:
         raise ValueError("there are no term vectors to project on")
     if terms * width * 8 > max_bytes:
-        return _project_by_join(features, term_vectors, vector, width)
+        return _project_by_join(features, term_vectors, vector, key, width)
     table = term_vectors.select("term_id", "v").orderBy("term_id").toArrow()
     if table.column("term_id").to_numpy().tolist() != list(range(terms)):
         raise ValueError("term ids must run from 0 without gaps")
@@ -164,15 +170,13 @@ def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "feature
     return unpacked.mapInArrow(multiply, schema)
 
 
-def _project_by_join(features: DataFrame, term_vectors: DataFrame, vector: str, width: int) -> DataFrame:
+def _project_by_join(
+    features: DataFrame, term_vectors: DataFrame, vector: str, key: str, width: int
+) -> DataFrame:
     others = [c for c in features.columns if c != vector]
-    keyed = features.withColumn("_row", F.xxhash64(*others)) if "doc_id" not in others else features
-    key = "doc_id" if "doc_id" in others else "_row"
-    raw = F.unwrap_udt(F.col(vector))
-    cells = keyed.select(key, F.explode(F.arrays_zip(raw["indices"], raw["values"])).alias("e"))
+    cells = entries(features.select(key, vector), vector, "x")
     parts = (
-        cells.select(key, F.col("e.indices").alias("term_id"), F.col("e.values").alias("x"))
-        .join(term_vectors.select("term_id", "v"), "term_id")
+        salted_join(cells, term_vectors.select("term_id", "v"), "term_id")
         .select(key, "x", F.posexplode("v").alias("topic", "w"))
         .groupBy(key, "topic")
         .agg(F.sum(F.col("x") * F.col("w")).alias("value"))
@@ -180,7 +184,7 @@ def _project_by_join(features: DataFrame, term_vectors: DataFrame, vector: str,
         .agg(F.sort_array(F.collect_list(F.struct("topic", "value"))).alias("parts"))
     )
     zero = F.array_repeat(F.lit(0.0), width)
-    return keyed.join(parts, key, "left").select(
+    return features.join(parts, key, "left").select(
         *others, F.coalesce(F.col("parts.value"), zero).alias("embedding")
     )
 

@@ -12,11 +12,11 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.text import tokenize, without_stopwords
-from termloom.settings import LEXICON_ROWS
+from termloom.operators.joins import salted_join
+from termloom.settings import LEXICON_ROWS, STOPWORD_ROWS
 
 
 def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGLISH) -> DataFrame:
@@ -25,11 +25,16 @@ def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGL
 
 
 def without_listed(df: DataFrame, stop_table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Drop the words of a stop-word table (column `word`) of any size; arrays keep their order."""
-    kept = (
-        df.select(key, F.posexplode("tokens").alias("pos", "token"))
-        .join(stop_table.select(F.lower("word").alias("token")).distinct(), "token", "left_anti")
-    )
+    """Drop the words of a stop-word table (column `word`) of any size; arrays keep their order.
+
+    Up to STOPWORD_ROWS words become a literal set and no row moves. More are anti-joined.
+    """
+    words = stop_table.select(F.lower("word").alias("word")).dropna().distinct()
+    listed = [r.word for r in words.limit(STOPWORD_ROWS + 1).collect()]
+    if len(listed) <= STOPWORD_ROWS:
+        return df.withColumn("tokens", without_stopwords(F.col("tokens"), listed))
+    rows = numbered(df, "tokens", "token", key)
+    kept = salted_join(rows, words.withColumnRenamed("word", "token"), "token", "left_anti")
     return _regrouped(df, kept, key)
 
 
@@ -69,15 +74,12 @@ def _lemmatized_by_join(df: DataFrame, lexicon: DataFrame, key: str) -> DataFram
     forms = lexicon.dropna(subset=["form", "lemma"]).groupBy(F.col("form").alias("token")).agg(
         F.min("lemma").alias("lemma")
     )
-    looked_up = (
-        df.select(key, F.posexplode("tokens").alias("pos", "token"))
-        .join(forms, "token", "left")
-        .select(key, "pos", F.coalesce("lemma", "token").alias("token"))
-    )
-    return _regrouped(df, looked_up, key)
+    rows = salted_join(numbered(df, "tokens", "token", key), forms, "token", "left")
+    return _regrouped(df, rows.select(key, "pos", F.coalesce("lemma", "token").alias("token")), key)
 
 
 def _regrouped(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Put token rows back into the arrays of their documents; `key` is unique in `df`."""
     arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))
     empty = F.array().cast("array<string>")
     return df.join(arrays, key, "left").select(
@@ -98,19 +100,25 @@ def term_stats(tokens: DataFrame) -> DataFrame:
             array, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
         )
 
+    both = F.concat(marked(F.col("tokens"), 0, 1), marked(F.array_distinct("tokens"), 1, 0))
     return (
-        tokens.select(
-            F.explode(
-                F.concat(
-                    marked(F.col("tokens"), 0, 1), marked(F.array_distinct("tokens"), 1, 0)
-                )
-            ).alias("t")
-        )
+        _exploded(tokens, both, "t")
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
     )
 
 
+def _exploded(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
+    """One row per element. The outer form, because before an inner explode the optimizer adds a
+    size filter that computes the whole array a second time."""
+    return df.select(*kept, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def numbered(df: DataFrame, array: str, name: str, *kept: str) -> DataFrame:
+    """One row per element with its position: (kept, pos, name); see `_exploded`."""
+    return df.select(*kept, F.posexplode_outer(array).alias("pos", name)).filter(F.col("pos").isNotNull())
+
+
 def vocabulary(stats: DataFrame, min_df: int, vocab_size: int) -> DataFrame:
     """(term_id, term, df, cf): the `vocab_size` most frequent terms with df >= min_df.
 
@@ -156,9 +164,8 @@ def entries(df: DataFrame, vector: str, value: str = "value") -> DataFrame:
     """Sparse vectors as rows (..., term_id, value), one per stored entry; no shuffle."""
     raw = F.unwrap_udt(F.col(vector))
     others = [c for c in df.columns if c != vector]
-    return (
-        df.select(*others, F.explode(F.arrays_zip(raw["indices"], raw["values"])).alias("e"))
-        .select(*others, F.col("e.indices").alias("term_id"), F.col("e.values").alias(value))
+    return _exploded(df, F.arrays_zip(raw["indices"], raw["values"]), "e", *others).select(
+        *others, F.col("e.indices").alias("term_id"), F.col("e.values").alias(value)
     )
 
 
@@ -174,7 +181,7 @@ def top_terms(weights: DataFrame, vocab: DataFrame, n: int, key: str = "doc_id",
             lambda e: F.struct((-e["values"]).alias("order"), e["indices"].alias("term_id")),
         )
     )
-    best = weights.select(key, F.posexplode(F.slice(by_weight, 1, n)).alias("pos", "e")).select(
+    best = numbered(weights.withColumn("best", F.slice(by_weight, 1, n)), "best", "e", key).select(
         key, (F.col("pos") + 1).alias("rank"), F.col("e.term_id").alias("term_id"), (-F.col("e.order")).alias(value)
     )
     return best.join(vocab.select("term_id", "term"), "term_id").select(key, "rank", "term", value)

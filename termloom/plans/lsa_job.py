@@ -101,10 +101,13 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
 def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
     """Page dump to (title, tokens)."""
     read = pages.read_pages_inferred if params.infer_schema else pages.read_pages
-    rows = articles.cap_rows(read(spark, params.input), params.limit_pages)
-    rows = articles.articles(articles.sample_rows(rows, params.sample))
-    # The regular expressions dominate, so give them the partitions the reader could not.
-    rows = articles.spread(rows, params.partitions)
+    scan = read(spark, params.input)
+    few = articles.splits(scan) < params.partitions
+    rows = articles.sample_rows(articles.cap_rows(scan, params.limit_pages), params.sample)
+    rows = articles.articles(rows)
+    if few:
+        # The regular expressions dominate: deal out what the reader could not split.
+        rows = articles.spread(rows, params.partitions)
     text = articles.article_text(rows, strip_markup_v1 if params.clean_v1 else strip_markup)
     stopwords = ENGLISH
     if params.stopwords:

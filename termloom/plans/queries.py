@@ -37,7 +37,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return articles.spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _pages(spark, sf_dir):
@@ -50,7 +50,8 @@ def _pages(spark, sf_dir):
         F.lit("]]"),
     )
     source = F.col("source")
-    return _table(spark, sf_dir, "documents").select(
+    rows = articles.spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select(
         "doc_id",
         F.when(source == "src3", F.concat(name, F.lit(" (Disambiguation)"))).otherwise(name).alias("title"),
         F.when(source.isin("src5", "src9"), 1).otherwise(0).alias("ns"),
@@ -98,7 +99,7 @@ def _tf(spark, sf_dir):
 
 def _features(spark, sf_dir):
     vocab, tf = _tf(spark, sf_dir)
-    return vocab, terms.tfidf(tf, terms.idf_from_stats(vocab, _documents(spark, sf_dir).count()))
+    return vocab, terms.tfidf(tf, terms.idf_from_stats(vocab, _table(spark, sf_dir, "documents").count()))
 
 
 def _fixed_v(vocab):
@@ -131,7 +132,7 @@ def _model(spark, sf_dir):
 
 def _cells(df, array, *keys, name="value"):
     """An array column as rows (keys, pos, value), rounded for comparison."""
-    return df.select(*keys, F.posexplode(array).alias("pos", "_x")).select(
+    return terms.numbered(df, array, "_x", *keys).select(
         *keys, "pos", F.round("_x", 6).alias(name)
     )
 
@@ -167,7 +168,7 @@ def articles_filter(spark, sf_dir):
 
 def article_text_nonempty(spark, sf_dir):
     kept = articles.article_text(articles.articles(_pages(spark, sf_dir)))
-    return articles.spread(kept, 8).select("doc_id", "title", "text")
+    return kept.select("doc_id", "title", "text")
 
 
 def page_limit(spark, sf_dir):
@@ -207,7 +208,7 @@ def collapse_links(spark, sf_dir):
 
 
 def _token_rows(df):
-    return df.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return terms.numbered(df, "tokens", "token", "doc_id")
 
 
 def tokens(spark, sf_dir):
@@ -221,13 +222,13 @@ def tokens_no_stopwords(spark, sf_dir):
 def tokens_custom_stopwords(spark, sf_dir):
     """Own list: the terms that more than a fifth of the documents use."""
     all_tokens = terms.tokenized(_documents(spark, sf_dir), stopwords=())
-    documents = _documents(spark, sf_dir).agg(F.count("*")).scalar()
+    documents = _table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     common = terms.term_stats(all_tokens).filter(F.col("df") > COMMON_SHARE * documents)
     return _token_rows(terms.without_listed(all_tokens, common.select(F.col("term").alias("word"))))
 
 
 def _suffix_lexicon(spark, sf_dir):
-    found = _tokens(spark, sf_dir).select(F.explode("tokens").alias("form")).distinct()
+    found = terms.numbered(_tokens(spark, sf_dir), "tokens", "form").select("form").distinct()
     plural = F.col("form").endswith("s") & (F.length("form") >= 4)
     return found.filter(plural).select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
 
@@ -242,8 +243,9 @@ def normalize_title(spark, sf_dir):
 
 
 def normalize_query(spark, sf_dir):
-    words = text.normalize_query(F.col("text"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "word"))
+    turns = _table(spark, sf_dir, "conversations")
+    worded = turns.select("conv_id", "turn", text.normalize_query(F.col("text")).alias("words"))
+    return terms.numbered(worded, "words", "word", "conv_id", "turn")
 
 
 def term_stats(spark, sf_dir):

@@ -13,6 +13,8 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 8192
 # Largest term lexicon looked up from a broadcast map; a larger one is joined.
 LEXICON_ROWS = 500_000
+# Largest stop-word table that becomes a literal set in the plan; a larger one is joined.
+STOPWORD_ROWS = 10_000
 
 _fallback_dirs: dict[str, str] = {}
 
