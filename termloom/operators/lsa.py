@@ -138,7 +138,7 @@ def project_documents(
 
 
 def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "features") -> DataFrame:
-    """`project_documents` for a V that is already on the driver."""
+    """`project_documents` for a V on the driver whose size the caller has checked."""
     matrix = features.sparkSession.sparkContext.broadcast(v)
     width = v.shape[1]
     others = [c for c in features.columns if c != vector]
@@ -191,6 +191,8 @@ def _project_by_join(
 
 def left_vectors(features: DataFrame, factors: Factors, vector: str = "features") -> DataFrame:
     """Rows of U = A V / S under their own columns: (..., u)."""
+    if factors.v.nbytes > BROADCAST_BYTES:
+        raise ValueError("V is too large to send to every task: use project_documents, which gives U S")
     scaled = project_on_matrix(features, factors.v / factors.singular_values, vector)
     return scaled.withColumnRenamed("embedding", "u")
 

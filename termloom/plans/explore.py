@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions import vectors
 from termloom.functions.text import normalize_title
 from termloom.operators import clusters, lsa, search
 from termloom.settings import stored
@@ -26,7 +27,7 @@ class Explorer:
     """Loads the result tables of a job once and answers questions about them.
 
     The tables are JSON as the job writes it. They are keyed on load (terms by their order in
-    the files, documents by theirs) and stored as parquet, so searches scan columns.
+    the files, documents by theirs) and stored as parquet with their norms.
     """
 
     def __init__(self, spark: SparkSession, out: str, fmt: str = "json"):
@@ -39,6 +40,7 @@ class Explorer:
                 F.coalesce(F.col("term_id").cast("long"), F.monotonically_increasing_id()).alias("term_id"),
                 "term",
                 "embedding",
+                vectors.l2_norm(F.col("embedding")).alias("norm"),
             ),
             "explorer_terms",
         )
@@ -47,6 +49,7 @@ class Explorer:
                 F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).alias("doc_id"),
                 normalize_title(F.col("title")).alias("title"),
                 "embedding",
+                vectors.l2_norm(F.col("embedding")).alias("norm"),
             ),
             "explorer_docs",
         )

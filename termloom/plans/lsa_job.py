@@ -66,7 +66,7 @@ class LsaModel:
         return lsa.scaled_terms(self.term_vectors, self.factors.singular_values.tolist())
 
     def doc_embeddings(self) -> DataFrame:
-        return lsa.project_on_matrix(self.features, self.factors.v)
+        return lsa.project_documents(self.features, self.term_vectors)
 
     def doc_embeddings_us(self) -> DataFrame:
         u = lsa.left_vectors(self.features, self.factors)
@@ -77,7 +77,7 @@ class LsaModel:
 
 
 def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample: float = 1.0) -> LsaModel:
-    """Fit on a table of token arrays; its other columns are carried to the document rows.
+    """Fit on a table of token arrays with a unique doc_id; other columns are carried along.
 
     The tokens are read twice (vocabulary, counts), so they should be stored, not recomputed.
     With the vocabulary fitted on all rows its document frequencies also give the IDF weights,
@@ -99,7 +99,7 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
 
 
 def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
-    """Page dump to (title, tokens)."""
+    """Page dump to (doc_id, title, tokens). The ids number the rows; store the result once."""
     read = pages.read_pages_inferred if params.infer_schema else pages.read_pages
     scan = read(spark, params.input)
     few = articles.splits(scan) < params.partitions
@@ -108,6 +108,7 @@ def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
     if few:
         # The regular expressions dominate: deal out what the reader could not split.
         rows = articles.spread(rows, params.partitions)
+    rows = rows.withColumn("doc_id", F.monotonically_increasing_id())
     text = articles.article_text(rows, strip_markup_v1 if params.clean_v1 else strip_markup)
     stopwords = ENGLISH
     if params.stopwords:
@@ -115,8 +116,9 @@ def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
     tokens = terms.tokenized(text, stopwords=stopwords)
     if params.lexicon:
         lexicon = spark.read.schema("form string, lemma string").json(params.lexicon)
-        tokens = terms.lemmatized(tokens, lexicon, "title")
-    return tokens
+        # A large lexicon reads the tokens twice, and the new ids must not be drawn twice.
+        tokens = terms.lemmatized(stored(tokens, "raw_tokens"), lexicon)
+    return tokens.select("doc_id", "title", "tokens")
 
 
 def run(spark: SparkSession, params: LsaParams) -> LsaModel:

@@ -151,7 +151,7 @@ _PAIRS = f"""WITH {_VECS}, pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS term_id, 'v' || b.vec_id AS term, {_cosine('a.e', 'b.e')} AS score
   FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, term_id, term, round(score, 6) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, term DESC, term_id) AS rank FROM pairs)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {search.SCORE_DIGITS}) DESC, term DESC, term_id) AS rank FROM pairs)
 WHERE rank <= {search.TOP_RESULTS}"""
 
 
@@ -164,7 +164,7 @@ FROM (SELECT {listed}, unnest({array}) AS x, generate_subscripts({array}, 1) AS
 def _neighbors(mode: str) -> str:
     return f"""neighbor_rows AS (
   SELECT term, CAST(rank - 1 AS INTEGER) AS pos, neighbor, score
-  FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(score, 12) DESC, term_id) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(score, {search.SCORE_DIGITS}) DESC, term_id) AS rank
         FROM (SELECT s.term, c.term AS neighbor, c.term_id, {_cosine('s.e', 'c.e', mode)} AS score
               FROM (SELECT * FROM term_vecs WHERE term IN ({_word_list(q.SEEDS)})) s
               CROSS JOIN (SELECT * FROM term_vecs WHERE term_id < {search.SAMPLE_CANDIDATES}) c))
