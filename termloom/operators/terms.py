@@ -91,21 +91,14 @@ def _regrouped(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def term_stats(tokens: DataFrame) -> DataFrame:
     """Document frequency and collection frequency of every term.
 
-    Each document adds a (term, 1, 0) row per occurrence and a (term, 0, 1) row per distinct
-    term. That takes one aggregation by term, combined map-side, instead of a first one by
-    (document, term) that would shuffle the whole corpus.
+    Each document adds a row per occurrence and a row per distinct term. That takes one
+    aggregation by term, combined map-side, instead of a first one by (document, term) that
+    would shuffle the whole corpus. The tokens are read twice.
     """
-    def marked(array: Column, df: int, cf: int) -> Column:
-        return F.transform(
-            array, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
-        )
-
-    both = F.concat(marked(F.col("tokens"), 0, 1), marked(F.array_distinct("tokens"), 1, 0))
-    return (
-        _exploded(tokens, both, "t")
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
-    )
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    occurrences = _exploded(tokens, F.col("tokens"), "term").select("term", none.alias("df"), one.alias("cf"))
+    distinct = _exploded(tokens, F.array_distinct("tokens"), "term").select("term", one.alias("df"), none.alias("cf"))
+    return occurrences.unionAll(distinct).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def _exploded(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
@@ -122,10 +115,22 @@ def numbered(df: DataFrame, array: str, name: str, *kept: str) -> DataFrame:
 def vocabulary(stats: DataFrame, min_df: int, vocab_size: int) -> DataFrame:
     """(term_id, term, df, cf): the `vocab_size` most frequent terms with df >= min_df.
 
-    Equal counts are ordered by term, so the cut and the ids are the same on every run. The
-    numbering window sees at most `vocab_size` rows.
+    Equal counts are ordered by term, so the cut and the ids are the same on every run. Counting
+    the terms per power of two of their frequency (at most 64 rows) first tells which powers
+    hold the result; only terms from there up are ordered, a small multiple of `vocab_size`
+    whatever the number of terms. `stats` is read twice.
     """
-    kept = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(vocab_size)
+    power = F.floor(F.log2("cf"))
+    eligible = stats.filter(F.col("df") >= min_df)
+    running = F.sum("terms").over(Window.orderBy(F.desc("power")))
+    lowest = (
+        eligible.groupBy(power.alias("power"))
+        .agg(F.count("*").alias("terms"))
+        .select("power", running.alias("terms"))
+        .filter(F.col("terms") >= vocab_size)
+        .agg(F.coalesce(F.max("power"), F.lit(0)))
+    )
+    kept = eligible.filter(power >= lowest.scalar()).orderBy(F.desc("cf"), "term").limit(vocab_size)
     rank = F.row_number().over(Window.orderBy(F.desc("cf"), "term"))
     return kept.select((rank - 1).cast("int").alias("term_id"), "term", "df", "cf")
 

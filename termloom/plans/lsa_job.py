@@ -85,7 +85,8 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
     """
     on_sample = 0 < cv_fit_sample < 1
     fit_rows = articles.sample_rows(tokens, cv_fit_sample)
-    vocab = stored(terms.vocabulary(terms.term_stats(fit_rows), min_df, vocab_size), "vocabulary")
+    stats = stored(terms.term_stats(fit_rows), "term_stats")
+    vocab = stored(terms.vocabulary(stats, min_df, vocab_size), "vocabulary")
     names = terms.vocabulary_terms(vocab)
     tf = terms.term_frequency(tokens, names)
     if on_sample:

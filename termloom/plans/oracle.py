@@ -235,6 +235,7 @@ _XML = f"WITH {_PAGES} SELECT title, ns, redirect_to, raw_text FROM pages_in"
 
 SQL: dict[str, str] = {
     "xml_pages_roundtrip": _XML,
+    "xml_pages_by_record": _XML,
     "xml_pages_inferred": _XML,
     "articles_filter": f"WITH {_PAGES} SELECT doc_id, title, raw_text FROM pages_in WHERE {_ARTICLE}",
     "article_text_nonempty": f"""WITH {_PAGES}

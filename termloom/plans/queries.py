@@ -89,7 +89,8 @@ def _tokens(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return terms.vocabulary(terms.term_stats(_tokens(spark, sf_dir)), MIN_DF, VOCAB_SIZE)
+    stats = stored(terms.term_stats(_tokens(spark, sf_dir)), "term_stats")
+    return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
 
 
 def _tf(spark, sf_dir):
@@ -158,6 +159,11 @@ def xml_pages_roundtrip(spark, sf_dir):
     return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir)))
 
 
+def xml_pages_by_record(spark, sf_dir):
+    """The scan for files too large for one task."""
+    return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir), split_bytes=0))
+
+
 def xml_pages_inferred(spark, sf_dir):
     return _page_columns(pages.read_pages_inferred(spark, _written_pages(spark, sf_dir)))
 
@@ -185,7 +191,8 @@ def page_sample(spark, sf_dir):
 
 def vocab_fit_sample(spark, sf_dir):
     rows = articles.sample_by_key(_documents(spark, sf_dir), "doc_id", FIT_FRACTION)
-    return terms.vocabulary(terms.term_stats(terms.tokenized(rows)), MIN_DF, VOCAB_SIZE)
+    stats = stored(terms.term_stats(terms.tokenized(rows)), "term_stats")
+    return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
 
 
 def clean_markup(spark, sf_dir):
@@ -632,7 +639,7 @@ def scatter_table(spark, sf_dir):
 QUERIES = {
     query.__name__: query
     for query in (
-        xml_pages_roundtrip, xml_pages_inferred, articles_filter, article_text_nonempty, page_limit,
+        xml_pages_roundtrip, xml_pages_by_record, xml_pages_inferred, articles_filter, article_text_nonempty, page_limit,
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
         collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
         normalize_query, term_stats, vocabulary, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,

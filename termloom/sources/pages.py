@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.sources.artifacts import list_files
+
 ROW_TAG = "page"
+# Largest file that is left to one task.
+SPLIT_BYTES = 256 * 1024 * 1024
 
 # `redirect` only has to tell null from not null; the attribute also keeps its target.
 PAGE_SCHEMA = T.StructType([
@@ -29,8 +33,19 @@ def project_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
-    """Scan pages with the fixed schema, so no inference pass reads the dump first."""
+def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Scan pages with the fixed schema, so no inference pass reads the dump first.
+
+    The XML reader gives every file to a single task. That is the cheaper scan while no file
+    is larger than `split_bytes`; a dump with a larger one is cut into records first.
+    """
+    largest = list_files(spark, path).agg(F.max("length")).first()[0] or 0
+    read = read_pages_by_record if largest > split_bytes else read_pages_by_file
+    return read(spark, path, row_tag)
+
+
+def read_pages_by_file(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
+    """One task per file."""
     pages = (
         spark.read.format("xml")
         .option("rowTag", row_tag)
@@ -41,6 +56,22 @@ def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFr
     return project_pages(pages)
 
 
+def read_pages_by_record(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
+    """The same rows with large files split between tasks: the text reader ends a record at every
+    closing row tag, and each record is parsed by itself."""
+    records = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    # What precedes the opening tag is the head of the dump or the space between two pages.
+    page = F.regexp_extract("value", rf"(?s)<{row_tag}[\s>].*", 0)
+    parsed = records.select(
+        F.from_xml(
+            F.concat(page, F.lit(f"</{row_tag}>")),
+            PAGE_SCHEMA.simpleString(),
+            {"rowTag": row_tag, "ignoreSurroundingSpaces": "false"},
+        ).alias("page")
+    ).filter(F.length(page) > 0)
+    return project_pages(parsed.select("page.*"))
+
+
 def read_pages_inferred(
     spark: SparkSession, path: str, row_tag: str = ROW_TAG, sampling_ratio: float = 1.0
 ) -> DataFrame:

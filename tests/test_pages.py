@@ -28,8 +28,10 @@ def dump(tmp_path):
     return write
 
 
-def test_read_pages(spark, dump):
-    found = {r.title: r for r in pages.read_pages(spark, dump(ROWS)).collect()}
+@pytest.mark.parametrize("split_bytes", [pages.SPLIT_BYTES, 0])
+def test_read_pages(spark, dump, split_bytes):
+    read = pages.read_pages(spark, dump(ROWS), split_bytes=split_bytes)
+    found = {r.title: r for r in read.collect()}
     assert len(found) == 8
     assert found["Alpha"].raw_text == "alpha [[a|b]] text"
     assert found["NoAttr"].raw_text == "plain text"
@@ -38,7 +40,7 @@ def test_read_pages(spark, dump):
     assert found["Alpha"].redirect is None
     assert not found["Empty"].raw_text
     assert found["BadNs"].ns is None
-    kept = articles.article_text(articles.articles(pages.read_pages(spark, dump(ROWS))))
+    kept = articles.article_text(articles.articles(read))
     assert {tuple(r) for r in kept.collect()} == {("Alpha", "alpha b text"), ("NoAttr", "plain text")}
 
 

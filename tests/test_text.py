@@ -109,6 +109,16 @@ def test_vocabulary_breaks_ties_by_term(spark, small):
     assert vocab == [(0, "dogs", 2, 3), (1, "cat", 1, 1)]
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 40, 100])
+def test_vocabulary_cut_is_exact(spark, size):
+    rows = [(f"t{i:02d}", i % 4 + 1, i % 9 + 1) for i in range(60)]
+    stats = spark.createDataFrame(rows, "term string, df long, cf long")
+    expected = sorted((r for r in rows if r[1] >= 2), key=lambda r: (-r[2], r[0]))[:size]
+    found = terms.vocabulary(stats, 2, size).orderBy("term_id").collect()
+    assert [(r.term, r.df, r.cf) for r in found] == expected
+    assert [r.term_id for r in found] == list(range(len(expected)))
+
+
 def test_idf_both_ways_and_empty_documents(spark, small):
     vocab = terms.vocabulary(terms.term_stats(small), 1, 10)
     tf = terms.term_frequency(small, terms.vocabulary_terms(vocab))
