@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from termloom.functions import vectors
 from termloom.operators.lsa import column_signs
-from termloom.settings import BLOCK_ROWS, BROADCAST_BYTES, stored
+from termloom.settings import BROADCAST_BYTES, MAX_CLUSTERS, block_count, stored
 
 # Restarts, seed, iteration limit and tolerance of k-means, the swept range, the default k.
 RESTARTS = 10
@@ -281,7 +281,7 @@ def silhouette(
     key: str,
     metric: str = EUCLIDEAN,
     max_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(labeling, silhouette): mean silhouette of one or more labelings of the same points.
 
@@ -316,11 +316,15 @@ def _sizes(points: DataFrame, labelings: list[str]) -> dict[str, dict[int, int]]
     labels = F.explode(F.array(*[
         F.struct(F.lit(name).alias("labeling"), F.col(name).cast("int").alias("label")) for name in labelings
     ]))
-    counted = points.select(labels.alias("l")).groupBy("l.labeling", "l.label").count().orderBy("label").collect()
+    limit = MAX_CLUSTERS * len(labelings)
+    counted = points.select(labels.alias("l")).groupBy("l.labeling", "l.label").count()
+    counted = counted.orderBy("label").limit(limit + 1).collect()
+    if len(counted) > limit:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters in a labeling")
     return {name: {r.label: r["count"] for r in counted if r.labeling == name} for name in labelings}
 
 
-def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int) -> DataFrame:
+def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int | None) -> DataFrame:
     """(_slots, sums): for every point its summed distance to the members of every slot."""
     rows, size = keyed.agg(F.count("*"), F.max(F.size("features"))).first()
     sums_between = _sums_between(width)
@@ -337,7 +341,8 @@ def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int
 
         return keyed.mapInArrow(scan, "_slots array<int>, sums array<double>")
 
-    blocks = math.ceil(rows / block_rows)
+    tasks = 4 * keyed.sparkSession.sparkContext.defaultParallelism
+    blocks = block_count(rows, size, math.ceil(math.sqrt(tasks)), block_rows)
     block = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = keyed.withColumn("_l", block).select("*", other.alias("_r"))
@@ -507,7 +512,7 @@ def cluster_radius(points_2d: DataFrame, centers_2d: DataFrame) -> DataFrame:
         (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
         + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     )
-    return points_2d.join(F.broadcast(centers), "cluster").groupBy("cluster").agg(F.avg(distance).alias("radius"))
+    return points_2d.join(centers, "cluster").groupBy("cluster").agg(F.avg(distance).alias("radius"))
 
 
 def covariance(points: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from termloom.functions import vectors
 from termloom.functions.text import normalize_title
-from termloom.settings import BLOCK_ROWS, BROADCAST_BYTES
+from termloom.settings import BROADCAST_BYTES, block_count
 
 # Result sizes, candidate limit, shortest title search, and the seed terms.
 TOP_RESULTS = 20
@@ -171,14 +171,14 @@ def batch_nearest(
     exclude_self: bool = False,
     ties: str = "label",
     max_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """For every query its n nearest rows, exactly: (query_key, rank, key, label, score).
 
     While the query vectors fit in `max_bytes` they are sent to the executors, and every Arrow
     batch of the table is multiplied with them where it lies. Beyond that both sides are cut
-    into blocks of about `block_rows` by a hash of the key, and every pair of blocks is one
-    task. Either way a task keeps only its own n best per query, and a ranking window over
+    into blocks by a hash of the key (as large as a task can hold, or `block_rows` rows), and
+    every pair of blocks is one task. Either way a task keeps only its own n best per query, and a ranking window over
     those picks the result.
 
     `exclude_self` leaves out the row whose key equals the query's. Scores equal to 14 digits
@@ -210,8 +210,9 @@ def batch_nearest(
         rows = table.count()
         # Both sides may come from one table; a new column keeps their attributes apart.
         queries = queries.select("_query", F.col("embedding").alias("_wanted"))
-        query_blocks = max(1, math.ceil(count / block_rows))
-        table_blocks = max(1, math.ceil(rows / block_rows))
+        tasks = 4 * table.sparkSession.sparkContext.defaultParallelism
+        query_blocks = block_count(count, width, 1, block_rows)
+        table_blocks = block_count(rows, width, math.ceil(tasks / query_blocks), block_rows)
         left = _in_blocks(queries, "_query", query_blocks, "_qb").select(
             "*", F.explode(F.sequence(F.lit(0), F.lit(table_blocks - 1))).alias("_tb")
         )

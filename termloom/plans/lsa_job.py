@@ -111,13 +111,14 @@ def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
         rows = articles.spread(rows, params.partitions)
     rows = rows.withColumn("doc_id", F.monotonically_increasing_id())
     text = articles.article_text(rows, strip_markup_v1 if params.clean_v1 else strip_markup)
-    stopwords = ENGLISH
+    tokens = terms.tokenized(text, stopwords=() if params.stopwords else ENGLISH)
+    # Large word tables make the next steps read the tokens twice, and the new ids must not be
+    # drawn twice.
     if params.stopwords:
-        stopwords = [r.value for r in spark.read.text(params.stopwords).select(F.trim("value").alias("value")).collect()]
-    tokens = terms.tokenized(text, stopwords=stopwords)
+        words = spark.read.text(params.stopwords).select(F.trim("value").alias("word"))
+        tokens = terms.without_listed(stored(tokens, "all_tokens"), words)
     if params.lexicon:
         lexicon = spark.read.schema("form string, lemma string").json(params.lexicon)
-        # A large lexicon reads the tokens twice, and the new ids must not be drawn twice.
         tokens = terms.lemmatized(stored(tokens, "raw_tokens"), lexicon)
     return tokens.select("doc_id", "title", "tokens")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Largest table, in bytes of doubles, that is collected and broadcast to the executors.
 BROADCAST_BYTES = 256 * 1024 * 1024
-# Rows per block when both sides of a product are too large to broadcast.
-BLOCK_ROWS = 8192
+# Bytes of doubles per block when both sides of a product are too large to broadcast. Every row
+# is shuffled once per block of the other side, so blocks are as large as a task can hold.
+BLOCK_BYTES = 64 * 1024 * 1024
+# Most clusters one labeling may have where sums are kept per cluster.
+MAX_CLUSTERS = 10_000
 # Largest term lexicon looked up from a broadcast map; a larger one is joined.
 LEXICON_ROWS = 500_000
 # Largest stop-word table that becomes a literal set in the plan; a larger one is joined.
@@ -38,6 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/termloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def block_count(rows: int, width: int, at_least: int, block_rows: int | None = None) -> int:
+    """Blocks for `rows` vectors of `width` doubles: small enough to hold, and at least as many
+    as the cluster needs to be busy (but no more than there are rows)."""
+    fitting = block_rows or max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    blocks = math.ceil(rows / fitting)
+    return max(1, blocks if block_rows else min(rows, max(blocks, at_least)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the scratch folder and read it back.
 
