@@ -88,14 +88,20 @@ def _tokens(spark, sf_dir):
     return terms.tokenized(_documents(spark, sf_dir))
 
 
-def _vocabulary(spark, sf_dir):
-    stats = stored(terms.term_stats(_tokens(spark, sf_dir)), "term_stats")
+def _fit_vocabulary(token_rows):
+    """Vocabulary of stored tokens; the statistics read them twice."""
+    stats = stored(terms.term_stats(token_rows), "term_stats")
     return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
 
 
+def _vocabulary(spark, sf_dir):
+    return _fit_vocabulary(stored(_tokens(spark, sf_dir), "tokens"))
+
+
 def _tf(spark, sf_dir):
-    vocab = stored(_vocabulary(spark, sf_dir), "vocabulary")
-    return vocab, terms.term_frequency(_tokens(spark, sf_dir), terms.vocabulary_terms(vocab))
+    token_rows = stored(_tokens(spark, sf_dir), "tokens")
+    vocab = stored(_fit_vocabulary(token_rows), "vocabulary")
+    return vocab, terms.term_frequency(token_rows, terms.vocabulary_terms(vocab))
 
 
 def _features(spark, sf_dir):
@@ -191,8 +197,7 @@ def page_sample(spark, sf_dir):
 
 def vocab_fit_sample(spark, sf_dir):
     rows = articles.sample_by_key(_documents(spark, sf_dir), "doc_id", FIT_FRACTION)
-    stats = stored(terms.term_stats(terms.tokenized(rows)), "term_stats")
-    return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
+    return _fit_vocabulary(stored(terms.tokenized(rows), "tokens"))
 
 
 def clean_markup(spark, sf_dir):

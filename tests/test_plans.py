@@ -49,3 +49,8 @@ def test_cleaning_runs_once_and_filters_come_first(spark):
 def test_only_needed_columns_are_read(spark):
     text = plan(queries.term_stats(spark, SF_DIR))
     assert re.search(r"ReadSchema: struct<text:string>", text)
+
+
+@pytest.mark.parametrize("name", ["batch_knn", "topics_fixed_v"])
+def test_ranking_is_cut_before_its_shuffle(spark, name):
+    assert "WindowGroupLimit" in plan(entry.queries()[name](spark, SF_DIR))
