@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import exact_dedup, packing, quality
+from termloom.llm import bpe, exact_dedup, html_text, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark, sf_dir):
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.encode_decode(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op7_packing(spark, sf_dir):
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,8 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_bpe": op2_bpe,
     "op7_packing": op7_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
