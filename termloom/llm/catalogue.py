@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, html_text, packing, quality, topk
+from termloom.llm import bpe, exact_dedup, html_text, packing, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+def op5_substring_dedup(spark, sf_dir):
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
@@ -53,6 +59,20 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+        h AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS x FROM s),
+        twice AS (SELECT x FROM h GROUP BY x HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM h SEMI JOIN twice USING (x)),
+        word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        left_over AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+            FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN left_over USING (doc_id)
+    """,
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
