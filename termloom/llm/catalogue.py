@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, html_text, packing, quality, substring_dedup, topk
+from termloom.llm import bpe, exact_dedup, html_text, language_model, packing, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+def op3_lm_scores(spark, sf_dir):
+    rest = F.crc32(F.col("doc_id").cast("string")) % 10
+    return language_model.lm_scores(_table(spark, sf_dir, "documents"), held_out=rest == 0, fold=rest == 1)
+
+
 def op5_substring_dedup(spark, sf_dir):
     found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,6 +56,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
+    "op3_lm_scores": op3_lm_scores,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
