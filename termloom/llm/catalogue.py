@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, html_text, language_model, packing, quality, substring_dedup, topk
+from termloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_model, packing, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_lm_scores": op3_lm_scores,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
@@ -79,6 +84,29 @@ SQL = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN left_over USING (doc_id)
     """,
+    "op6_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), one AS (SELECT min(doc_id) AS doc, any_value(w) AS w, count(*) AS copies, text FROM d GROUP BY text),
+        s AS (
+            SELECT DISTINCT doc, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS g
+            FROM (SELECT doc, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM one WHERE len(w) > 0)
+        ), n AS (SELECT doc, count(*) AS n FROM s GROUP BY doc),
+        p AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc <> b.doc GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc = a JOIN n y ON y.doc = b WHERE c >= 0.8 * (x.n + y.n - c)),
+        r(doc, root) AS (SELECT a, b FROM e UNION SELECT r.doc, e.b FROM r JOIN e ON r.root = e.a),
+        c AS (SELECT doc, least(doc, min(root)) AS class FROM r GROUP BY doc),
+        k AS (SELECT a, count(*) AS texts, sum(copies) AS copies FROM e JOIN one ON doc = b GROUP BY a),
+        m AS (
+            SELECT d.doc_id, coalesce(class, one.doc) AS class_id, coalesce(k.copies, 0) + one.copies - 1 AS n_links,
+                   coalesce(k.texts, 0) AS n_texts
+            FROM d JOIN one USING (text) LEFT JOIN c ON c.doc = one.doc LEFT JOIN k ON k.a = one.doc
+        )
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept,
+               n_links::BIGINT AS n_links, n_texts
+        FROM m
+    """,
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
