@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_model, packing, quality, substring_dedup, topk
+from termloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_lm_scores(spark, sf_dir):
     return language_model.lm_scores(_table(spark, sf_dir, "documents"), held_out=rest == 0, fold=rest == 1)
 
 
+def op4_line_dedup(spark, sf_dir):
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "kept_in")
+
+
 def op5_substring_dedup(spark, sf_dir):
     found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op3_lm_scores": op3_lm_scores,
+    "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
@@ -70,6 +76,32 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_line_dedup": """
+        WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (
+            SELECT doc_id, line, place, (doc_id, place) AS spot
+            FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM t)
+        ), x AS (
+            SELECT line, length(line) AS n, min(spot) AS first FROM l
+            WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line
+        ), e AS (
+            SELECT a.line AS a, b.line AS b FROM x a JOIN x b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
+            -- Two edits leave one of three parts as it was.
+            WHERE a.n >= 20 AND b.n >= 20 AND (
+                contains(b.line, a.line[:a.n // 3]) OR contains(b.line, a.line[a.n // 3 + 1:2 * (a.n // 3)])
+                OR contains(b.line, a.line[2 * (a.n // 3) + 1:])
+            ) AND levenshtein(a.line, b.line) <= 2
+        ), r(line, other) AS (SELECT a, b FROM e UNION SELECT r.line, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (
+            SELECT line, min(stays) AS stays
+            FROM (SELECT line, first AS stays FROM x UNION ALL SELECT r.line, y.first FROM r JOIN x y ON y.line = r.other)
+            GROUP BY line
+        ), g AS (SELECT doc_id, place, struct_extract(stays, 1) AS owner FROM l JOIN c USING (line) WHERE spot <> stays)
+        SELECT doc_id, count(*) AS n_lines, count(g.owner) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE g.owner IS NULL), '')) AS kept_sha256,
+               coalesce(list_sort(list_distinct(list(g.owner) FILTER (WHERE g.owner IS NOT NULL))), []) AS kept_in
+        FROM l LEFT JOIN g USING (doc_id, place) GROUP BY doc_id
+    """,
     "op5_substring_dedup": """
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
