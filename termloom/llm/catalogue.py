@@ -38,7 +38,7 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_packing(spark, sf_dir):

@@ -189,7 +189,8 @@ def near_duplicates(
     recall: float = RECALL, rows: int = ROWS,
 ) -> DataFrame:
     """One row per row of `docs`: the key, class_id (smallest key of the class), class_size, kept (the smallest key
-    stays), n_links (other rows with an equal text or at least `similarity`), n_texts (different texts linked).
+    stays), n_links (other rows with an equal text or at least `similarity`), n_texts (different texts linked), text_hash
+    (xxhash64 of the text, which tells rows of one key apart).
 
     Similarity is the Jaccard coefficient of the sets of `gram` consecutive words, unchanged. Texts with fewer words have
     one n-gram; texts without words are linked to equal texts only; null counts as empty. Rows that repeat key and text
@@ -254,7 +255,7 @@ def near_duplicates(
     )
     # Missing keys come last in a class.
     keyed = F.nullif("kid", F.lit(NO_KEY))
-    members = copies.select("one", "digest", "group_size", keyed.alias("id"))
+    members = copies.select("one", "digest", "group_size", keyed.alias("id"), F.col("th").alias("text_hash"))
     members = stored(members.join(numbered, ["one", "digest"]), "members")
     named = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return members.join(named, "class").select(
@@ -264,4 +265,5 @@ def near_duplicates(
         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
         (F.col("copies") + F.col("group_size") - 1).alias("n_links"),
         F.col("links").alias("n_texts"),
+        "text_hash",
     )

@@ -196,7 +196,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def line_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of `docs`: the key, n_lines, n_removed, kept (the text without the removed lines), kept_in (keys of
     the rows where the removed lines stay, sorted).
@@ -205,13 +206,15 @@ def line_dedup(
     both have `min_chars` characters and are joined by steps of at most `edits` edits. Of a class the first occurrence
     stays: smallest key, then first in the text. Null counts as empty; an empty text is one empty line. Rows that repeat
     key and text are one document and keep the same lines; rows without a key come after all others. Lines of rows with
-    one key but different texts count as different occurrences. An empty table gives no rows. Other columns are not read.
+    one key but different texts count as different occurrences. An empty table gives no rows. Other columns are
+    not read, except those named in `carry`, which come out in a struct `rest`.
     """
     if edits < 1 or min_chars <= edits:
         raise ValueError("edits is at least 1 and min_chars is larger")
     kind = docs.schema[key].dataType.simpleString()
     place = ["kid", "th"]
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), _long(NO_KEY)).alias("kid"))
+    rest = F.struct(*carry) if carry else F.struct(F.lit(None).cast("string").alias("none"))
+    rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), _long(NO_KEY)).alias("kid"))
     rows = rows.withColumns({"th": F.xxhash64("text"), "lines": F.split("text", "\n")})
     lines = rows.select(*place, F.posexplode("lines").alias("at", "body")).where(F.col("body").rlike("\\S"))
     even = F.xxhash64("body").bitwiseAND(_long(-2))
@@ -230,7 +233,7 @@ def line_dedup(
     lists = gone.groupBy(*place).agg(F.collect_set("at").alias("gone"), F.array_sort(F.collect_set("owner")).alias("kept_in"))
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select(*place, "text").repartition(partitions, *place).join(lists.hint("shuffle_hash"), place, "left")
+    found = rows.select(*place, "text", *(["rest"] if carry else [])).repartition(partitions, *place).join(lists.hint("shuffle_hash"), place, "left")
     body = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(body) - 1), F.coalesce("gone", F.array().cast("array<int>")))
     return found.withColumn("body", body).select(
@@ -239,4 +242,5 @@ def line_dedup(
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("body", i)), "\n")).alias("kept"),
         F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"),
+        *(["rest"] if carry else []),
     )

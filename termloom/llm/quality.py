@@ -132,22 +132,37 @@ def train(
     return bytes(found[0]["weights"]), found[0]["bias"]
 
 
+def _probabilities(texts: pa.Array, model: tuple[bytes, float]) -> np.ndarray:
+    weights = np.frombuffer(model[0], dtype=np.float32)
+    words = words_of(texts)
+    places, rows = features(words, len(weights).bit_length() - 1)
+    sums = np.bincount(rows, weights=weights[places], minlength=words.rows)
+    total = np.maximum(np.bincount(rows, minlength=words.rows), 1)
+    return 1.0 / (1.0 + np.exp(-np.clip(sums * SCALE / total + model[1], -35, 35)))
+
+
 def score(docs: DataFrame, model: tuple[bytes, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: the key and score, the probability of label 1. Null and empty texts get
     the probability that the bias alone gives. Repeated rows are scored each; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats, a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.frombuffer(shared.value[0], dtype=np.float32)
-        bits = len(weights).bit_length() - 1
         for batch in row_blocks(batches, "text", SCORE_BLOCK):
-            words = words_of(batch.column(1))
-            places, rows = features(words, bits)
-            sums = np.bincount(rows, weights=weights[places], minlength=words.rows)
-            total = np.maximum(np.bincount(rows, minlength=words.rows), 1)
-            value = 1.0 / (1.0 + np.exp(-np.clip(sums * SCALE / total + shared.value[1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["id", "score"])
+            value = pa.array(_probabilities(batch.column(1), shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), value], names=["id", "score"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", key)
+
+
+def accepted(docs: DataFrame, model: tuple[bytes, float], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose score is at least `least`. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_blocks(batches, text, SCORE_BLOCK):
+            good = _probabilities(batch.column(batch.schema.get_field_index(text)), shared.value) >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,7 +226,7 @@ def _windows(width: int, gram: int):
     return run
 
 
-def _cut(kind: str, width: int):
+def _cut(kind: str, width: int, rest: str, as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_blocks(batches, "text", TEXT_BLOCK):
             words = words_of(_column(batch, "text"))
@@ -251,21 +252,29 @@ def _cut(kind: str, width: int):
             out[ranges(place, length)] = words.data[ranges(words.start[kept], length)]
             edges = np.append(place, len(out))[np.searchsorted(row[kept], np.arange(words.rows + 1))]
             texts = pa.LargeStringArray.from_buffers(words.rows, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes()))
+            texts = texts.cast(pa.string())
+            if as_is:
+                texts = pc.if_else(pa.array(removed == 0), _column(batch, "text"), texts)
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "id"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), texts.cast(pa.string())],
-                names=["id", "n_words", "n_removed", "kept"],
+                [_column(batch, "id"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), texts, _column(batch, "rest")],
+                names=["id", "n_words", "n_removed", "kept", "rest"],
             )
 
-    return run, f"id {kind}, n_words long, n_removed long, kept string"
+    return run, f"id {kind}, n_words long, n_removed long, kept string, rest {rest}"
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
+    carry: tuple[str, ...] = (), as_is: bool = False,
+) -> DataFrame:
     """One row per row of `docs`: the key, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window of `width` words that covers it also starts anywhere else, in the same text or another.
     `width` is at least `gram` and below the depth of the index. Null and empty texts have no words; texts shorter
     than a window lose none. Repeated rows are copies of each other, so every window of theirs is found twice. Rows
-    without a key are told apart by their texts. An empty table gives no rows. Other columns are not read.
+    without a key are told apart by their texts. An empty table gives no rows. Other columns are not read, except
+    those named in `carry`, which come out in a struct `rest`. With `as_is` a text that loses nothing keeps its white
+    space in kept.
     """
     if not gram <= width < DEPTH:
         raise ValueError("width must be at least gram and below the depth of the index")
@@ -273,8 +282,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = SHARDS_PER_PARTITION * partitions
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("kid"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rest = F.struct(*carry) if carry else F.struct(F.lit(None).cast("boolean").alias("none"))
+    body, kid = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+    whole = docs.select(body.alias("text"), kid.alias("kid"), F.xxhash64(body).alias("th"), rest.alias("rest"))
+    rows = whole.drop("rest")
     place = ["kid", "th"]
 
     # Frequent anchors, read off the scan without a shuffle.
@@ -286,7 +297,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     hot_anchor = F.broadcast(spark.createDataFrame([(a,) for a in hot], "anchor long"))
 
     # Texts move once, by place; the three passes over them reuse that exchange.
-    dealt = rows.repartition(partitions, *place)
+    dealt = whole.repartition(partitions, *place)
     copies = exact_dedup(rows.select("text", F.struct(*place).alias("place")), key="place")
     copies = copies.select("place.kid", "place.th", (F.col("group_size") > 1).alias("copied"), "kept").dropDuplicates(place)
     copies = stored(copies, "copies")
@@ -315,9 +326,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         windows = single.join(twice, ["one", "two"], "left_semi").select(*place, "a", (F.col("a") + width).alias("b"))
         found = found.unionByName(windows)
     cover = found.groupBy(*place).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
-    cut, schema = _cut(kind, width)
+    cut, schema = _cut(kind, width, whole.schema["rest"].dataType.simpleString(), as_is)
     none = F.from_json(F.lit("[]"), "array<struct<a:long,b:long>>")
     last = known.join(cover.hint("shuffle_hash"), place, "left").select(
-        F.nullif("kid", F.lit(NO_KEY)).cast(kind).alias("id"), "text", "copied", F.coalesce("cover", none).alias("cover")
+        F.nullif("kid", F.lit(NO_KEY)).cast(kind).alias("id"), "text", "copied", F.coalesce("cover", none).alias("cover"), "rest"
     )
-    return last.mapInArrow(cut, schema).withColumnRenamed("id", key)
+    found = last.mapInArrow(cut, schema).withColumnRenamed("id", key)
+    return found if carry else found.drop("rest")
