@@ -3,13 +3,14 @@
 1. Exact copies are grouped first; one text of each group goes on, so copies are never expanded into pairs.
 2. Every text gets MinHash values in bands. Band and row counts are chosen for the target recall at the threshold.
    Texts that share a band hash are candidates.
-3. Each candidate is verified against one centre, the smallest text that it shares a band with. The verified links
-   give clusters; a large group of near copies costs one check a member here.
-4. Inside a cluster all pairs are counted block by block, without making pairs. Between clusters the pairs that
-   share a band are verified one by one. Verification is exact, on the full n-gram sets.
-5. The classes are the components of all verified links.
-
-Cells of verification hold a bounded number of texts; large groups are split into blocks.
+3. Band groups are joined to candidate groups, the components of "shares a band with the smallest text of the band
+   group". The texts of a candidate group meet in cells, block against block, and there each pair that shares a band
+   is verified on the full n-gram sets. No pair leaves a cell: a cell returns the number of links of each of its
+   texts, and as many links as it takes to connect those that are linked.
+4. The classes are the components of these links.
+
+Cells hold a bounded number of texts. A candidate group of more than GIANT texts is mostly loose: chance collisions
+chain texts that share a passage. Its cells are made per band group, and a pair counts in its first common band.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ GRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 ROWS = 8
-# Texts of one side of a verification cell.
+# Texts of one side of a verification cell, and of a candidate group whose cells are made for the group as a whole.
 BLOCK = 256
+GIANT = 16_384
 TEXT_BLOCK = 1 << 20
 NO_KEY = -(2**63)
 
@@ -106,27 +108,41 @@ def _signatures(bands: int, rows: int, gram: int):
 CELL_SCHEMA = "doc long, partner long, links long, copies long"
 
 
-def _verified(similarity: float, gram: int, pairs: bool):
-    """Compare the texts of side 0 with those of side 1 of a cell, or side 0 with itself if there is no side 1.
+def _verified(similarity: float, gram: int):
+    """Links between the texts of side 0 and those of side 1 of a cell, or within side 0 if there is no side 1.
 
-    With `pairs` the verified pairs come out (side 1 has one each), else only the number of links per text."""
+    Rows with a partner are links that connect what the cell links; rows without count the links of a text."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        docs, weight = table["doc"].to_numpy(), table["copies"].to_numpy()
+        side, docs, weight = (table[c].to_numpy() for c in ("side", "doc", "copies"))
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(docs), -1)
+        # The band that the cell is made for, or null for a whole group.
+        only = table["band"][0].as_py()
         values, offsets = gram_sets(words_of(table["text"].combine_chunks()), gram)
         sizes = np.diff(offsets)
         _, places = np.unique(values, return_inverse=True)
         marked = np.zeros(int(places.max(initial=-1)) + 1, dtype=bool)
-        left = np.flatnonzero((side == 0) & (sizes > 0))
-        right = np.flatnonzero((side == 1) & (sizes > 0))
-        alone = not (side == 1).any()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = len(right) == 0
         links, copies = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
-        found = []
+        root = np.arange(len(docs))
+        joints = []
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         for number, i in enumerate(left):
             other = left[number + 1 :] if alone else right
             least = np.minimum(sizes[other], sizes[i])
-            other = other[least >= similarity * np.maximum(sizes[other], sizes[i])]
+            other = other[least >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9]
+            same = bands[other] == bands[i]
+            meets = same.any(axis=1)
+            if only is not None:
+                meets &= bands[i][same.argmax(axis=1)] == only
+            other = other[meets]
             if len(other) == 0:
                 continue
             own = places[offsets[i] : offsets[i + 1]]
@@ -135,53 +151,41 @@ def _verified(similarity: float, gram: int, pairs: bool):
             starts = np.cumsum(sizes[other]) - sizes[other]
             shared = np.add.reduceat(marked[span].astype(np.int64), starts)
             marked[own] = False
-            # Whole numbers, so that a pair at the threshold itself counts.
-            near = other[shared * 1.0 >= similarity * (sizes[i] + sizes[other] - shared) - 1e-9]
+            # With room for rounding, so that a pair at the threshold itself counts.
+            near = other[shared >= similarity * (sizes[i] + sizes[other] - shared) - 1e-9]
             links[i] += len(near)
             copies[i] += weight[near].sum()
             links[near] += 1
             copies[near] += weight[i]
-            if pairs:
-                found.extend((docs[j], docs[i]) for j in near)
-        if pairs:
-            pairs_found = np.array(found, dtype=np.int64).reshape(-1, 2)
-            zero = np.zeros(len(pairs_found), dtype=np.int64)
-            return pa.table({"doc": pairs_found[:, 0], "partner": pairs_found[:, 1], "links": zero, "copies": zero})
+            for j in near:
+                a, b = find(i), find(j)
+                if a != b:
+                    root[b] = a
+                    joints.append((docs[i], docs[j]))
         some = np.flatnonzero(links)
-        return pa.table({"doc": docs[some], "partner": pa.nulls(len(some), pa.int64()), "links": links[some], "copies": copies[some]})
+        joined = np.array(joints, dtype=np.int64).reshape(-1, 2)
+        zero = np.zeros(len(joined), dtype=np.int64)
+        return pa.table({
+            "doc": np.concatenate([docs[some], joined[:, 0]]),
+            "partner": pa.array([None] * len(some) + joined[:, 1].tolist(), pa.int64()),
+            "links": np.concatenate([links[some], zero]),
+            "copies": np.concatenate([copies[some], zero]),
+        })
 
     return run
 
 
-def _each(count) -> F.Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-
-
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, gram: int) -> DataFrame:
-    """Of the pairs (doc, centre), those that are similar. A centre with many partners is sent to several cells."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).select("centre", blocks.alias("blocks"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    members = pairs.join(sizes, "centre").select("doc", "centre", block.alias("block"), F.lit(1).alias("side"))
-    # A block that got no partner has a centre and nothing to do.
-    centres = sizes.select(F.col("centre").alias("doc"), "centre", _each(F.col("blocks")).alias("block"), F.lit(0).alias("side"))
-    cells = members.unionByName(centres).join(texts, "doc")
-    return cells.groupBy("centre", "block").applyInArrow(_verified(similarity, gram, True), CELL_SCHEMA).select("doc", "partner")
-
-
-def _count_links(clusters: DataFrame, texts: DataFrame, similarity: float, gram: int) -> DataFrame:
-    """Links of every text inside its cluster: blocks of the cluster against each other, without pairs."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = clusters.join(sizes, "root").select(F.col("node").alias("doc"), "root", own.alias("own"), _each(F.col("blocks")).alias("other"))
-    cells = placed.select(
-        "doc", "root", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
+def _cells(members: DataFrame) -> DataFrame:
+    """Rows (grouping, band, doc) dealt to cells of block against block of their grouping."""
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("long")
+    sized = members.join(members.groupBy("grouping").agg(blocks.alias("blocks")), "grouping")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    placed = sized.select("grouping", "band", "doc", own.alias("own"), other.alias("other"))
+    return placed.select(
+        "grouping", "band", "doc", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    cells = cells.join(texts, "doc")
-    counted = cells.groupBy("root", "first", "second").applyInArrow(_verified(similarity, gram, False), CELL_SCHEMA)
-    return counted.select("doc", "links", "copies")
 
 
 def near_duplicates(
@@ -217,37 +221,23 @@ def near_duplicates(
     shared = stored(banded.join(groups.hint("shuffle_hash"), "band").select("band", "doc", "centre"), "bands")
 
     # Texts that share a band with another one.
-    candidates = shared.select("doc").distinct().join(signed.select("doc", *place, F.col("group_size").alias("copies")), "doc")
-    texts = rows_in.join(candidates.hint("shuffle_hash"), place).dropDuplicates(["doc"]).select("doc", "text", "copies")
+    loose = components(shared.where("doc <> centre").select("doc", "centre").distinct(), "candidate-groups")
+    loose = stored(loose.withColumnRenamed("node", "doc"), "candidate-groups")
+    candidates = loose.select("doc").join(signed.select("doc", *place, "bands", F.col("group_size").alias("copies")), "doc")
+    texts = rows_in.join(candidates.hint("shuffle_hash"), place).dropDuplicates(["doc"]).select("doc", "text", "bands", "copies")
     texts = stored(texts, "texts")
 
-    first = shared.where("doc <> centre").groupBy("doc").agg(F.min("centre").alias("centre"))
-    near = stored(_verify_pairs(first, texts, similarity, gram), "links")
-    clusters = stored(components(near.select("doc", "partner")), "clusters")
-
-    inside = _count_links(clusters, texts, similarity, gram)
-    # Band groups that hold more than one cluster.
-    owned = shared.select("band", "doc").join(clusters.select(F.col("node").alias("doc"), "root"), "doc", "left")
-    owned = owned.withColumn("root", F.coalesce("root", "doc"))
-    mixed_bands = owned.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    owned = stored(owned.join(mixed_bands, "band"), "mixed")
-    left = owned.select("band", F.col("doc").alias("centre"), F.col("root").alias("other"))
-    between = left.join(owned, "band").where("centre < doc and other <> root").select("doc", "centre").distinct()
-    between = stored(_verify_pairs(between, texts, similarity, gram), "between")
-
-    weights = texts.select("doc", "copies")
-    ends = between.union(between.select("partner", "doc"))
-    outside = ends.join(weights.withColumnRenamed("doc", "partner"), "partner").select("doc", F.lit(1).cast("long").alias("links"), "copies")
-    links = inside.unionByName(outside).groupBy("doc").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
-
-    # Clusters that a link between them joins.
-    roots = clusters.select(F.col("node").alias("doc"), "root")
-    named = between.join(roots, "doc", "left").select(F.coalesce("root", "doc").alias("a"), "partner")
-    named = named.join(roots.select(F.col("doc").alias("partner"), "root"), "partner", "left").select("a", F.coalesce("root", "partner").alias("b"))
-    joined = components(named).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = roots.join(joined, "root", "left").select("doc", F.coalesce("top", "root").alias("class"))
-    late = joined.select(F.col("root").alias("doc"), F.col("top").alias("class")).join(roots, "doc", "left_anti")
-    classes = final.union(late)
+    sizes = loose.groupBy("root").agg((F.count(F.lit(1)) > GIANT).alias("giant"))
+    sized = loose.join(sizes, "root")
+    whole = sized.where("not giant").select(F.col("root").alias("grouping"), F.lit(None).cast("long").alias("band"), "doc")
+    giant = sized.where("giant").select("doc")
+    by_band = shared.join(giant, "doc", "left_semi").select(F.col("band").alias("grouping"), "band", "doc")
+    cells = _cells(whole).unionByName(_cells(by_band)).join(texts, "doc")
+    cells = cells.withColumn("kind", F.col("band").isNotNull()).groupBy("kind", "grouping", "first", "second")
+    found = stored(cells.applyInArrow(_verified(similarity, gram), CELL_SCHEMA), "links")
+    links = found.where("partner is null").groupBy("doc").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
+    classes = components(found.where("partner is not null").select("doc", "partner"), "classes")
+    classes = classes.select(F.col("node").alias("doc"), F.col("root").alias("class"))
 
     numbered = signed.select("doc", F.col("kid").alias("one"), F.col("th").alias("digest")).join(classes, "doc", "left").join(links, "doc", "left")
     numbered = numbered.select(
