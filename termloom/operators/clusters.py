@@ -6,6 +6,7 @@ Input tables have a key column and `features`, an array<double>.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark import StorageLevel
@@ -35,9 +36,11 @@ EUCLIDEAN, SQUARED_EUCLIDEAN = "euclidean", "squaredEuclidean"
 
 
 def last_per_term(rows: DataFrame, order_key: str = "term_id") -> DataFrame:
-    """(term, embedding, first_seen): one vector per distinct term, that of its last row."""
-    return rows.groupBy("term").agg(
-        F.max_by("embedding", order_key).alias("embedding"), F.min(order_key).alias("first_seen")
+    """(term, embedding, first_seen): one vector per distinct term, that of its last row. `order_key` is unique."""
+    # Ids are combined by hash map-side; vectors take no part in the aggregation.
+    ends = rows.groupBy("term").agg(F.max(order_key).alias(order_key), F.min(order_key).alias("first_seen"))
+    return rows.select("term", order_key, "embedding").join(ends, ["term", order_key]).select(
+        "term", "embedding", "first_seen"
     )
 
 
@@ -94,6 +97,8 @@ def fit_centers(
                 fits[name] = centers
             if not moving:
                 break
+        if moving:
+            warnings.warn(f"{len(moving)} of {len(fits)} fits still moved after {max_iterations} steps", stacklevel=2)
         _, costs = _lloyd_step(rows, fits)
     finally:
         rows.unpersist()
@@ -115,6 +120,7 @@ def _seed_centers(rows: DataFrame, k: int, restarts: int) -> np.ndarray:
         draws = rows.mapInArrow(_draw_task(known, step, restarts), schema)
         best = draws.groupBy("restart").agg(F.max_by("features", F.struct("draw", "features")).alias("features"))
         found = np.array([r.features for r in best.orderBy("restart").collect()])[:, None, :]
+        known.destroy()
         chosen = found if chosen is None else np.concatenate([chosen, found], axis=1)
     return chosen
 
@@ -169,7 +175,14 @@ def _lloyd_step(rows: DataFrame, fits: dict) -> tuple[dict, dict]:
     """
     names = sorted(fits)
     ends = np.cumsum([len(fits[name]) for name in names])
-    state = rows.sparkSession.sparkContext.broadcast((np.concatenate([fits[name] for name in names]), ends))
+    centers_now = np.concatenate([fits[name] for name in names])
+    if centers_now.nbytes > BROADCAST_BYTES:
+        # Fits do not depend on each other: half of them at a time.
+        if len(names) == 1:
+            raise ValueError(f"{centers_now.nbytes} bytes of centres are too many to send to every task")
+        halves = [_lloyd_step(rows, {name: fits[name] for name in part}) for part in (names[::2], names[1::2])]
+        return {**halves[0][0], **halves[1][0]}, {**halves[0][1], **halves[1][1]}
+    state = rows.sparkSession.sparkContext.broadcast((centers_now, ends))
     sums = rows.mapInArrow(_sum_task(state), "slot int, members double, cost double, total array<double>")
     reduced = sums.groupBy("slot").agg(
         F.sum("members").alias("members"),
@@ -178,7 +191,8 @@ def _lloyd_step(rows: DataFrame, fits: dict) -> tuple[dict, dict]:
     ).toArrow()
     slots = reduced.column("slot").to_numpy()
     total = reduced.column("total").combine_chunks().flatten().to_numpy().reshape(len(slots), -1)
-    centers, cost = state.value[0].copy(), np.zeros(ends[-1])
+    state.destroy()
+    centers, cost = centers_now.copy(), np.zeros(ends[-1])
     cost[slots] = reduced.column("cost").to_numpy()
     centers[slots] = total / reduced.column("members").to_numpy()[:, None]
     starts = [0, *ends[:-1]]
@@ -237,6 +251,9 @@ def assigned(points: DataFrame, centers: DataFrame) -> DataFrame:
     The centres (k rows, checked against the broadcast bound) travel with the task; points
     stay put.
     """
+    number, width = centers.agg(F.count("*"), F.max(F.size("center"))).first()
+    if number * (width or 0) * 8 > BROADCAST_BYTES:
+        raise ValueError(f"{number} centres are too many to send to every task: use search.batch_nearest")
     rows = centers.orderBy("cluster").collect()
     labels = np.array([r.cluster for r in rows], dtype=np.int32)
     return _with_nearest(points, {"cluster": np.array([r.center for r in rows])}, labels, distance="distance2")
@@ -304,9 +321,9 @@ def silhouette(
     for name in labelings:
         slot_of = F.create_map(*[F.lit(x) for pair in slots[name].items() for x in pair])
         slot_columns.append(slot_of[F.col(name).cast("int")])
-    keyed = points.select(F.col(key).alias("_key"), "features", F.array(*slot_columns).alias("_slots"))
+    slotted = points.select("features", F.array(*slot_columns).alias("_slots"))
 
-    sums = _distance_sums(keyed, len(counts), max_bytes, block_rows)
+    sums = _distance_sums(slotted, len(counts), len(labelings), max_bytes, block_rows)
     bounds = [(min(slots[n].values()), max(slots[n].values()) + 1) for n in labelings]
     return _mean_silhouettes(sums, labelings, bounds, counts)
 
@@ -324,12 +341,12 @@ def _sizes(points: DataFrame, labelings: list[str]) -> dict[str, dict[int, int]]
     return {name: {r.label: r["count"] for r in counted if r.labeling == name} for name in labelings}
 
 
-def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int | None) -> DataFrame:
+def _distance_sums(slotted: DataFrame, width: int, labelings: int, max_bytes: int, block_rows: int | None) -> DataFrame:
     """(_slots, sums): for every point its summed distance to the members of every slot."""
-    rows, size = keyed.agg(F.count("*"), F.max(F.size("features"))).first()
+    rows, size = slotted.agg(F.count("*"), F.max(F.size("features"))).first()
     sums_between = _sums_between(width)
-    if rows * size * 8 <= max_bytes:
-        everything = keyed.sparkSession.sparkContext.broadcast(keyed.select("features", "_slots").toArrow())
+    if rows * (size * 8 + labelings * 4) <= max_bytes:
+        everything = slotted.sparkSession.sparkContext.broadcast(slotted.toArrow())
 
         def scan(batches):
             import pyarrow as pa
@@ -339,25 +356,28 @@ def _distance_sums(keyed: DataFrame, width: int, max_bytes: int, block_rows: int
                 sums = sums_between(table, everything.value)
                 yield from table.select(["_slots"]).append_column("sums", sums).to_batches()
 
-        return keyed.mapInArrow(scan, "_slots array<int>, sums array<double>")
+        return slotted.mapInArrow(scan, "_slots array<int>, sums array<double>")
 
-    tasks = 4 * keyed.sparkSession.sparkContext.defaultParallelism
-    blocks = block_count(rows, size, math.ceil(math.sqrt(tasks)), block_rows)
-    block = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
+    tasks = 4 * slotted.sparkSession.sparkContext.defaultParallelism
+    # A block holds its points and, for each of them, one sum per slot.
+    blocks = block_count(rows, size + width, math.ceil(math.sqrt(tasks)), block_rows)
+    # Every row has a number of its own, so that rows with one key stay apart; stored, so that it is drawn once.
+    numbered = stored(slotted.withColumn("_row", F.monotonically_increasing_id()), "silhouette_points")
+    block = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.withColumn("_l", block).select("*", other.alias("_r"))
+    left = numbered.withColumn("_l", block).select("*", other.alias("_r"))
     # Both sides are one table; new columns keep their attributes apart.
-    right = keyed.select(
+    right = numbered.select(
         F.col("features").alias("_f"), F.col("_slots").alias("_s"), block.alias("_r")
     ).select("*", other.alias("_l"))
 
     def pair(a, b):
         members = b.select(["_f", "_s"]).rename_columns(["features", "_slots"])
-        return a.select(["_key", "_slots"]).append_column("sums", sums_between(a, members))
+        return a.select(["_row", "_slots"]).append_column("sums", sums_between(a, members))
 
-    schema = keyed.select("_key", "_slots").schema.add("sums", T.ArrayType(T.DoubleType()))
+    schema = numbered.select("_row", "_slots").schema.add("sums", T.ArrayType(T.DoubleType()))
     partial = left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r")).applyInArrow(pair, schema)
-    return partial.groupBy("_key").agg(
+    return partial.groupBy("_row").agg(
         F.first("_slots").alias("_slots"),
         vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"),
     )
@@ -377,8 +397,9 @@ def _sums_between(width: int):
         sums = np.zeros((a.num_rows, width))
         if a.num_rows and b.num_rows:
             x, y, slots = matrix(a, "features"), matrix(b, "features"), matrix(b, "_slots")
-            members = np.zeros((len(y), width))
-            np.put_along_axis(members, slots, 1.0, axis=1)
+            # Per labeling the members in the order of their slots, and where each slot begins.
+            orders = [np.argsort(labels, kind="stable") for labels in slots.T]
+            starts = [np.unique(labels[order], return_index=True) for labels, order in zip(slots.T, orders)]
             shift = y.mean(axis=0)
             x, y = x - shift, y - shift
             y_norm = (y * y).sum(axis=1)
@@ -386,7 +407,9 @@ def _sums_between(width: int):
             for start in range(0, len(x), step):
                 part = x[start : start + step]
                 square = (part * part).sum(axis=1)[:, None] + y_norm - 2.0 * (part @ y.T)
-                sums[start : start + step] = np.sqrt(np.maximum(square, 0.0)) @ members
+                distance = np.sqrt(np.maximum(square, 0.0))
+                for order, (present, begin) in zip(orders, starts):
+                    sums[start : start + step, present] = np.add.reduceat(distance[:, order], begin, axis=1)
         offsets = pa.array(np.arange(a.num_rows + 1) * width, pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+LEAST_SALTS = 16
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner", salts: int | None = None) -> DataFrame:
     """`rows.join(lookup, on, how)` with the rows of one key spread over `salts` tasks.
 
-    `lookup` has one row per key and is repeated once per salt, so a key that a third of the
-    rows share costs no single task more than a sixteenth of them.
+    `lookup` has one row per key and is repeated once per salt. By default there are as many salts as the
+    cluster runs tasks at a time, so a key that a third of the rows share keeps all of them busy.
     """
+    salts = salts or max(LEAST_SALTS, rows.sparkSession.sparkContext.defaultParallelism)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")

@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.operators.joins import salted_join
-from termloom.operators.terms import entries
-from termloom.settings import BROADCAST_BYTES
+from termloom.settings import BROADCAST_BYTES, stored
 
 # Fixed value: terms listed per topic.
 TOPIC_TERMS = 20
@@ -116,36 +114,51 @@ def project_documents(
     features: DataFrame,
     term_vectors: DataFrame,
     vector: str = "features",
-    key: str = "doc_id",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows of A times V under their own columns: (..., embedding).
 
-    Up to `max_bytes` V is sent to the executors and each Arrow batch is multiplied there; no
-    row moves. A larger V is joined to the stored entries by term instead, and `key` has to be
-    unique. A document without any vocabulary term gets the zero vector.
+    V is sent to the executors and each Arrow batch is multiplied there; no row moves and no key is
+    needed. A V of more than `max_bytes` is cut by topics, and the parts are sent and multiplied one
+    after the other. A document without any vocabulary term gets the zero vector.
     """
-    terms, width = term_vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    terms, known, least, most, width = term_vectors.agg(
+        F.count("*"), F.count_distinct("term_id"), F.min("term_id"), F.max("term_id"), F.max(F.size("v"))
+    ).first()
     if not terms:
         raise ValueError("there are no term vectors to project on")
-    if terms * width * 8 > max_bytes:
-        return _project_by_join(features, term_vectors, vector, key, width)
-    table = term_vectors.select("term_id", "v").orderBy("term_id").toArrow()
-    if table.column("term_id").to_numpy().tolist() != list(range(terms)):
+    if (known, least, most) != (terms, 0, terms - 1):
         raise ValueError("term ids must run from 0 without gaps")
-    v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(terms, width)
-    return project_on_matrix(features, v, vector)
 
+    def part(low: int, high: int) -> np.ndarray:
+        table = term_vectors.select("term_id", F.slice("v", low + 1, high - low).alias("v")).orderBy("term_id").toArrow()
+        return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(terms, high - low)
 
-def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "features") -> DataFrame:
-    """`project_documents` for a V on the driver whose size the caller has checked."""
-    matrix = features.sparkSession.sparkContext.broadcast(v)
-    width = v.shape[1]
+    return _projected(features, part, terms, width, vector, max_bytes)
+
+
+def _projected(features: DataFrame, part, terms: int, width: int, vector: str, max_bytes: int) -> DataFrame:
+    """`features` times the columns that `part(low, high)` returns, in parts below `max_bytes`."""
     others = [c for c in features.columns if c != vector]
     raw = F.unwrap_udt(F.col(vector))
     # Dense vectors store no indices: number their values.
     indices = F.when(raw["type"] == 1, F.sequence(F.lit(0), F.size(raw["values"]) - 1)).otherwise(raw["indices"])
-    unpacked = features.select(*others, indices.alias("_indices"), raw["values"].alias("_values"))
+    rows = features.select(*others, indices.alias("_indices"), raw["values"].alias("_values"))
+    step = min(width, max(1, max_bytes // (8 * max(terms, 1))))
+    names = []
+    for low in range(0, width, step):
+        names.append(f"_part{low}")
+        rows = _with_product(rows, part(low, min(low + step, width)), names[-1])
+        if step < width:
+            # One part at a time is in memory.
+            rows = stored(rows, "projection")
+    return rows.select(*others, F.concat(*names).alias("embedding"))
+
+
+def _with_product(rows: DataFrame, v: np.ndarray, name: str) -> DataFrame:
+    matrix = rows.sparkSession.sparkContext.broadcast(v)
+    width = v.shape[1]
+    id_column, value_column = rows.columns.index("_indices"), rows.columns.index("_values")
 
     def multiply(batches):
         import numpy as np
@@ -153,7 +166,7 @@ def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "feature
 
         rows_of_v = matrix.value
         for batch in batches:
-            *kept, ids, values = batch.columns
+            ids, values = batch.column(id_column), batch.column(value_column)
             lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
             ids = ids.flatten().to_numpy(zero_copy_only=False)
             values = values.flatten().to_numpy(zero_copy_only=False)
@@ -163,38 +176,31 @@ def project_on_matrix(features: DataFrame, v: np.ndarray, vector: str = "feature
                 if end > start:
                     product[row] = values[start:end] @ rows_of_v[ids[start:end]]
             offsets = pa.array(np.arange(len(lengths) + 1) * width, pa.int32())
-            embedding = pa.ListArray.from_arrays(offsets, pa.array(product.ravel()))
-            yield pa.RecordBatch.from_arrays([*kept, embedding], names=[*others, "embedding"])
+            found = pa.ListArray.from_arrays(offsets, pa.array(product.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    schema = features.select(*others).schema.add("embedding", T.ArrayType(T.DoubleType()))
-    return unpacked.mapInArrow(multiply, schema)
+    # A copy: the frame keeps its schema.
+    return rows.mapInArrow(multiply, rows.select("*").schema.add(name, T.ArrayType(T.DoubleType())))
 
 
-def _project_by_join(
-    features: DataFrame, term_vectors: DataFrame, vector: str, key: str, width: int
+def project_on_factors(
+    features: DataFrame, factors: Factors, vector: str = "features", max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    others = [c for c in features.columns if c != vector]
-    cells = entries(features.select(key, vector), vector, "x")
-    parts = (
-        salted_join(cells, term_vectors.select("term_id", "v"), "term_id")
-        .select(key, "x", F.posexplode("v").alias("topic", "w"))
-        .groupBy(key, "topic")
-        .agg(F.sum(F.col("x") * F.col("w")).alias("value"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("topic", "value"))).alias("parts"))
-    )
-    zero = F.array_repeat(F.lit(0.0), width)
-    return features.join(parts, key, "left").select(
-        *others, F.coalesce(F.col("parts.value"), zero).alias("embedding")
-    )
+    """`project_documents` for a V that is already on the driver."""
+    terms, width = factors.v.shape
+    return _projected(features, lambda low, high: factors.v[:, low:high], terms, width, vector, max_bytes)
+
+
+def left_vectors(
+    features: DataFrame, factors: Factors, vector: str = "features", max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Rows of U = A V / S under their own columns: (..., u). V goes out in parts as in the projection."""
+    terms, width = factors.v.shape
 
+    def part(low: int, high: int) -> np.ndarray:
+        return factors.v[:, low:high] / factors.singular_values[low:high]
 
-def left_vectors(features: DataFrame, factors: Factors, vector: str = "features") -> DataFrame:
-    """Rows of U = A V / S under their own columns: (..., u)."""
-    if factors.v.nbytes > BROADCAST_BYTES:
-        raise ValueError("V is too large to send to every task: use project_documents, which gives U S")
-    scaled = project_on_matrix(features, factors.v / factors.singular_values, vector)
-    return scaled.withColumnRenamed("embedding", "u")
+    return _projected(features, part, terms, width, vector, max_bytes).withColumnRenamed("embedding", "u")
 
 
 def scaled_documents(u_rows: DataFrame, singular_values: list[float]) -> DataFrame:

@@ -16,10 +16,9 @@ from termloom.functions import vectors
 from termloom.functions.text import normalize_title
 from termloom.settings import BROADCAST_BYTES, block_count
 
-# Result sizes, candidate limit, shortest title search, and the seed terms.
+# Result sizes, shortest title search, and the seed terms.
 TOP_RESULTS = 20
 SAMPLE_NEIGHBORS = 15
-SAMPLE_CANDIDATES = 5000
 MIN_TITLE_QUERY = 3
 SEED_TERMS = ("science", "robot", "economics", "football", "quantum")
 
@@ -115,10 +114,10 @@ def title_status(docs: DataFrame, text: str) -> DataFrame:
 
 
 def first_of_title(docs: DataFrame) -> DataFrame:
-    """For every title its first document by id; combined map-side, so a repeated title is cheap."""
-    return docs.groupBy(normalize_title(F.col("title")).alias("title")).agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("embedding", "doc_id").alias("embedding")
-    )
+    """For every title its first document by id, which is unique. Only ids are aggregated, by hash and map-side."""
+    titled = docs.select(normalize_title(F.col("title")).alias("title"), "doc_id", "embedding")
+    first = titled.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
+    return titled.join(first.select("doc_id"), "doc_id", "left_semi").select("title", "doc_id", "embedding")
 
 
 def select_title(docs: DataFrame, title: str) -> DataFrame:
@@ -134,19 +133,19 @@ def known_seeds(seeds: DataFrame, vocab: DataFrame) -> DataFrame:
 def neighbor_samples(
     terms: DataFrame,
     seeds: tuple[str, ...] = SEED_TERMS,
-    candidates: int = SAMPLE_CANDIDATES,
+    candidates: int | None = None,
     n: int = SAMPLE_NEIGHBORS,
     mode: str = vectors.SAMPLE_V3,
 ) -> DataFrame:
     """(term, neighbors) for each seed that is a known term, the seed itself not left out.
 
-    Only the first `candidates` terms of the vocabulary are compared. Ties stay in vocabulary
-    order.
+    All terms are compared, or with `candidates` the first so many of the vocabulary. Ties stay in
+    vocabulary order.
     """
     queries = terms.filter(F.col("term").isin(list(seeds))).select(
         F.col("term").alias("query"), "embedding"
     )
-    corpus = terms.filter(F.col("term_id") < candidates)
+    corpus = terms if candidates is None else terms.filter(F.col("term_id") < candidates)
     found = batch_nearest(queries, corpus, "query", "term_id", "term", n, mode, ties="key")
     ranked = F.sort_array(
         F.collect_list(F.struct("rank", F.struct(F.col("term").alias("_1"), F.col("score").alias("_2")).alias("hit")))
@@ -202,8 +201,13 @@ def batch_nearest(
         def scan(batches):
             import pyarrow as pa
 
+            # One running selection for the whole task: a batch competes with the best rows so far.
+            best = None
             for batch in batches:
-                yield from best_of(wanted.value, pa.Table.from_batches([batch])).to_batches()
+                found = best_of(wanted.value, pa.Table.from_batches([batch]))
+                best = found if best is None else _n_best(pa.concat_tables([best, found]), n, ties)
+            if best is not None:
+                yield from best.to_batches()
 
         partial = table.mapInArrow(scan, schema)
     else:
@@ -236,6 +240,21 @@ def batch_nearest(
     )
 
 
+def _n_best(found, n: int, ties: str):
+    """The n best rows of every query, in the order of the final ranking."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    query, key, score = (found.column(c).to_numpy() for c in ("_query", "_key", "score"))
+    labels = np.unique(found.column("_label").to_numpy().astype(str), return_inverse=True)[1]
+    tie = (key,) if ties == "key" else (key, -labels)
+    queries = np.unique(query, return_inverse=True)[1]
+    order = np.lexsort((*tie, -np.round(score, SCORE_DIGITS), queries))
+    ranked = queries[order]
+    kept = np.arange(len(order)) - np.searchsorted(ranked, ranked) < n
+    return pc.take(found, order[kept])
+
+
 def _in_blocks(df: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.text import tokenize, without_stopwords
 from termloom.operators.joins import salted_join
-from termloom.settings import LEXICON_ROWS, STOPWORD_ROWS
+from termloom.settings import BROADCAST_BYTES, LEXICON_ROWS, STOPWORD_ROWS, stored
 
 
 def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGLISH) -> DataFrame:
@@ -24,30 +24,34 @@ def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGL
     return df.withColumn("tokens", without_stopwords(tokenize(F.col(text)), stopwords)).drop(text)
 
 
-def without_listed(df: DataFrame, stop_table: DataFrame, key: str = "doc_id") -> DataFrame:
+def without_listed(df: DataFrame, stop_table: DataFrame) -> DataFrame:
     """Drop the words of a stop-word table (column `word`) of any size; arrays keep their order.
 
-    Up to STOPWORD_ROWS words become a literal set and no row moves. More are anti-joined.
+    NULL elements are dropped as well, NULL arrays stay NULL. Up to STOPWORD_ROWS words become a literal
+    set and no row moves. More are anti-joined; the result is the same.
     """
     words = stop_table.select(F.lower("word").alias("word")).dropna().distinct()
     listed = [r.word for r in words.limit(STOPWORD_ROWS + 1).collect()]
     if len(listed) <= STOPWORD_ROWS:
-        return df.withColumn("tokens", without_stopwords(F.col("tokens"), listed))
-    rows = numbered(df, "tokens", "token", key)
-    kept = salted_join(rows, words.withColumnRenamed("word", "token"), "token", "left_anti")
-    return _regrouped(df, kept, key)
+        present = F.filter("tokens", lambda token: token.isNotNull())
+        return df.withColumn("tokens", without_stopwords(present, listed))
+    rows = _with_row_number(df)
+    tokens = numbered(rows, "tokens", "token", "_row").filter(F.col("token").isNotNull())
+    kept = salted_join(tokens, words.withColumnRenamed("word", "token"), "token", "left_anti")
+    return _regrouped(rows, kept)
 
 
-def lemmatized(df: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Replace each token by its lemma from a (form, lemma) table; unknown forms stay.
+def lemmatized(df: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Replace each token by its lemma from a (form, lemma) table; unknown forms and NULLs stay.
 
-    A lexicon of at most LEXICON_ROWS rows is sent to the executors and looked up batch by
-    batch, without moving the tokens. A larger one is joined.
+    A lexicon of at most LEXICON_ROWS rows and BROADCAST_BYTES bytes is sent to the executors and looked up
+    batch by batch, without moving the tokens. A larger one is joined; the result is the same.
     """
-    pairs = lexicon.select("form", "lemma").dropna().limit(LEXICON_ROWS + 1).collect()
-    if len(pairs) > LEXICON_ROWS:
-        return _lemmatized_by_join(df, lexicon, key)
-    lemma_of = df.sparkSession.sparkContext.broadcast(dict(sorted(map(tuple, pairs), reverse=True)))
+    known = lexicon.select("form", "lemma").dropna()
+    first = known.limit(LEXICON_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length("form") + F.octet_length("lemma"))).first()
+    if first[0] > LEXICON_ROWS or (first[1] or 0) > BROADCAST_BYTES:
+        return _lemmatized_by_join(df, known)
+    lemma_of = df.sparkSession.sparkContext.broadcast(dict(sorted(map(tuple, known.collect()), reverse=True)))
 
     position = df.columns.index("tokens")
 
@@ -70,35 +74,44 @@ def lemmatized(df: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFr
     return df.mapInArrow(look_up, df.schema)
 
 
-def _lemmatized_by_join(df: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
-    forms = lexicon.dropna(subset=["form", "lemma"]).groupBy(F.col("form").alias("token")).agg(
-        F.min("lemma").alias("lemma")
-    )
-    rows = salted_join(numbered(df, "tokens", "token", key), forms, "token", "left")
-    return _regrouped(df, rows.select(key, "pos", F.coalesce("lemma", "token").alias("token")), key)
+def _lemmatized_by_join(df: DataFrame, known: DataFrame) -> DataFrame:
+    forms = known.groupBy(F.col("form").alias("token")).agg(F.min("lemma").alias("lemma"))
+    rows = _with_row_number(df)
+    found = salted_join(numbered(rows, "tokens", "token", "_row"), forms, "token", "left")
+    return _regrouped(rows, found.select("_row", "pos", F.coalesce("lemma", "token").alias("token")))
+
 
+def _with_row_number(df: DataFrame) -> DataFrame:
+    """A number of its own for every row, stored so that it is drawn once; keys may repeat or be NULL."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
-def _regrouped(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Put token rows back into the arrays of their documents; `key` is unique in `df`."""
-    arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))
+
+def _regrouped(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Put token rows back into the arrays of the rows that they come from; NULL arrays stay NULL."""
+    arrays = rows.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))
     empty = F.array().cast("array<string>")
-    return df.join(arrays, key, "left").select(
-        *[c for c in df.columns if c != "tokens"],
-        F.coalesce(F.col("found.token"), empty).alias("tokens"),
-    )
+    filled = F.when(F.col("tokens").isNotNull(), F.coalesce(F.col("found.token"), empty))
+    columns = [filled.alias(c) if c == "tokens" else F.col(c) for c in df.columns if c != "_row"]
+    return df.join(arrays, "_row", "left").select(*columns)
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:
     """Document frequency and collection frequency of every term.
 
-    Each document adds a row per occurrence and a row per distinct term. That takes one
-    aggregation by term, combined map-side, instead of a first one by (document, term) that
-    would shuffle the whole corpus. The tokens are read twice.
+    The tokens of a document are sorted, and one that differs from the one before it stands for the document.
+    So one row per occurrence carries both counts, and one aggregation by term, combined map-side, adds them up.
     """
-    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    occurrences = _exploded(tokens, F.col("tokens"), "term").select("term", none.alias("df"), one.alias("cf"))
-    distinct = _exploded(tokens, F.array_distinct("tokens"), "term").select("term", one.alias("df"), none.alias("cf"))
-    return occurrences.unionAll(distinct).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    ordered = F.array_sort(F.filter("tokens", lambda token: token.isNotNull()))
+
+    def marked(terms):
+        return F.transform(
+            terms, lambda term, i: F.struct(term.alias("term"), F.when(term == F.get(terms, i - 1), 0).otherwise(1).alias("first"))
+        )
+
+    # The sorted array passes through a one-element array, so that it is worked out once.
+    pairs = F.flatten(F.transform(F.array(ordered), marked))
+    rows = _exploded(tokens, pairs, "t").select(F.col("t.term").alias("term"), F.col("t.first").alias("first"))
+    return rows.groupBy("term").agg(F.sum(F.col("first").cast("bigint")).alias("df"), F.count("*").alias("cf"))
 
 
 def _exploded(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:

@@ -26,18 +26,18 @@ class ClusterReport:
 class Explorer:
     """Loads the result tables of a job once and answers questions about them.
 
-    The tables are JSON as the job writes it. They are keyed on load (terms by their order in
-    the files, documents by theirs) and stored as parquet with their norms.
+    The tables are JSON as the job writes it. Rows without a key are numbered on load in the order of the part
+    files and of the rows in them, and the tables are stored as parquet with their norms.
     """
 
     def __init__(self, spark: SparkSession, out: str, fmt: str = "json"):
         self.topics = artifacts.read_artifact(spark, out, artifacts.TOPICS, fmt)
-        terms = artifacts.read_artifact(spark, out, artifacts.TERMS, fmt)
-        docs = artifacts.read_artifact(spark, out, artifacts.DOCS, fmt)
+        terms = artifacts.in_file_order(artifacts.read_artifact(spark, out, artifacts.TERMS, fmt), "file_order")
+        docs = artifacts.in_file_order(artifacts.read_artifact(spark, out, artifacts.DOCS, fmt), "file_order")
         present = F.col("embedding").isNotNull()
         self.terms = stored(
             terms.filter(present & F.col("term").isNotNull()).select(
-                F.coalesce(F.col("term_id").cast("long"), F.monotonically_increasing_id()).alias("term_id"),
+                F.coalesce(F.col("term_id").cast("long"), F.col("file_order")).alias("term_id"),
                 "term",
                 "embedding",
                 vectors.l2_norm(F.col("embedding")).alias("norm"),
@@ -46,7 +46,7 @@ class Explorer:
         )
         self.docs = stored(
             docs.filter(present & F.col("title").isNotNull()).select(
-                F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).alias("doc_id"),
+                F.coalesce(F.col("doc_id"), F.col("file_order")).alias("doc_id"),
                 normalize_title(F.col("title")).alias("title"),
                 "embedding",
                 vectors.l2_norm(F.col("embedding")).alias("norm"),

@@ -29,10 +29,11 @@ class LsaParams:
     min_df: int = 30
     vocab_size: int = 80_000
     sample: float = 1.0
-    cv_fit_sample: float = 0.10
+    cv_fit_sample: float = 1.0
     partitions: int = 64
     limit_pages: int = 0
     infer_schema: bool = False
+    split_pages: bool = False
     clean_v1: bool = False
     lexicon: str = ""
     stopwords: str = ""
@@ -66,7 +67,7 @@ class LsaModel:
         return lsa.scaled_terms(self.term_vectors, self.factors.singular_values.tolist())
 
     def doc_embeddings(self) -> DataFrame:
-        return lsa.project_documents(self.features, self.term_vectors)
+        return lsa.project_on_factors(self.features, self.factors)
 
     def doc_embeddings_us(self) -> DataFrame:
         u = lsa.left_vectors(self.features, self.factors)
@@ -81,10 +82,10 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
 
     The tokens are read twice (vocabulary, counts), so they should be stored, not recomputed.
     With the vocabulary fitted on all rows its document frequencies also give the IDF weights,
-    which saves a third pass.
+    which saves a third pass. A sample is drawn by doc_id, so it does not depend on the layout.
     """
     on_sample = 0 < cv_fit_sample < 1
-    fit_rows = articles.sample_rows(tokens, cv_fit_sample)
+    fit_rows = articles.sample_by_key(tokens, "doc_id", cv_fit_sample)
     stats = stored(terms.term_stats(fit_rows), "term_stats")
     vocab = stored(terms.vocabulary(stats, min_df, vocab_size), "vocabulary")
     names = terms.vocabulary_terms(vocab)
@@ -100,16 +101,18 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
 
 
 def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
-    """Page dump to (doc_id, title, tokens). The ids number the rows; store the result once."""
+    """Page dump to (doc_id, title, tokens). The ids number the rows of the scan, before anything is capped,
+    sampled or dealt out, so they follow from the files alone; cap and sample go by id. Store the result once."""
     read = pages.read_pages_inferred if params.infer_schema else pages.read_pages
-    scan = read(spark, params.input)
+    scan = read(spark, params.input, by_record=params.split_pages)
     few = articles.splits(scan) < params.partitions
-    rows = articles.sample_rows(articles.cap_rows(scan, params.limit_pages), params.sample)
-    rows = articles.articles(rows)
-    if few:
-        # The regular expressions dominate: deal out what the reader could not split.
+    scan = scan.withColumn("doc_id", F.monotonically_increasing_id())
+    rows = articles.cap_rows(scan, params.limit_pages, "doc_id")
+    rows = articles.articles(articles.sample_by_key(rows, "doc_id", params.sample))
+    if few or params.limit_pages > 0:
+        # The regular expressions dominate: deal out what the reader could not split, and what a cap
+        # leaves, which is in the first splits only.
         rows = articles.spread(rows, params.partitions)
-    rows = rows.withColumn("doc_id", F.monotonically_increasing_id())
     text = articles.article_text(rows, strip_markup_v1 if params.clean_v1 else strip_markup)
     tokens = terms.tokenized(text, stopwords=() if params.stopwords else ENGLISH)
     # Large word tables make the next steps read the tokens twice, and the new ids must not be
@@ -135,16 +138,20 @@ def run(spark: SparkSession, params: LsaParams) -> LsaModel:
 
 
 def parse(argv: list[str] | None = None) -> LsaParams:
-    """Command line to parameters. Unknown options are an error."""
+    """Command line to parameters. Unknown options are an error; --first_generation takes the older defaults."""
+    older = argparse.ArgumentParser(add_help=False)
+    older.add_argument("--first_generation", action="store_true")
+    chosen, argv = older.parse_known_args(argv)
+    defaults = LsaParams.first_generation("", "") if chosen.first_generation else LsaParams("", "")
     parser = argparse.ArgumentParser(description="Latent semantic analysis of a page dump")
     for field in fields(LsaParams):
         option = f"--{field.name}"
         if field.name in ("input", "out"):
             parser.add_argument(option, required=True)
         elif isinstance(field.default, bool):
-            parser.add_argument(option, action="store_true")
+            parser.add_argument(option, action=argparse.BooleanOptionalAction, default=getattr(defaults, field.name))
         else:
-            parser.add_argument(option, type=type(field.default), default=field.default)
+            parser.add_argument(option, type=type(field.default), default=getattr(defaults, field.name))
     return LsaParams(**vars(parser.parse_args(argv)))
 
 

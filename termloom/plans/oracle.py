@@ -81,13 +81,13 @@ def _tokens(name: str, source: str = "documents", stopwords=ENGLISH) -> str:
   WHERE length(token) >= 2{stop})"""
 
 
-def _vocab(name: str, tokens: str) -> str:
+def _vocab(name: str, tokens: str, size: int = q.VOCAB_SIZE) -> str:
     """CTE (term_id, term, df, cf)."""
     return f"""{name} AS (
   SELECT CAST(row_number() OVER (ORDER BY cf DESC, term) - 1 AS INTEGER) AS term_id, term, df, cf
   FROM (SELECT token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM {tokens} GROUP BY token)
   WHERE df >= {q.MIN_DF}
-  ORDER BY cf DESC, term LIMIT {q.VOCAB_SIZE})"""
+  ORDER BY cf DESC, term LIMIT {size})"""
 
 
 _TOK = _tokens("tok")
@@ -161,18 +161,18 @@ def _cells(rows: str, array: str, *keys: str, name: str = "value") -> str:
 FROM (SELECT {listed}, unnest({array}) AS x, generate_subscripts({array}, 1) AS i FROM {rows})"""
 
 
-def _neighbors(mode: str) -> str:
+def _neighbors(mode: str, candidates: str = "true") -> str:
     return f"""neighbor_rows AS (
   SELECT term, CAST(rank - 1 AS INTEGER) AS pos, neighbor, score
   FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(score, {search.SCORE_DIGITS}) DESC, term_id) AS rank
         FROM (SELECT s.term, c.term AS neighbor, c.term_id, {_cosine('s.e', 'c.e', mode)} AS score
               FROM (SELECT * FROM term_vecs WHERE term IN ({_word_list(q.SEEDS)})) s
-              CROSS JOIN (SELECT * FROM term_vecs WHERE term_id < {search.SAMPLE_CANDIDATES}) c))
+              CROSS JOIN (SELECT * FROM term_vecs WHERE {candidates}) c))
   WHERE rank <= {search.SAMPLE_NEIGHBORS})"""
 
 
-def _neighbor_query(mode: str) -> str:
-    return f"""WITH {_VOCAB}, {_TOPIC_IDS}, {_TERM_CELLS}, {_neighbors(mode)}
+def _neighbor_query(mode: str, candidates: str = "true") -> str:
+    return f"""WITH {_VOCAB}, {_TOPIC_IDS}, {_TERM_CELLS}, {_neighbors(mode, candidates)}
 SELECT term, pos, neighbor, round(score, 6) AS score FROM neighbor_rows"""
 
 
@@ -269,6 +269,7 @@ FROM (SELECT conv_id, turn, role, text, unnest(parts) AS word, generate_subscrip
 WHERE word <> ''""",
     "term_stats": f"""WITH {_TOK}
 SELECT token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY token""",
+    "vocabulary_cut": f"WITH {_TOK}, {_vocab('vocab', 'tok', q.SMALL_VOCABULARY)} SELECT term_id, term, df, cf FROM vocab",
     "vocabulary": f"WITH {_VOCAB} SELECT term_id, term, df, cf FROM vocab",
     "term_frequency": f"WITH {_TFIDF} SELECT doc_id, term_id, tf FROM tf",
     "idf": f"WITH {_TFIDF} SELECT term_id, term, round(idf, 6) AS idf FROM idf",
@@ -304,6 +305,7 @@ FROM sides""",
 docs_in AS (SELECT doc_id, 'doc ' || doc_id AS title, list(value ORDER BY topic) AS e FROM doc_cells GROUP BY doc_id)
 {_similar('docs_in', 'doc_id', 'title', "SELECT e FROM term_vecs WHERE term = 'de'", None)}""",
     "neighbor_samples": _neighbor_query("sample_v3"),
+    "neighbor_samples_cut": _neighbor_query("sample_v3", f"term_id < {q.SAMPLE_CANDIDATES}"),
     "neighbor_samples_v1": _neighbor_query("sample_v1"),
     "batch_knn": _PAIRS,
     "batch_knn_blocks": _PAIRS,

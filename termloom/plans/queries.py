@@ -19,7 +19,9 @@ from termloom.settings import scratch_path, stored
 from termloom.sources import artifacts, pages
 
 MIN_DF = 5
-VOCAB_SIZE = 5000
+VOCAB_SIZE = 80_000
+SMALL_VOCABULARY = 500
+SAMPLE_CANDIDATES = 300
 FIXED_RANK = 8
 RANK = 20
 TOP_TERMS = 10
@@ -167,7 +169,7 @@ def xml_pages_roundtrip(spark, sf_dir):
 
 def xml_pages_by_record(spark, sf_dir):
     """The scan for files too large for one task."""
-    return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir), split_bytes=0))
+    return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir), by_record=True))
 
 
 def xml_pages_inferred(spark, sf_dir):
@@ -264,6 +266,12 @@ def term_stats(spark, sf_dir):
     return terms.term_stats(_tokens(spark, sf_dir))
 
 
+def vocabulary_cut(spark, sf_dir):
+    """A vocabulary that the size limit cuts."""
+    stats = terms.term_stats(_tokens(spark, sf_dir))
+    return terms.vocabulary(stored(stats, "term_stats"), MIN_DF, SMALL_VOCABULARY)
+
+
 def vocabulary(spark, sf_dir):
     return _vocabulary(spark, sf_dir)
 
@@ -342,7 +350,7 @@ def svd_gram(spark, sf_dir):
 def svd_similar_docs(spark, sf_dir):
     """Search after a full-rank projection A V; the rotation keeps every cosine."""
     rows, factors = _embedding_factors(spark, sf_dir)
-    docs = lsa.project_on_matrix(rows, factors.v).select(
+    docs = lsa.project_on_factors(rows, factors).select(
         F.col("vec_id").alias("doc_id"), F.col("vec_id").cast("string").alias("title"), "embedding"
     )
     return _ranked(search.similar_docs(docs, 3), "doc_id", "title")
@@ -422,6 +430,12 @@ def neighbor_samples(spark, sf_dir):
     return _neighbor_rows(search.neighbor_samples(_fixed_terms(vocab), SEEDS))
 
 
+def neighbor_samples_cut(spark, sf_dir):
+    """Neighbours among the first terms of the vocabulary only."""
+    vocab = stored(_vocabulary(spark, sf_dir), "vocabulary")
+    return _neighbor_rows(search.neighbor_samples(_fixed_terms(vocab), SEEDS, candidates=SAMPLE_CANDIDATES))
+
+
 def neighbor_samples_v1(spark, sf_dir):
     vocab = stored(_vocabulary(spark, sf_dir), "vocabulary")
     return _neighbor_rows(search.neighbor_samples(_fixed_terms(vocab), SEEDS, mode=vectors.SAMPLE_V1))
@@ -651,7 +665,7 @@ QUERIES = {
         doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, svd_gram,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,
-        neighbor_samples_v1, batch_knn, batch_knn_blocks, resolve_title, title_status, select_title,
+        neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, resolve_title, title_status, select_title,
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,

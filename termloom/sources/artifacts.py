@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.settings import stored
+
 # Names of the result folders and the columns of their rows.
 TOPICS, TERMS, DOCS, NEIGHBORS = "topics", "term_embeddings", "doc_embeddings", "term_neighbors_samples"
 SCHEMAS = {
@@ -63,10 +65,14 @@ def write_term_embeddings(df: DataFrame, out: str, fmt: str = "json") -> str:
 
 
 def write_neighbors(df: DataFrame, out: str, fmt: str = "json") -> str | None:
-    """Write the neighbour samples; nothing at all when no seed was a known term."""
-    if df.isEmpty():
+    """Write the neighbour samples; nothing at all when no seed was a known term.
+
+    The rows are stored first, so that the test and the write do not each run the search.
+    """
+    found = stored(df, "neighbors")
+    if found.isEmpty():
         return None
-    return write_artifact(df, out, NEIGHBORS, fmt)
+    return write_artifact(found, out, NEIGHBORS, fmt)
 
 
 def read_artifact(spark: SparkSession, out: str, kind: str, fmt: str = "json") -> DataFrame:
@@ -77,6 +83,25 @@ def read_artifact(spark: SparkSession, out: str, kind: str, fmt: str = "json") -
     return spark.read.format(fmt).schema(schema).load(artifact_path(out, kind))
 
 
+def in_file_order(records: DataFrame, name: str) -> DataFrame:
+    """Add a number that grows with the file's path, the place of the split in it, and the row's place there.
+
+    Spark deals large splits first, so row numbers alone do not follow the part files. One narrow pass lists the
+    splits that hold rows; their ranks are joined, and the row number counts within a split.
+    """
+    split = records.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    # Rows of one task are numbered without gaps, and a split is read by one task.
+    placed = stored(split.withColumn("_place", F.monotonically_increasing_id()), "file_order")
+    splits = placed.groupBy("_path", "_start").agg(F.min("_place").alias("_low"), F.count("*").alias("_rows"))
+    order = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split of the files.
+    ranked = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(order), F.lit(0)))
+    numbered = placed.join(ranked.drop("_rows"), ["_path", "_start"])
+    return numbered.withColumn(name, F.col("_before") + F.col("_place") - F.col("_low")).drop(
+        "_path", "_start", "_place", "_low", "_before"
+    )
+
+
 def embedding_matrix(records: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
     """Records as (label, embedding, vector); a record without its label or embedding is dropped."""
     return records.filter(F.col(label).isNotNull() & F.col(vector).isNotNull()).withColumn(

@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.sources.artifacts import list_files
-
 ROW_TAG = "page"
-# Largest file that is left to one task.
-SPLIT_BYTES = 256 * 1024 * 1024
-
+# The page schema is the input format.
 # `redirect` only has to tell null from not null; the attribute also keeps its target.
 PAGE_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
@@ -33,15 +29,14 @@ def project_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG, by_record: bool = False) -> DataFrame:
     """Scan pages with the fixed schema, so no inference pass reads the dump first.
 
-    The XML reader gives every file to a single task. That is the cheaper scan while no file
-    is larger than `split_bytes`; a dump with a larger one is cut into records first.
+    The XML reader gives every file to a single task. With `by_record` large files are cut into records
+    instead. The caller chooses, because the two differ on what XML allows and dumps do not use: pages inside
+    comments, and closing row tags inside CDATA sections, which only the first reads as XML does.
     """
-    largest = list_files(spark, path).agg(F.max("length")).first()[0] or 0
-    read = read_pages_by_record if largest > split_bytes else read_pages_by_file
-    return read(spark, path, row_tag)
+    return (read_pages_by_record if by_record else read_pages_by_file)(spark, path, row_tag)
 
 
 def read_pages_by_file(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
@@ -59,23 +54,28 @@ def read_pages_by_file(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -
 def read_pages_by_record(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
     """The same rows with large files split between tasks: the text reader ends a record at every
     closing row tag, and each record is parsed by itself."""
+    return project_pages(_records(spark, path, row_tag, PAGE_SCHEMA))
+
+
+def _records(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
     records = spark.read.option("lineSep", f"</{row_tag}>").text(path)
     # What precedes the opening tag is the head of the dump or the space between two pages.
     page = F.regexp_extract("value", rf"(?s)<{row_tag}[\s>].*", 0)
     parsed = records.select(
         F.from_xml(
             F.concat(page, F.lit(f"</{row_tag}>")),
-            PAGE_SCHEMA.simpleString(),
+            schema.simpleString(),
             {"rowTag": row_tag, "ignoreSurroundingSpaces": "false"},
         ).alias("page")
     ).filter(F.length(page) > 0)
-    return project_pages(parsed.select("page.*"))
+    return parsed.select("page.*")
 
 
 def read_pages_inferred(
-    spark: SparkSession, path: str, row_tag: str = ROW_TAG, sampling_ratio: float = 1.0
+    spark: SparkSession, path: str, row_tag: str = ROW_TAG, sampling_ratio: float = 1.0, by_record: bool = False
 ) -> DataFrame:
-    """Scan pages with an inferred schema; parts that no page carries come back as NULL."""
+    """Scan pages with an inferred schema; parts that no page carries come back as NULL. With `by_record` the rows are
+    read with the inferred schema from split files, see `read_pages`."""
     pages = (
         spark.read.format("xml")
         .option("rowTag", row_tag)
@@ -83,6 +83,8 @@ def read_pages_inferred(
         .option("samplingRatio", sampling_ratio)
         .load(path)
     )
+    if by_record:
+        pages = _records(spark, path, row_tag, pages.schema)
     revision = _field(pages.schema, "revision")
     text = _field(revision, "text")
     if isinstance(text, T.StructType):

@@ -134,3 +134,32 @@ def test_last_vector_per_term(spark):
     rows = spark.createDataFrame([(0, "a", [1.0]), (1, "b", [2.0]), (2, "a", [3.0])], "term_id long, term string, embedding array<double>")
     found = {r.term: (r.embedding, r.first_seen) for r in clusters.last_per_term(rows).collect()}
     assert found == {"a": ([3.0], 0), "b": ([2.0], 1)}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_bytes": 0, "block_rows": 3}])
+def test_silhouette_of_repeated_keys(spark, sizes):
+    rows = [(1, [0.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [9.0, 9.0], 1), (None, [9.0, 8.0], 1), (None, [0.0, 1.0], 0)]
+    points = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    found = clusters.silhouette(points, ["label"], "id", **sizes).first().silhouette
+    x, labels = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    scores = []
+    for i in range(len(x)):
+        d = np.linalg.norm(x - x[i], axis=1)
+        same = labels == labels[i]
+        a, b = d[same].sum() / (same.sum() - 1), d[~same].mean()
+        scores.append((b - a) / max(a, b))
+    assert abs(found - np.mean(scores)) < 1e-9
+
+
+def test_fits_in_halves_are_the_same(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 5), float(i * i % 7)]) for i in range(60)], "id long, features array<double>")
+    whole = clusters.fit_centers(points, "id", [2, 3], restarts=2)
+    monkeypatch.setattr(clusters, "BROADCAST_BYTES", 3 * 2 * 8)
+    halves = clusters.fit_centers(points, "id", [2, 3], restarts=2)
+    assert all(np.allclose(whole[k], halves[k]) for k in whole)
+
+
+def test_a_fit_cut_short_says_so(spark):
+    points = spark.createDataFrame([(i, [float(i * i % 97)]) for i in range(200)], "id long, features array<double>")
+    with pytest.warns(UserWarning, match="still moved"):
+        clusters.fit_centers(points, "id", [5], restarts=1, max_iterations=1)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom import settings
+from termloom.operators import clusters, search
 from termloom.plans import explore, lsa_job, queries
 from termloom.sources import artifacts, pages
 
@@ -66,10 +67,13 @@ def test_explorer(spark, out):
 
 def test_command_line():
     params = lsa_job.parse(["--input", "a", "--out", "b", "--k", "7", "--clean_v1"])
-    assert (params.k, params.min_df, params.vocab_size, params.cv_fit_sample, params.clean_v1) == (7, 30, 80000, 0.1, True)
+    assert (params.k, params.min_df, params.vocab_size, params.cv_fit_sample, params.clean_v1) == (7, 30, 80000, 1.0, True)
     with pytest.raises(SystemExit):
         lsa_job.parse(["--input", "a", "--out", "b", "--unknown", "1"])
-    old = lsa_job.LsaParams.first_generation("a", "b")
+    old = lsa_job.parse(["--first_generation", "--input", "a", "--out", "b", "--no-clean_v1"])
+    assert not old.clean_v1 and old.infer_schema
+    old = lsa_job.parse(["--first_generation", "--input", "a", "--out", "b"])
+    assert old == lsa_job.LsaParams.first_generation("a", "b")
     assert (old.k, old.min_df, old.vocab_size, old.partitions) == (400, 5, 200000, 200)
 
 
@@ -79,3 +83,34 @@ def test_scratch_folder_is_the_sessions(spark):
     assert path != settings.scratch_path(spark, "x")
     if named:
         assert path.startswith(named.rstrip("/"))
+
+
+def test_capped_job_is_parallel_and_stable(spark, out):
+    """After a cap the rows are dealt out, and ids do not depend on the number of tasks."""
+    found = []
+    for partitions in (3, 5, 5):
+        params = lsa_job.LsaParams(input=out.rsplit("/", 1)[0] + "/dump", out=out, partitions=partitions, limit_pages=60, sample=0.8)
+        tokens = lsa_job.article_tokens(spark, params)
+        assert tokens.rdd.getNumPartitions() == partitions
+        found.append({(r.doc_id, r.title) for r in tokens.collect()})
+    assert found[0] == found[1] == found[2] and 0 < len(found[0]) <= 60
+
+
+def test_result_rows_without_keys_are_in_file_order(spark, tmp_path):
+    """A title's first document and a term's last vector go by part file and place, not by size of the split."""
+    folder = tmp_path / "keyless"
+    for kind, label in (("doc_embeddings", "title"), ("term_embeddings", "term")):
+        (folder / kind).mkdir(parents=True)
+        small = [{label: "dup", "embedding": [1.0, 0.0]}]
+        large = [{label: f"x{i}", "embedding": [0.0, float(i)]} for i in range(3000)] + [{label: "dup", "embedding": [2.0, 0.0]}]
+        for part, rows in enumerate((small, large)):
+            (folder / kind / f"part-0000{part}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (folder / "topics").mkdir()
+    topic = {"topic": 0, "singular_value": 1.0, "terms": ["dup"], "weights": [1.0]}
+    (folder / "topics" / "part-00000.json").write_text(json.dumps(topic) + "\n")
+    explorer = explore.Explorer(spark, str(folder))
+    assert search.select_title(explorer.docs, "dup").first().embedding == [1.0, 0.0]
+    last = clusters.last_per_term(explorer.terms).where("term = 'dup'").first()
+    assert last.embedding == [2.0, 0.0] and last.first_seen == 0
+    order = [r.title for r in explorer.docs.orderBy("doc_id").collect()]
+    assert order == ["dup", *(f"x{i}" for i in range(3000)), "dup"]

@@ -75,7 +75,7 @@ def tiny(spark):
 def test_low_rank_gives_fewer_values_and_too_large_k_fails(spark, tiny):
     factors = lsa.truncated_svd(tiny, 3)
     assert np.allclose(factors.singular_values, [np.sqrt(5), 1.0])
-    found = by_id(lsa.project_on_matrix(tiny, factors.v), "embedding")
+    found = by_id(lsa.project_on_factors(tiny, factors), "embedding")
     assert np.allclose(np.abs(found[1]), [2, 0]) and np.allclose(found[3], [0, 0])
     topics = lsa.topics(factors.term_vectors(spark, ["a", "b", "c"]), factors.singular_table(spark))
     assert topics.count() == 2
@@ -106,3 +106,21 @@ def test_topic_strength_in_order(spark):
     assert [tuple(r) for r in lsa.topic_strength(rows).select(F.col("topic"), "singular_value").collect()] == [
         (0, 3.0), (1, 2.0),
     ]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 8 * 3, 0])
+def test_projection_of_dense_rows_and_repeated_keys(spark, max_bytes):
+    v = np.arange(12.0).reshape(3, 4)
+    rows = [(1, Vectors.dense([1.0, 2.0, 0.0])), (1, Vectors.sparse(3, {2: 2.0})), (None, Vectors.sparse(3, {})), (1, Vectors.dense([0.0, 0.0, 1.0]))]
+    features = spark.createDataFrame(rows, ["doc_id", "features"])
+    table = spark.createDataFrame([(i, f"t{i}", row.tolist()) for i, row in enumerate(v)], "term_id int, term string, v array<double>")
+    want = sorted((str(k), (x.toArray() @ v).tolist()) for k, x in rows)
+    assert sorted((str(r.doc_id), r.embedding) for r in lsa.project_documents(features, table, max_bytes=max_bytes).collect()) == want
+    factors = lsa.Factors(np.array([4.0, 3.0, 2.0, 1.0]), v)
+    assert sorted((str(r.doc_id), r.embedding) for r in lsa.project_on_factors(features, factors, max_bytes=max_bytes).collect()) == want
+    scaled = sorted((k, np.round(np.array(e) / factors.singular_values, 9).tolist()) for k, e in want)
+    u_rows = lsa.left_vectors(features, factors, max_bytes=max_bytes).collect()
+    assert sorted((str(r.doc_id), np.round(r.u, 9).tolist()) for r in u_rows) == scaled
+    for broken in (table.where("term_id <> 1"), table.union(table)):
+        with pytest.raises(ValueError, match="gaps"):
+            lsa.project_documents(features, broken, max_bytes=max_bytes)

@@ -28,9 +28,9 @@ def dump(tmp_path):
     return write
 
 
-@pytest.mark.parametrize("split_bytes", [pages.SPLIT_BYTES, 0])
-def test_read_pages(spark, dump, split_bytes):
-    read = pages.read_pages(spark, dump(ROWS), split_bytes=split_bytes)
+@pytest.mark.parametrize("by_record", [False, True])
+def test_read_pages(spark, dump, by_record):
+    read = pages.read_pages(spark, dump(ROWS), by_record=by_record)
     found = {r.title: r for r in read.collect()}
     assert len(found) == 8
     assert found["Alpha"].raw_text == "alpha [[a|b]] text"
@@ -44,8 +44,9 @@ def test_read_pages(spark, dump, split_bytes):
     assert {tuple(r) for r in kept.collect()} == {("Alpha", "alpha b text"), ("NoAttr", "plain text")}
 
 
-def test_read_pages_inferred(spark, dump):
-    rows = pages.read_pages_inferred(spark, dump(ROWS))
+@pytest.mark.parametrize("by_record", [False, True])
+def test_read_pages_inferred(spark, dump, by_record):
+    rows = pages.read_pages_inferred(spark, dump(ROWS), by_record=by_record)
     kept = articles.article_text(articles.articles(rows))
     assert {r.title for r in kept.collect()} == {"Alpha", "NoAttr"}
 
@@ -112,3 +113,23 @@ def test_parquet_smoke(spark, tmp_path):
     assert artifacts.read_parquet(spark, f"{tmp_path}/t").orderBy("id").collect() == table.collect()
     files = artifacts.list_files(spark, f"{tmp_path}/t")
     assert files.filter(F.col("length") > 0).count() >= 1
+
+
+def test_file_size_does_not_choose_the_rows(spark, dump, tmp_path):
+    """Pages in comments and closing tags in CDATA read as XML says unless the caller asks for records."""
+    body = PAGE.format(title="In", ns=0, redirect="", attr="", text="<![CDATA[a </page> b]]>")
+    path = tmp_path / "odd.xml"
+    path.write_text(f"<mediawiki>\n<!-- {PAGE.format(title='Out', ns=0, redirect='', attr='', text='x')} -->\n{body}\n</mediawiki>", encoding="utf8")
+    rows = pages.read_pages(spark, str(path)).collect()
+    assert [(r.title, r.raw_text) for r in rows] == [("In", "a </page> b")]
+
+
+def test_inferred_by_record_uses_several_tasks(spark, dump):
+    path = dump(ROWS * 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256 * 1024)
+    try:
+        rows = pages.read_pages_inferred(spark, path, by_record=True)
+        assert rows.rdd.getNumPartitions() > 1
+        assert rows.count() == 8 * 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

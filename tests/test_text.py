@@ -102,6 +102,31 @@ def test_stop_table_as_set_and_join(spark, small, monkeypatch):
     assert by_id(terms.without_listed(small, table)) == kept
 
 
+def test_both_forms_agree_on_nulls_and_repeated_keys(spark, monkeypatch):
+    rows = [(1, ["dogs", None, "run"]), (1, ["dogs"]), (None, ["ran"]), (2, None), (2, []), (None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    lexicon = spark.createDataFrame([("dogs", "dog"), ("ran", "run"), (None, "x")], "form string, lemma string")
+    listed = spark.createDataFrame([("run",), (None,)], "word string")
+
+    def both():
+        return [sorted(map(str, f.collect())) for f in (terms.lemmatized(odd, lexicon), terms.without_listed(odd, listed))]
+
+    small = both()
+    assert "Row(doc_id=1, tokens=['dog', None, 'run'])" in small[0] and "Row(doc_id=2, tokens=None)" in small[0]
+    assert "Row(doc_id=1, tokens=['dogs'])" in small[1] and "Row(doc_id=2, tokens=None)" in small[1]
+    monkeypatch.setattr(terms, "LEXICON_ROWS", 1)
+    monkeypatch.setattr(terms, "STOPWORD_ROWS", 0)
+    assert both() == small
+
+
+def test_term_counts_explode_once(spark):
+    tokens = terms.tokenized(spark.createDataFrame([(1, "b a b"), (2, "a c"), (3, None)], "doc_id long, text string"), stopwords=())
+    stats = terms.term_stats(spark.createDataFrame([(1, ["b", "a", "b", None]), (2, ["a"]), (3, None)], "doc_id long, tokens array<string>"))
+    assert {tuple(r) for r in stats.collect()} == {("a", 2, 2), ("b", 1, 2)}
+    plan = terms.term_stats(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("Generate") == 1
+
+
 def test_vocabulary_breaks_ties_by_term(spark, small):
     stats = terms.term_stats(small)
     assert {tuple(r) for r in stats.collect()} == {("dogs", 2, 3), ("run", 1, 1), ("cat", 1, 1)}
