@@ -29,7 +29,7 @@ from termloom.llm.words import mixed, row_blocks, words_of
 from termloom.settings import stored
 
 ORDER = 2
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 1_250_000
 TEXT_BLOCK = 2 << 20
 BUCKETS_PER_PARTITION = 4
 # Context frequencies 0, 1, 2-3, 4-7, ... and the steps of the grid per doubling of an estimate.
