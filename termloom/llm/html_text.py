@@ -76,24 +76,34 @@ def parse(page: str) -> tuple[Node, list[str]]:
     stack, styles, at = [root], [], 0
     end_of_page = len(page)
 
+    # Places of the open elements in the stack, by tag, so that nesting of any depth is looked up at once.
+    places: dict[str, list[int]] = {"html": [0]}
+
+    def push(node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((found[-1] for tag in tags if (found := places.get(tag))), default=-1)
+
     def close_to(tags, bounds) -> bool:
         """Close the innermost open element of `tags`, unless one of `bounds` is open inside it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in bounds:
-                return False
-        return False
+        place = innermost(tags)
+        if place < 1 or place < len(stack) - 1 and innermost(bounds - tags) > place:
+            return False
+        cut(place)
+        return True
 
     def strayed():
         """The open table's parent if the current element may only hold table parts."""
         if stack[-1].tag not in TABLE_HOLDERS:
             return None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "table":
-                return stack[i - 1], stack[i]
-        return None
+        place = innermost({"table"})
+        return (stack[place - 1], stack[place]) if place > 0 else None
 
     def put(child):
         moved = strayed() if not isinstance(child, Node) or child.tag not in TABLE_PARTS | HEAD_ONLY | {"form"} else None
@@ -116,7 +126,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 continue
             if not text.isspace():
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    cut(len(stack) - 1)
                 put(html.unescape(text) if "&" in text else text)
             elif stack[-1].tag not in TABLE_HOLDERS:
                 stack[-1].children.append(text)
@@ -124,7 +134,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
         tag = name.lower()
         raw = token[3] if token[2] else token[6]
         if token[1] or token[4]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places.get("p"):
                 put(Node("p", {}))
             elif tag == "br":
                 put(Node("br", {}))
@@ -139,12 +149,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         attributes = _attributes(raw) if raw and not raw.isspace() else {}
         if tag in ("html", "body"):
-            while stack[-1].tag == "head":
-                stack.pop()
+            if stack[-1].tag == "head":
+                cut(len(stack) - 1)
             stack[0].attributes = {**attributes, **stack[0].attributes}
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close_to({"p"}, SCOPE)
         if tag == "li":
@@ -157,21 +167,21 @@ def parse(page: str) -> tuple[Node, list[str]]:
             close_to({"rt", "rp"}, {"ruby"})
         elif tag in HEADINGS:
             if stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
         elif tag in ("a", "button"):
             close_to({tag}, BLOCK | SCOPE - {tag})
         elif tag in TABLE_PARTS:
-            if not any(n.tag == "table" for n in stack):
+            if not places.get("table"):
                 continue
             while stack[-1].tag != "table" and not (
                 stack[-1].tag == "tr" and tag in ("td", "th") or stack[-1].tag in SECTIONS and tag in ("tr", "td", "th")
                 or stack[-1].tag == "colgroup" and tag == "col"
             ):
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in ("td", "th") and stack[-1].tag != "tr":
                 row = Node("tr", {})
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
         node = Node(tag, attributes)
         put(node)
         if tag in RAW:
@@ -182,8 +192,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 styles.append(content)
             elif tag in ("textarea", "xmp"):
                 node.children.append(html.unescape(content) if tag == "textarea" else content)
-        elif tag not in VOID and not (raw.endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
-            stack.append(node)
+        elif tag not in VOID and not (raw.endswith("/") and (places.get("svg") or places.get("math"))):
+            push(node)
     return root, styles
 
 
