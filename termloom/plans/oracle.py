@@ -124,6 +124,32 @@ SELECT topic, singular_value, pos, term, round(weight, 6) AS weight FROM topic_r
 _VECS = "vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
+def _svd_truncated(steps: int = 3000) -> str:
+    """Two leading eigenvectors of A'A by power iteration, the second after taking the first out."""
+
+    def iterated(name: str, matrix: str) -> str:
+        return f"""{name}_steps(n, v) AS (
+  SELECT 0, list_transform(range((SELECT max(len(e)) FROM vecs)), lambda i: 1.0 + (i * 7 % 11) / 10.0)
+  UNION ALL
+  SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+  FROM (SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name}_steps, {matrix} WHERE n < {steps})),
+{name} AS (SELECT list_transform(v, lambda x: x * sign(list_max(v) + list_min(v))) AS v FROM {name}_steps WHERE n = {steps})"""
+
+    return f"""WITH RECURSIVE {_VECS},
+cells AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM vecs),
+gram AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list(g ORDER BY j) AS r FROM (
+    SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS g FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL) GROUP BY i)),
+{iterated("first", "gram")},
+one AS (SELECT v, m, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM first, gram),
+rest AS (SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM one),
+{iterated("second", "rest")},
+two AS (SELECT v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM second, gram)
+SELECT vec_id, round(list_dot_product(e, one.v), 4) AS us_0, round(list_dot_product(e, two.v), 4) AS us_1,
+       round(sqrt(one.l), 4) AS s_0, round(sqrt(two.l), 4) AS s_1
+FROM vecs, one, two"""
+
+
 def _norm(v: str) -> str:
     return f"sqrt(list_dot_product({v}, {v}))"
 
@@ -288,6 +314,7 @@ SELECT DISTINCT topic, singular_value FROM topic_rows""",
     "svd_gram": f"""WITH {_LONG}
 SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x), 6) AS value
 FROM cells a JOIN cells b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos""",
+    "svd_truncated": _svd_truncated(),
     "svd_similar_docs": f"""WITH {_VECS}, docs_in AS (SELECT vec_id AS doc_id, CAST(vec_id AS VARCHAR) AS title, e FROM vecs)
 {_similar('docs_in', 'doc_id', 'title', 'SELECT doc_id AS own, e FROM docs_in WHERE doc_id = 3', 'own')}""",
     "vector_norms": f"""WITH {_VECS} SELECT vec_id, round({_norm('e')}, 6) AS norm,

@@ -347,6 +347,18 @@ def svd_gram(spark, sf_dir):
     return artifacts.literal_table(spark, cells, "i int, j int, value double").withColumn("value", F.round("value", 6))
 
 
+def svd_truncated(spark, sf_dir):
+    """U S of the two largest singular values: the solver cut at rank 2, then U scaled by S."""
+    rows = clusters.with_vector(_points(spark, sf_dir)).select("vec_id", F.col("vector").alias("features"))
+    factors = lsa.truncated_svd(rows, 2)
+    cells = lsa.scaled_documents(lsa.left_vectors(rows, factors), factors.singular_values.tolist())
+    return cells.select(
+        "vec_id",
+        *[F.round(F.col("embedding")[j], 4).alias(f"us_{j}") for j in range(2)],
+        *[F.round(F.lit(float(s)), 4).alias(f"s_{j}") for j, s in enumerate(factors.singular_values)],
+    )
+
+
 def svd_similar_docs(spark, sf_dir):
     """Search after a full-rank projection A V; the rotation keeps every cosine."""
     rows, factors = _embedding_factors(spark, sf_dir)
@@ -662,7 +674,7 @@ QUERIES = {
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
         collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
         normalize_query, term_stats, vocabulary, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,
-        doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, svd_gram,
+        doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, svd_gram, svd_truncated,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,
         neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, resolve_title, title_status, select_title,
