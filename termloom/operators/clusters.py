@@ -57,9 +57,9 @@ def with_vector(points: DataFrame) -> DataFrame:
     return points.withColumn("vector", array_to_vector("features"))
 
 
-def kmeans(points: DataFrame, key: str, k: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """(cluster, center) of the cheapest of `restarts` fits."""
-    return _center_table(points.sparkSession, fit_centers(points, key, [k], restarts, seed)[k])
+def kmeans(points: DataFrame, key: str, k: int, restarts: int = RESTARTS, seed: int = SEED, **fit) -> DataFrame:
+    """(cluster, center) of the cheapest of `restarts` fits. `fit` goes to `fit_centers`."""
+    return _center_table(points.sparkSession, fit_centers(points, key, [k], restarts, seed, **fit)[k])
 
 
 def _center_table(spark: SparkSession, centers: np.ndarray) -> DataFrame:
@@ -75,8 +75,9 @@ def fit_centers(
     seed: int = SEED,
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
+    starts: dict[int, np.ndarray] | None = None,
 ) -> dict[int, np.ndarray]:
-    """Centres of the cheapest of `restarts` k-means fits, for every k of `ks`.
+    """Centres of the cheapest of `restarts` k-means fits, for every k of `ks`, or of the one fit from `starts[k]`.
 
     All fits advance together: one pass over the points serves every k and every restart, so
     the number of passes is that of the slowest fit, not the sum of all. The driver holds only
@@ -86,8 +87,12 @@ def fit_centers(
     rows = points.select(F.xxhash64(key, F.lit(seed)).alias("_hash"), "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         variance = rows.select(Summarizer.variance(array_to_vector("features"))).first()[0].toArray().mean()
-        seeds = _seed_centers(rows, max(ks), restarts)
-        fits = {(k, r): seeds[r][:k] for k in ks for r in range(restarts)}
+        if starts:
+            restarts = 1
+            fits = {(k, 0): np.asarray(starts[k], dtype=float) for k in ks}
+        else:
+            seeds = _seed_centers(rows, max(ks), restarts)
+            fits = {(k, r): seeds[r][:k] for k in ks for r in range(restarts)}
         moving = set(fits)
         for _ in range(max_iterations):
             updated, _costs = _lloyd_step(rows, {name: fits[name] for name in moving})
@@ -480,11 +485,11 @@ def pick_k(scores: DataFrame, mode: str = "fixed", k: int = DEFAULT_K) -> DataFr
 
 
 def final_clusters(
-    points: DataFrame, key: str, k: int = DEFAULT_K, restarts: int = RESTARTS, seed: int = SEED
+    points: DataFrame, key: str, k: int = DEFAULT_K, restarts: int = RESTARTS, seed: int = SEED, **fit
 ) -> tuple[DataFrame, DataFrame]:
-    """Normalise, cluster, label: (points with `cluster`, centres)."""
+    """Normalise, cluster, label: (points with `cluster`, centres). `fit` goes to `fit_centers`."""
     unit_points = normalized(points)
-    centers = fit_centers(unit_points, key, [k], restarts, seed)[k]
+    centers = fit_centers(unit_points, key, [k], restarts, seed, **fit)[k]
     return _with_nearest(unit_points, {"cluster": centers}), _center_table(points.sparkSession, centers)
 
 

@@ -124,27 +124,61 @@ SELECT topic, singular_value, pos, term, round(weight, 6) AS weight FROM topic_r
 _VECS = "vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
-def _svd_truncated(steps: int = 3000) -> str:
-    """Two leading eigenvectors of A'A by power iteration, the second after taking the first out."""
-
-    def iterated(name: str, matrix: str) -> str:
-        return f"""{name}_steps(n, v) AS (
-  SELECT 0, list_transform(range((SELECT max(len(e)) FROM vecs)), lambda i: 1.0 + (i * 7 % 11) / 10.0)
+def _iterated(name: str, matrix: str, width: str, steps: int = 3000) -> str:
+    """CTE (v): leading eigenvector of a symmetric matrix (CTE with m) by power iteration, largest entry positive."""
+    return f"""{name}_steps(n, v) AS (
+  SELECT 0, list_transform(range(({width})), lambda i: 1.0 + (i * 7 % 11) / 10.0)
   UNION ALL
   SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
   FROM (SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name}_steps, {matrix} WHERE n < {steps})),
 {name} AS (SELECT list_transform(v, lambda x: x * sign(list_max(v) + list_min(v))) AS v FROM {name}_steps WHERE n = {steps})"""
 
-    return f"""WITH RECURSIVE {_VECS},
-cells AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM vecs),
-gram AS (SELECT list(r ORDER BY i) AS m FROM (
-  SELECT i, list(g ORDER BY j) AS r FROM (
-    SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS g FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL) GROUP BY i)),
-{iterated("first", "gram")},
-one AS (SELECT v, m, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM first, gram),
+
+def _two_axes(matrix: str) -> str:
+    """CTEs one and two (v, l): the two leading eigenvectors and eigenvalues of CTE `matrix` (m)."""
+    width = f"SELECT len(m) FROM {matrix}"
+    return f"""{_iterated("first", matrix, width)},
+one AS (SELECT v, m, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM first, {matrix}),
 rest AS (SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM one),
-{iterated("second", "rest")},
-two AS (SELECT v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM second, gram)
+{_iterated("second", "rest", width)},
+two AS (SELECT v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM second, {matrix})"""
+
+
+def _product(name: str, rows: str) -> str:
+    """CTE (m): the sums of products of the columns of `rows` (vec_id, e)."""
+    return f"""{name}_cells AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {rows}),
+{name} AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list(g ORDER BY j) AS r FROM (
+    SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS g FROM {name}_cells a JOIN {name}_cells b USING (vec_id) GROUP BY ALL)
+  GROUP BY i))"""
+
+
+_UNIT = """unit AS (
+  SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN list_dot_product(e, e) > 0 THEN sqrt(list_dot_product(e, e)) ELSE 1 END) AS e
+  FROM vecs)"""
+
+
+def _lloyd(rows: str) -> str:
+    """CTEs c<t> (cluster, e) and a<t> (vec_id, cluster): k-means steps from the first vectors of `rows`."""
+    parts = [f"{rows}_long AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {rows})",
+             f"c0 AS (SELECT CAST(vec_id AS INTEGER) AS cluster, e FROM {rows} WHERE vec_id < {clusters.DEFAULT_K})"]
+    for t in range(q.LLOYD_STEPS + 1):
+        parts.append(f"""a{t} AS (SELECT p.vec_id, arg_min(cluster, list_distance(p.e, c{t}.e)) AS cluster
+  FROM {rows} p CROSS JOIN c{t} GROUP BY p.vec_id)""")
+        parts.append(f"""c{t + 1} AS (SELECT cluster, list(x ORDER BY pos) AS e FROM (
+  SELECT cluster, pos, avg(x) AS x FROM a{t} JOIN {rows}_long USING (vec_id) GROUP BY cluster, pos) GROUP BY cluster)""")
+    return ",\n".join(parts)
+
+
+_AXES = f"""mean AS (SELECT list(x ORDER BY pos) AS mu FROM (
+  SELECT pos, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM unit) GROUP BY pos)),
+middle AS (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda i: e[i] - mu[i]) AS e FROM unit, mean),
+{_product("spread", "middle")},
+{_two_axes("spread")}"""
+
+_SVD_TRUNCATED = f"""WITH RECURSIVE {_VECS},
+{_product("gram", "vecs")},
+{_two_axes("gram")}
 SELECT vec_id, round(list_dot_product(e, one.v), 4) AS us_0, round(list_dot_product(e, two.v), 4) AS us_1,
        round(sqrt(one.l), 4) AS s_0, round(sqrt(two.l), 4) AS s_1
 FROM vecs, one, two"""
@@ -314,7 +348,18 @@ SELECT DISTINCT topic, singular_value FROM topic_rows""",
     "svd_gram": f"""WITH {_LONG}
 SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x), 6) AS value
 FROM cells a JOIN cells b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos""",
-    "svd_truncated": _svd_truncated(),
+    "svd_truncated": _SVD_TRUNCATED,
+    "kmeans_given": f"""WITH {_VECS}, {_lloyd('vecs')}
+SELECT cluster, CAST(i - 1 AS INTEGER) AS pos, round(x, 6) AS value
+FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM c{q.LLOYD_STEPS})""",
+    "final_clusters_given": f"""WITH {_VECS}, {_UNIT}, {_lloyd('unit')} SELECT vec_id, cluster FROM a{q.LLOYD_STEPS}""",
+    "pca_2d": f"""WITH RECURSIVE {_VECS}, {_UNIT}, {_AXES}
+SELECT vec_id, round(list_dot_product(e, one.v), 4) AS x, round(list_dot_product(e, two.v), 4) AS y FROM middle, one, two""",
+    "scatter_given": f"""WITH RECURSIVE {_VECS}, {_UNIT}, {_lloyd('unit')}, {_AXES}, shown AS (
+  SELECT middle.e, cluster, false AS is_center FROM middle JOIN a{q.LLOYD_STEPS} USING (vec_id)
+  UNION ALL
+  SELECT list_transform(range(1, len(e) + 1), lambda i: e[i] - mu[i]), cluster, true FROM c{q.LLOYD_STEPS}, mean)
+SELECT round(list_dot_product(e, one.v), 4) AS x, round(list_dot_product(e, two.v), 4) AS y, cluster, is_center FROM shown, one, two""",
     "svd_similar_docs": f"""WITH {_VECS}, docs_in AS (SELECT vec_id AS doc_id, CAST(vec_id AS VARCHAR) AS title, e FROM vecs)
 {_similar('docs_in', 'doc_id', 'title', 'SELECT doc_id AS own, e FROM docs_in WHERE doc_id = 3', 'own')}""",
     "vector_norms": f"""WITH {_VECS} SELECT vec_id, round({_norm('e')}, 6) AS norm,

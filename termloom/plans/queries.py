@@ -22,6 +22,7 @@ MIN_DF = 5
 VOCAB_SIZE = 80_000
 SMALL_VOCABULARY = 500
 SAMPLE_CANDIDATES = 300
+LLOYD_STEPS = 6
 FIXED_RANK = 8
 RANK = 20
 TOP_TERMS = 10
@@ -656,9 +657,37 @@ def final_clusters(spark, sf_dir):
     return clusters.cluster_sizes(labeled)
 
 
+def _given_fit(points):
+    """A fit from the vectors with the first ids, for a fixed number of steps."""
+    k = clusters.DEFAULT_K
+    first = points.filter(F.col("vec_id") < k).orderBy("vec_id").select("features").collect()
+    return {"starts": {k: [r.features for r in first]}, "max_iterations": LLOYD_STEPS, "tolerance": 0.0}
+
+
+def kmeans_given(spark, sf_dir):
+    points = _points(spark, sf_dir).select("vec_id", "features")
+    centers = clusters.kmeans(points, "vec_id", clusters.DEFAULT_K, **_given_fit(points))
+    return centers.select("cluster", F.posexplode("center").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+def _final_given(spark, sf_dir):
+    points = _points(spark, sf_dir).select("vec_id", "features")
+    return clusters.final_clusters(points, "vec_id", clusters.DEFAULT_K, **_given_fit(clusters.normalized(points)))
+
+
+def final_clusters_given(spark, sf_dir):
+    return _final_given(spark, sf_dir)[0].select("vec_id", "cluster")
+
+
+def scatter_given(spark, sf_dir):
+    labeled, centers = _final_given(spark, sf_dir)
+    table = clusters.scatter_table(labeled, centers, clusters.Projection(labeled.select("vec_id", "features")))
+    return table.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
 def pca_2d(spark, sf_dir):
     normed = clusters.normalized(_points(spark, sf_dir)).select("vec_id", "features")
-    return clusters.Projection(normed).apply(normed)
+    return clusters.Projection(normed).apply(normed).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
 
 
 def scatter_table(spark, sf_dir):
@@ -681,6 +710,6 @@ QUERIES = {
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,
-        pca_covariance, kmeans, silhouette_sweep, final_clusters, pca_2d, scatter_table,
+        pca_covariance, kmeans, silhouette_sweep, final_clusters, pca_2d, kmeans_given, final_clusters_given, scatter_given, scatter_table,
     )
 }
