@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"silhouette_sweep", "final_clusters", "scatter_table", "kmeans"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"silhouette_sweep", "final_clusters", "scatter_table", "kmeans"}))
 def test_no_cross_join(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
