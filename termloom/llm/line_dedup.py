@@ -37,25 +37,29 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def signatures(line: Column, edits: int) -> Column:
-    """Array of (key, indexed): the segments of the line, and its probes of lines not longer than itself."""
-    parts, size = edits + 1, F.length(line)
-    found = []
-    for shorter in range(edits + 1):
-        length = size - shorter
-        low = F.floor(length / parts)
-        long_parts = length - low * parts
-        for i in range(parts):
-            # The last `long_parts` segments have one character more.
-            extra = F.greatest(F.lit(i) - (F.lit(parts) - long_parts), F.lit(0))
-            start = low * i + extra
-            width = low + F.when(F.lit(i) >= F.lit(parts) - long_parts, 1).otherwise(0)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                piece = F.substring(line, (start + shift + 1).cast("int"), width.cast("int"))
-                inside = (start + shift >= 0) & (start + shift + width <= size) & (length > 0)
-                key = F.xxhash64(length.cast("int"), F.lit(i), piece)
-                found.append(F.when(inside, F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed"))))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+def signatures(lines: DataFrame, edits: int) -> DataFrame:
+    """(line, key, indexed) for lines (line, body, size): the segments of each line of `size` characters, and its probes
+    of lines not longer than itself. One short formula is applied to every (length difference, segment, shift), which
+    the compiler takes better than one long row of them."""
+    parts = edits + 1
+    places = [
+        (shorter, part, shift)
+        for shorter in range(edits + 1)
+        for part in range(parts)
+        for shift in range(max(-part, shorter - (edits - part)), min(part, shorter + edits - part) + 1)
+    ]
+    names = ("shorter", "part", "shift")
+    every = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, place, strict=True)]) for place in places])
+    rows = lines.select("line", "body", "size", F.inline(every))
+    part, shift, length = F.col("part"), F.col("shift"), F.col("size") - F.col("shorter")
+    low = F.floor(length / parts).cast("int")
+    # The last segments have one character more, as many as are left over.
+    more = length - low * parts
+    start = low * part + F.greatest(more - (F.lit(parts) - part), F.lit(0)) + shift
+    width = low + (more >= F.lit(parts) - part).cast("int")
+    inside = (start >= 0) & (start + width <= F.col("size")) & (length > 0)
+    key = F.xxhash64(length, part, F.substring("body", start + 1, width))
+    return rows.where(inside).select("line", key.alias("key"), ((F.col("shorter") == 0) & (shift == 0)).alias("indexed"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -131,6 +135,19 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
         longest = F.greatest(*sizes)
         parts = F.struct(*[F.split(F.substring(rest[x], tail + 1, F.length(rest[x])), "").alias(x) for x in "ab"])
         banded = _let(parts, lambda p: _banded(p["a"], p["b"], edits))
+        # The cores differ at both ends, so edits - 2 are left for what is `edits` or more from both ends of one
+        # core, and of edits - 1 parts of that one stands unchanged in the other core.
+        inner, pieces = sizes[0] - 2 * edits, edits - 1
+        if pieces < 1:
+            banded = _long(edits + 1)
+        else:
+            piece = F.floor(inner / pieces).cast("int")
+            texts = [F.substring(rest[x], tail + 1, F.length(rest[x])) for x in "ab"]
+            unchanged = [F.contains(texts[1], F.substring(texts[0], piece * i + (edits + 1), piece)) for i in range(pieces)]
+            possible = inner < pieces
+            for found in unchanged:
+                possible = possible | found
+            banded = F.when(possible, banded).otherwise(_long(edits + 1))
         return F.when((F.least(*sizes) == 0) | (longest <= 1), longest.cast("long")).otherwise(banded)
 
     distance = _let(F.struct(a.alias("a"), b.alias("b")), ends)
@@ -154,18 +171,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """line, root for every line that is within `edits` of another one: classes of the columns (line, body), where line is
-    an even 64-bit number that stands for the text body. Rows may repeat."""
+    """line, root for every line that is within `edits` of another one: classes of the columns (line, body, size), where
+    line is an even 64-bit number that stands for the text body of size characters. Rows may repeat."""
     spark = lines.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     top = lines.agg(F.expr(f"approx_top_k(line, {HOT_LINES}, {COUNTERS})").alias("top")).select(F.explode("top").alias("t"))
     hot = [(r["item"],) for r in top.select("t.item", "t.count").collect() if r["count"] > HOT_COUNT]  # at most HOT_LINES
     frequent = F.broadcast(spark.createDataFrame(hot, "line long"))
-    once = lines.join(frequent, "line").groupBy("line").agg(F.min("body").alias("body"))
+    once = lines.join(frequent, "line").groupBy("line").agg(F.min("body").alias("body"), F.min("size").alias("size"))
     entries = lines.join(frequent, "line", "left_anti").unionByName(once)
 
     # The lowest bit of the line's number says whether the entry is of the index.
-    signed = entries.select("line", F.inline(signatures(F.col("body"), edits)))
+    signed = signatures(entries, edits)
     signed = signed.select("key", F.col("line").bitwiseOR(F.col("indexed").cast("long")).alias("entry")).repartition(partitions, "key")
     line = F.col("entry").bitwiseAND(_long(-2))
     indexed = F.when(F.col("entry").bitwiseAND(_long(1)) == 1, line)
@@ -175,7 +192,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     member = met.select("key", "centre", line.alias("line"))
     candidates = member.select("line").distinct()
-    texts = _maybe(lines, candidates).join(candidates, "line", "left_semi").groupBy("line").agg(F.min("body").alias("body"))
+    # An inner join: a semi join would be moved below the filter and shuffle every line.
+    texts = _maybe(lines, candidates).join(candidates, "line").groupBy("line").agg(F.min("body").alias("body"))
     texts = stored(texts, "line-texts")
 
     first = member.where("line <> centre").groupBy("line").agg(F.min("centre").alias("other"))
@@ -216,11 +234,13 @@ def line_dedup(
     rest = F.struct(*carry) if carry else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), _long(NO_KEY)).alias("kid"))
     rows = rows.withColumns({"th": F.xxhash64("text"), "lines": F.split("text", "\n")})
-    lines = rows.select(*place, F.posexplode("lines").alias("at", "body")).where(F.col("body").rlike("\\S"))
+    # Sizes are worked out before the lines become rows, so that no later expression counts characters again.
+    sized = F.transform("lines", lambda line: F.struct(line.alias("body"), F.length(line).alias("size")))
+    lines = rows.select(*place, F.posexplode(sized).alias("at", "one")).select(*place, "at", "one.*").where(F.col("body").rlike("\\S"))
     even = F.xxhash64("body").bitwiseAND(_long(-2))
     named = lines.withColumns({"line": even, "more": F.xxhash64(F.lit("line"), F.col("body"))})
 
-    classes = near_lines(named.where(F.length("body") >= min_chars).select("line", "body"), edits)
+    classes = near_lines(named.where(F.col("size") >= min_chars).select("line", "body", "size"), edits)
     classes = stored(classes, "line-roots")
 
     seen = named.select("line", "more", F.struct("kid", "at", "th").alias("where"))

@@ -36,16 +36,20 @@ def test_distance_and_signatures(spark, most):
     for _ in range(700):
         a = "".join(rng.choice("abé🎉") for _ in range(rng.randint(0, 14)))
         pairs.append((a, varied(rng, a, most + 1)))
-    rows = spark.createDataFrame(pairs, "a string, b string").select(
-        "a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), most).alias("d"),
-        line_dedup.signatures(F.col("a"), most).alias("x"), line_dedup.signatures(F.col("b"), most).alias("y"),
-    ).collect()
-    for r in rows:
-        true = edits(r["a"], r["b"])
-        assert (r["d"] == true) if true <= most else r["d"] > most
-        if true <= most and min(len(r["a"]), len(r["b"])) > most:
-            x, y = {s["key"] for s in r["x"]}, {s["key"] for s in r["y"]}
-            assert x & {s["key"] for s in r["y"] if s["indexed"]} or y & {s["key"] for s in r["x"] if s["indexed"]}
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    found = frame.select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), most).alias("d")).collect()
+    texts = sorted({t for pair in pairs for t in pair})
+    lines = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "line long, body string, size int")
+    keys = {t: (set(), set()) for t in texts}
+    for r in line_dedup.signatures(lines, most).collect():
+        keys[texts[r["line"]]][0].add(r["key"])
+        if r["indexed"]:
+            keys[texts[r["line"]]][1].add(r["key"])
+    for a, b, d in found:
+        true = edits(a, b)
+        assert (d == true) if true <= most else d > most
+        if true <= most and min(len(a), len(b)) > most:
+            assert keys[a][0] & keys[b][1] or keys[b][0] & keys[a][1]
 
 
 def brute(rows, most, least):
