@@ -27,6 +27,8 @@ MIN_CHARS = 20
 HOT_LINES, COUNTERS, HOT_COUNT = 512, 8192, 500
 # Words of 64 bits in the filter that is broadcast before the texts of candidates move: a fixed size.
 FILTER_WORDS = 1 << 17
+# Classes of characters that are counted before pairs are made; any choice is right, frequent characters tell most.
+CLASSES = ("a", "e", "i", "n", "o", "r", "s", "t", "hw", "dl", "uc", "gmb")
 # Stands for a missing key; it is never smaller than a key.
 NO_KEY = 2**63 - 1
 # Common beginnings are measured with steps of these lengths.
@@ -154,6 +156,20 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, _long(edits + 1)).otherwise(distance)
 
 
+def _counts(body: Column) -> Column:
+    """How often the characters of each class stand in a text."""
+    rest = [F.length(F.translate(body, characters, "")) for characters in CLASSES]
+    return F.struct(*[(F.length(body) - left).alias(f"c{i}") for i, left in enumerate(rest)])
+
+
+def _may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Necessary for two texts with these counts: an edit changes one character of at most two classes."""
+    apart = F.lit(0)
+    for i in range(len(CLASSES)):
+        apart = apart + F.abs(a[f"c{i}"] - b[f"c{i}"])
+    return apart <= 2 * edits
+
+
 def _maybe(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of `lines` whose column line may be in `chosen`: a filter of fixed size, broadcast. It never loses one."""
     slot = F.pmod(F.xxhash64("line"), F.lit(64 * FILTER_WORDS))
@@ -204,10 +220,14 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     owned = met.select("key", line.alias("line"), indexed.isNotNull().alias("indexed")).join(roots, "line", "left")
     owned = owned.withColumn("root", F.coalesce("root", "line"))
     several = owned.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    owned = stored(owned.join(several, "key"), "line-mixed")
-    right = owned.where("indexed").select("key", F.col("line").alias("other"), F.col("root").alias("other_root"))
-    # A pair of two indexed lines is met from both sides; one is enough.
-    pairs = owned.join(right, "key").where("root <> other_root and (not indexed or line > other)")
+    counts = texts.select("line", _counts(F.col("body")).alias("counts"))
+    owned = stored(owned.join(several, "key").join(counts, "line"), "line-mixed")
+    right = owned.where("indexed").select(
+        "key", F.col("line").alias("other"), F.col("root").alias("other_root"), F.col("counts").alias("other_counts")
+    )
+    # A pair of two indexed lines is met from both sides; one is enough. Counts that are too far apart make no pair.
+    wanted = F.expr("root <> other_root and line <> other and (not indexed or line > other)")
+    pairs = owned.join(right, "key").where(wanted & _may_be_near(F.col("counts"), F.col("other_counts"), edits))
     pairs = pairs.select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("other")).distinct()
     between = _verify(pairs.join(first, ["line", "other"], "left_anti"), texts, edits)
     return components(links.unionByName(between), "line-classes").select(F.col("node").alias("line"), "root")
