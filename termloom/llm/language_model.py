@@ -38,6 +38,8 @@ STEPS = 4
 ROUNDS = 200
 FLOOR = 1e-9
 TRAIN, FOLD, HELD_OUT = 0, 1, 2
+# Stands for a missing key.
+NO_KEY = -(2**63)
 END = np.uint64(0x6A09E667F3BCC908)
 
 CHUNK_SCHEMA = "chunk long, role int, tokens long, ids array<long>, lengths binary, vocabulary binary, places binary"
@@ -318,7 +320,7 @@ def lm_scores(
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     role = F.when(held_out, HELD_OUT).when(fold, FOLD).otherwise(TRAIN).cast("int")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), role.alias("role"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("text"), role.alias("role"))
     chunks = stored(rows.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
     asked = chunks.select("chunk", "role", "lengths", "vocabulary", "places").mapInArrow(_requests(order, buckets), REQUEST_SCHEMA)
     answers = stored(asked.groupBy("bucket", "level").applyInArrow(_answers, ANSWER_SCHEMA), "counts")
@@ -342,5 +344,5 @@ def lm_scores(
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     found = met(_scores(order, train_tokens, vocabulary, weights), schema)
     return found.select(
-        F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        F.nullif("id", F.lit(NO_KEY)).alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
