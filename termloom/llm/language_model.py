@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from termloom.llm.words import mixed, row_blocks, words_of
 from termloom.settings import stored
 
-ORDER = 2
+ORDER = 3
 CHUNK_TOKENS = 1_250_000
 TEXT_BLOCK = 2 << 20
 BUCKETS_PER_PARTITION = 4

@@ -62,6 +62,14 @@ def test_against_dictionaries(table, monkeypatch, order):
     assert got == brute(TEXTS, lambda k: zlib.crc32(str(k).encode()) % 10 == 0, order, fixed)
 
 
+def test_trigrams_are_the_default(table, monkeypatch):
+    fixed = np.random.default_rng(9).random((lm.FREQUENCIES, 4)) + 0.1
+    fixed /= fixed.sum(axis=1, keepdims=True)
+    monkeypatch.setattr(lm, "mixture_weights", lambda *_: fixed)
+    found = lm.lm_scores(table(TEXTS), F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 == 1).collect()
+    assert sorted(round(r["score"], 6) for r in found) == sorted(x[5] for x in brute(TEXTS, lambda k: k % 10 == 0, 3, fixed))
+
+
 def test_weights_are_learned():
     rng = np.random.default_rng(0)
     estimates = rng.random((4000, 3)) ** 4
