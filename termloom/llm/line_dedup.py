@@ -31,8 +31,8 @@ FILTER_WORDS = 1 << 17
 CLASSES = ("a", "e", "i", "n", "o", "r", "s", "t", "hw", "dl", "uc", "gmb")
 # Stands for a missing key; it is never smaller than a key.
 NO_KEY = 2**63 - 1
-# Common beginnings are measured with steps of these lengths.
-STEPS = [1 << i for i in range(20, -1, -1)]
+# Common beginnings are measured with steps of these lengths; their sum is the longest text that there can be.
+STEPS = [1 << i for i in range(30, -1, -1)]
 
 
 def _long(value: int) -> Column:
@@ -65,7 +65,7 @@ def signatures(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """Characters that two texts have in common at their beginning (at most the sum of STEPS)."""
+    """Characters that two texts have in common at their beginning."""
     shorter = F.least(F.length(a), F.length(b))
 
     def longer(have, step):

@@ -52,6 +52,19 @@ def test_distance_and_signatures(spark, most):
             assert keys[a][0] & keys[b][1] or keys[b][0] & keys[a][1]
 
 
+def test_distance_of_very_long_lines(spark):
+    text = "ab" * 2_200_000
+    half = text[:2_300_000]
+    pairs = [
+        (half, half[:2_200_000] + "x" + half[2_200_001:2_200_050] + "y" + half[2_200_051:], 2),
+        (text, text[:2_200_000] + "x" + text[2_200_000:], 1),
+        (half, "xyz" + half[3:], 3),
+    ]
+    for a, b, true in pairs:
+        frame = spark.createDataFrame([(a, b)], "a string, b string")
+        assert frame.select(line_dedup.edit_distance(F.col("a"), F.col("b"), 2)).first()[0] == true
+
+
 def brute(rows, most, least):
     spots, first = [], {}
     for key, text in rows:
