@@ -43,10 +43,21 @@ def test_every_stage_on_its_own_input(spark):
     assert covered == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in after.items()}
 
 
+#: Keys that each stage keeps of the odd rows; the two texts of 30,000 words give 15 pieces each.
+ODD = {
+    "quality": [1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, None, None],
+    "line_dedup": [1, 2, 3, 4, 6, 8, 10, None],
+    "jaccard_join": [1, 3, 4, 6, 8, 9, 10],
+    "substring_dedup": [1, 2, 3, 4, 5, 5, 8, 9, None, None],
+    "packing": [1, 2, 3, 4, 5, 5, *[6] * 15, *[7] * 15, 8, 9, 10, None, None],
+}
+
+
 def test_run_and_odd_documents(spark, edges):
     found = corpus_pipeline.run(spark, SF_DIR)
     assert found.count() > 0
     docs = edges.select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
-        for rows in (docs, docs.where("false")):
-            assert stage(spark, rows, SF_DIR).count() <= 40, name
+        kept = [r["doc_id"] for r in stage(spark, docs, SF_DIR).collect()]
+        assert sorted(kept, key=lambda k: (k is None, k)) == ODD[name], name
+        assert stage(spark, docs.where("false"), SF_DIR).count() == 0, name
