@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, quality, substring_dedup, topk
+from termloom.llm import bpe, byte_bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op10_quality(spark, sf_dir):
     )
 
 
+def op13_byte_bpe(spark, sf_dir):
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return byte_bpe.encode_decode(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
@@ -73,6 +80,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL = {

@@ -12,6 +12,7 @@ COLUMNS = {
     "op2_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op3_lm_scores": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op7_packing": ["doc_id", "piece", "first_word", "n_words", "shard", "bin", "free_words"],
+    "op13_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_quality": ["doc_id", "held_out", "score", "predicted"],
 }
 
