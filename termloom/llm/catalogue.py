@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, byte_bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, quality, substring_dedup, topk
+from termloom.llm import bpe, byte_bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, phrases, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_quality(spark, sf_dir):
     )
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark, sf_dir):
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return byte_bpe.encode_decode(_table(spark, sf_dir, "documents")).select(
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op12_phrases": op12_phrases,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -164,4 +169,33 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM rows WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op12_phrases": """
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'
+            )), '[^\\x20\\x09]+') AS w
+            FROM documents
+        ), n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM piece GROUP BY lang),
+        start AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+        gram AS (SELECT lang, w, i, unnest(range(1, least(6, len(w) - i + 2))) AS size FROM start),
+        f AS (
+            SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*)::HUGEINT AS f
+            FROM gram GROUP BY ALL HAVING count(*) >= 100
+        ), inside AS (
+            SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + part - 1), ' ') AS phrase, max(f) AS f
+            FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS part FROM f WHERE size > 2))
+            GROUP BY ALL
+        ), cut AS (
+            SELECT lang, phrase, size, f, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS w FROM f
+            WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = f.lang AND x.phrase = f.phrase AND 100 * x.f >= 100 * f.f)
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n.n, (1000 * c.f * n.n) // (x.f * y.f) AS score, k
+            FROM cut c JOIN n USING (lang)
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, k + 1, c.size), ' ')
+        ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000
+    """,
 }
