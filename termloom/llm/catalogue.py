@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, byte_bpe, exact_dedup, html_text, jaccard_join, language_model, line_dedup, packing, phrases, quality, substring_dedup, topk
+from termloom.llm import bpe, byte_bpe, exact_dedup, html_text, jaccard_join, language_model, lexical_search, line_dedup, packing, phrases, quality, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_quality(spark, sf_dir):
     )
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_phrases(spark, sf_dir):
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
     "op12_phrases": op12_phrases,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -169,6 +174,26 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM rows WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op11_lexical_search": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), g AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM benchmark
+        ), word AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM word SEMI JOIN q USING (term) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(g.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term),
+        s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * g.n) // g.l))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term), g GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50
+    """,
     "op12_phrases": """
         WITH piece AS (
             SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
