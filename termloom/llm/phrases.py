@@ -6,8 +6,9 @@ size, sent to the tasks; it lets some rare phrases through, never drops a freque
 
 A task counts in a HAT-trie: a shallow trie of word numbers over hash containers. A container holds the rest of its
 phrases and bursts into one container per next word when it is full. When the trie has too many entries its largest
-subtrees are spilled whole, as sorted runs of (language, prefix, phrase, count). Spark deals the runs out by language
-and prefix, the first two words, and merges the counts of every prefix partition.
+subtrees are spilled whole, as runs sorted by prefix partition and phrase and packed. A prefix partition is a hash of
+language and first words; there are PARTITIONS for each input partition, so their size does not grow with the input.
+Spark deals the runs out, and the runs of each prefix partition are merged.
 
 Scores, cuts and the removal of phrases that lie inside longer ones are joins and aggregations of frequent phrases.
 """
@@ -20,6 +21,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +36,16 @@ BLOCK = 8 << 20
 ENTRIES, BURST = 600_000, 8192
 # Words with numbers before a task spills everything and numbers anew.
 NUMBERED = 1_000_000
-# Rows of an Arrow batch.
-ROWS = 1 << 16
+# Entries spilled together at least, prefix partitions per input partition, and words of a prefix.
+ROWS, PARTITIONS, PREFIX = 1 << 18, 8, 3
 # Bits of the filter: a broadcast of 16 MB whatever the input.
 FILTER_BITS = 27
 # Bits that Spark's bitmap functions keep in a row.
 BUCKET_BITS = 4096 * 8
 
-RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+RUN = "prefix int, lang string, phrases binary, lengths binary, counts binary"
+_PACKED = pa.schema([("prefix", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary())])
+_MERGED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -85,24 +90,26 @@ class Container:
             rests, counts = zip(*group, strict=True)
             self.entries += child.add([r[4:] for r in rests], counts)
 
-    def items(self, prefix: bytes) -> Iterator[tuple[bytes, int]]:
+    def gather(self, prefix: bytes, numbers: list[bytes], counts: list[int]) -> None:
+        """Append all phrases below with their counts."""
         if self.table is not None:
-            for rest, count in self.table.items():
-                yield prefix + rest, count
+            numbers += [prefix + rest for rest in self.table]
+            counts += self.table.values()
             return
         for word, child in self.children.items():
-            yield from child.items(prefix + word)
+            child.gather(prefix + word, numbers, counts)
 
 
 class HatTrie:
     """Phrases of one length with their counts; the first level is language and first word (of longer phrases)."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, partitions: int):
+        self.length, self.partitions = length, partitions
         self.subtrees: dict[tuple[str, bytes], Container] = {}
         self.entries = 0
         self.number: dict[int, int] = {}
         self.words: list[bytes] = []
+        self.hashes: list[int] = []
 
     def add(self, names: list[str], lang: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> None:
         """`phrases`: a row of word numbers each; `lang`: the place of its language in `names`."""
@@ -129,39 +136,76 @@ class HatTrie:
             if found is None:
                 found = self.number[h] = len(self.words)
                 self.words.append(text(i))
+                self.hashes.append(h)
             out[i] = found
         return out
 
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """The largest subtrees, until `keep` entries are left, each as a sorted run."""
+        """The largest subtrees, until `keep` entries are left, as packed runs."""
         largest = [(-s.entries, key) for key, s in self.subtrees.items()]
         heapq.heapify(largest)
-        rows: list[tuple[str, bytes, bytes, int]] = []
+        words, hashes = pa.array(self.words, pa.binary()).cast(pa.string()), np.array(self.hashes, dtype=np.uint64)
+        keys: list[tuple[str, bytes]] = []
+        size = 0
         while largest and self.entries > keep:
-            key = heapq.heappop(largest)[1]
-            lang, first = key
-            subtree = self.subtrees.pop(key)
-            self.entries -= subtree.entries
-            run = []
-            for numbers, count in subtree.items(first):
-                words = [self.words[i] for i in np.frombuffer(numbers, dtype=">i4").tolist()]
-                run.append((lang, b" ".join(words[:2]), b" ".join(words), count))
-            run.sort(key=lambda row: row[2])
-            rows += run
-            while len(rows) >= ROWS:
-                yield _batch(rows[:ROWS])
-                del rows[:ROWS]
-        if rows:
-            yield _batch(rows)
+            entries, key = heapq.heappop(largest)
+            keys.append(key)
+            size -= entries
+            self.entries += entries
+            if size >= ROWS:
+                yield _packed(*self._run(keys, words, hashes))
+                keys, size = [], 0
+        if keys:
+            yield _packed(*self._run(keys, words, hashes))
         if not self.subtrees:
             self.number.clear()
             self.words.clear()
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    texts = [pa.array(columns[i], pa.binary()).cast(pa.string()) for i in (1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *texts, pa.array(columns[3], pa.int64())], schema=RUN)
+            self.hashes.clear()
+
+    def _run(self, keys: list[tuple[str, bytes]], words: pa.Array, hashes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """Prefix partition, language, phrase and count of all entries of some subtrees, in this order."""
+        numbers, counts, ends = [], [], [0]
+        for lang, first in keys:
+            self.subtrees.pop((lang, first)).gather(first, numbers, counts)
+            ends.append(len(numbers))
+        columns = np.frombuffer(b"".join(numbers), dtype=">i4").reshape(-1, self.length).T.astype(np.int32)
+        subtree = np.repeat(np.arange(len(keys)), np.diff(ends))
+        names = sorted({lang for lang, _ in keys})
+        lang = np.array([names.index(lang) for lang, _ in keys], dtype=np.int32)[subtree]
+        prefix = _lang_hash(names)[lang]
+        for c in columns[:PREFIX]:
+            prefix = mixed(prefix ^ hashes[c])
+        prefix = (prefix % np.uint64(self.partitions)).astype(np.int32)
+        phrase = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in columns], " ")
+        rows = pa.table({"prefix": prefix, "lang": pa.array(names).take(pa.array(lang)), "phrase": phrase, "f": np.array(counts, dtype=np.int64)})
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("prefix", "lang", "phrase")]))
+        return tuple(rows.column(c).combine_chunks() for c in rows.column_names)
+
+
+def _packed(prefix: pa.Array, lang: pa.Array, phrase: pa.Array, f: pa.Array) -> pa.RecordBatch:
+    """A sorted run as one row per prefix partition and language, its columns compressed."""
+    part, name = prefix.to_numpy(), lang.dictionary_encode()
+    code = name.indices.to_numpy()
+    starts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    data, offsets = buffers(phrase)
+    counts, codec = f.to_numpy(), zstandard.ZstdCompressor(level=1)
+    cells = [
+        [codec.compress(x.tobytes()) for x in (data[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]).astype(np.int32), counts[a:b])]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True)
+    ]
+    sizes = [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), lang.take(pa.array(starts)), *sizes], schema=_PACKED)
+
+
+def unpacked(rows: pa.Table) -> pa.Table:
+    """lang, phrase, f of packed runs."""
+    parts = []
+    for row in rows.select(["lang", "phrases", "lengths", "counts"]).to_pylist():
+        lengths, counts = (np.frombuffer(zstandard.decompress(row[c]), dtype=t) for c, t in (("lengths", np.int32), ("counts", np.int64)))
+        offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        phrase = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(row["phrases"]))])
+        parts.append(pa.table({"lang": pa.repeat(pa.scalar(row["lang"], pa.string()), len(lengths)), "phrase": phrase, "f": counts}))
+    return pa.concat_tables(parts)
 
 
 def _lang_hash(langs: list[str]) -> np.ndarray:
@@ -239,12 +283,11 @@ def _count(tokens: Tokens, trie: HatTrie, bitmap: np.ndarray | None) -> None:
     trie.add(tokens.langs, tokens.lang[at], numbers, counts)
 
 
-def runs(docs: DataFrame, length: int, bitmap=None) -> DataFrame:
-    """lang, prefix, phrase, f: the counts of each task, as sorted runs. For length 1 the empty phrase has the number
-    of all words."""
+def runs(docs: DataFrame, length: int, partitions: int, bitmap=None) -> DataFrame:
+    """The counts of each task as packed runs. For length 1 the empty phrase has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words = HatTrie(length), {}
+        trie, words = HatTrie(length, partitions), {}
         fits = None if bitmap is None else np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in row_blocks(batches, "text", BLOCK):
             tokens = Tokens(batch.column(0), batch.column(1))
@@ -256,15 +299,22 @@ def runs(docs: DataFrame, length: int, bitmap=None) -> DataFrame:
                 yield from trie.spill(ENTRIES // 2 if len(trie.words) <= NUMBERED else 0)
         yield from trie.spill(0)
         if any(words.values()):
-            yield _batch([(lang, b"", b"", n) for lang, n in words.items() if n])
+            langs = sorted(lang for lang, n in words.items() if n)
+            empty = pa.array([""] * len(langs))
+            yield _packed(pa.array([0] * len(langs), pa.int32()), pa.array(langs), empty, pa.array([words[x] for x in langs], pa.int64()))
+
+    return docs.select("text", "lang").mapInArrow(run, RUN)
+
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, prefix string, phrase string, f long")
+def merged(found: DataFrame, at_least: int) -> DataFrame:
+    """lang, phrase, f: the counts of packed runs added up, from `at_least` on."""
 
+    def merge(rows: pa.Table) -> pa.Table:
+        sums = unpacked(rows).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], at_least), pc.equal(sums["phrase"], "")))
+        return pa.table([sums["lang"], sums["phrase"].cast(pa.string()), sums["f_sum"]], schema=_MERGED)
 
-def merged(found: DataFrame) -> DataFrame:
-    """Runs with the counts of equal phrases added up, by language and prefix."""
-    dealt = found.repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
+    return found.groupBy("prefix").applyInArrow(merge, "lang string, phrase string, f long")
 
 
 def filter_bits(frequent: DataFrame, length: int) -> bytes:
@@ -290,8 +340,9 @@ def frequent_phrases(docs: DataFrame, at_least: int, longest: int = LENGTHS) ->
     """lang, words, phrase, f of all phrases up to `longest` words with f >= at_least, and the empty phrase of 0 words
     with the number of all words of a language. Stored."""
     spark, levels, bitmap = docs.sparkSession, [], None
+    partitions = PARTITIONS * max(1, docs.rdd.getNumPartitions())
     for length in range(1, longest + 1):
-        counts = merged(runs(docs, length, bitmap)).where((F.col("f") >= at_least) | (F.col("phrase") == ""))
+        counts = merged(runs(docs, length, partitions, bitmap), at_least)
         level = stored(counts.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(length)), f"phrases{length}")
         levels.append(level)
         if length < longest:

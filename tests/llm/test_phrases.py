@@ -20,9 +20,12 @@ def brute(rows, at_least, longest=5, share=100, top=2000):
     out = []
     for lang, counts in f.items():
         kept = {p: a for p, a in counts.items() if a >= at_least}
-        found = []
+        found, over = [], Counter()
+        for q, b in kept.items():
+            for sub in {q[i : i + size] for size in range(2, len(q)) for i in range(len(q) - size + 1)}:
+                over[sub] = max(over[sub], b)
         for p, a in kept.items():
-            if len(p) < 2 or any(len(q) > len(p) and 100 * b >= share * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in kept.items()):
+            if len(p) < 2 or over[p] and 100 * over[p] >= share * a:
                 continue
             score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
             found.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
@@ -66,7 +69,7 @@ def test_bounds_change_nothing(spark, rows, monkeypatch):
 
     for entries, burst, numbered in ((600_000, 8192, 1_000_000), (40, 4, 1_000_000), (40, 1, 10)):
         monkeypatch.setattr(phrases, "BURST", burst)
-        trie, got, batches = phrases.HatTrie(3), Counter(), []
+        trie, got, batches = phrases.HatTrie(3, 5), Counter(), []
         for at in range(0, len(rows), 7):
             some = rows[at : at + 7]
             phrases._count(phrases.Tokens(pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.string())), trie, None)
@@ -74,9 +77,13 @@ def test_bounds_change_nothing(spark, rows, monkeypatch):
                 batches += trie.spill(entries // 2 if len(trie.words) <= numbered else 0)
         batches += trie.spill(0)
         assert trie.entries == 0
-        for row in (r for b in batches for r in b.to_pylist()):
-            got[row["lang"], row["phrase"]] += row["f"]
-            assert row["prefix"] == " ".join(row["phrase"].split(" ")[:2])
+        place = {}
+        for row in (pa.Table.from_batches([b]).slice(i, 1) for b in batches for i in range(b.num_rows)):
+            run = phrases.unpacked(row)
+            assert run["phrase"].to_pylist() == sorted(run["phrase"].to_pylist(), key=str.encode)
+            for lang, phrase, f in zip(*(c.to_pylist() for c in run.columns), strict=True):
+                got[lang, phrase] += f
+                assert place.setdefault((lang, phrase), row["prefix"][0]) == row["prefix"][0]
         assert got == wanted
         want = want or got
         assert got == want
