@@ -33,7 +33,7 @@ class LsaParams:
     partitions: int = 64
     limit_pages: int = 0
     infer_schema: bool = False
-    split_pages: bool = False
+    split_pages: bool = True
     clean_v1: bool = False
     lexicon: str = ""
     stopwords: str = ""

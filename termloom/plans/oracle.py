@@ -297,6 +297,10 @@ SQL: dict[str, str] = {
     "xml_pages_roundtrip": _XML,
     "xml_pages_by_record": _XML,
     "xml_pages_inferred": _XML,
+    "xml_pages_by_file": _XML,
+    "xml_pages_inferred_by_file": _XML,
+    "xml_pages_odd_markup": f"""SELECT {_NAME} AS title, 0 AS ns, CAST(NULL AS VARCHAR) AS redirect_to, {_quoted(q.ODD_TEXT)} || text AS raw_text
+FROM documents WHERE text IS NOT NULL""",
     "articles_filter": f"WITH {_PAGES} SELECT doc_id, title, raw_text FROM pages_in WHERE {_ARTICLE}",
     "article_text_nonempty": f"""WITH {_PAGES}
 SELECT * FROM (SELECT doc_id, title, {_cleaned('raw_text')} AS text FROM pages_in WHERE {_ARTICLE}) WHERE length(text) > 0""",

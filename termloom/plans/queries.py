@@ -27,6 +27,7 @@ FIXED_RANK = 8
 RANK = 20
 TOP_TERMS = 10
 PAGE_CAP = 500
+ODD_TEXT = "</page> <page> <!-- "
 SAMPLE_FRACTION = 0.3
 FIT_FRACTION = 0.5
 COMMON_SHARE = 0.2
@@ -168,15 +169,46 @@ def xml_pages_roundtrip(spark, sf_dir):
     return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir)))
 
 
+def xml_pages_by_file(spark, sf_dir):
+    """One task a file."""
+    return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir), by_record=False))
+
+
 def xml_pages_by_record(spark, sf_dir):
-    """The scan for files too large for one task."""
-    return _page_columns(pages.read_pages(spark, _written_pages(spark, sf_dir), by_record=True))
+    """The scan in many tasks, with every file cut into records."""
+    return _page_columns(pages.read_pages_by_record(spark, _written_pages(spark, sf_dir)))
 
 
 def xml_pages_inferred(spark, sf_dir):
     return _page_columns(pages.read_pages_inferred(spark, _written_pages(spark, sf_dir)))
 
 
+def _odd_markup(spark, sf_dir) -> str:
+    """documents as a dump with pages in comments, tags in CDATA sections and other markup that is not what it looks like."""
+    text = F.col("text")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    name = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    page = F.concat(
+        F.lit("<!-- <page><title>Draft of "), name, F.lit("</title></page> -->\n<page kind='a>b'>\n<title>"), name,
+        F.lit("</title><ns>0</ns><?note </page> ?><revision><text bytes='1'><![CDATA[" + ODD_TEXT + "]]>"), text,
+        F.lit("</text></revision></page >"),
+    )
+    path = scratch_path(spark, "odd_xml")
+    _documents(spark, sf_dir).where(F.col("text").isNotNull()).select(page.alias("value")).write.text(path)
+    return path
+
+
+def xml_pages_odd_markup(spark, sf_dir):
+    """The split scan where most closing row tags are none."""
+    return _page_columns(pages.read_pages(spark, _odd_markup(spark, sf_dir)))
+
+
+def xml_pages_inferred_by_file(spark, sf_dir):
+    """One task a file, for inference and scan."""
+    return _page_columns(pages.read_pages_inferred(spark, _written_pages(spark, sf_dir), by_record=False))
+
+
 def articles_filter(spark, sf_dir):
     return articles.articles(_pages(spark, sf_dir)).select("doc_id", "title", "raw_text")
 
@@ -699,7 +731,7 @@ def scatter_table(spark, sf_dir):
 QUERIES = {
     query.__name__: query
     for query in (
-        xml_pages_roundtrip, xml_pages_by_record, xml_pages_inferred, articles_filter, article_text_nonempty, page_limit,
+        xml_pages_roundtrip, xml_pages_by_file, xml_pages_by_record, xml_pages_inferred, xml_pages_inferred_by_file, xml_pages_odd_markup, articles_filter, article_text_nonempty, page_limit,
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
         collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
         normalize_query, term_stats, vocabulary, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,

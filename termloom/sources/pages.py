@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.sources.xml_records import records
+
 ROW_TAG = "page"
 # The page schema is the input format.
 # `redirect` only has to tell null from not null; the attribute also keeps its target.
@@ -29,62 +31,46 @@ def project_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG, by_record: bool = False) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, row_tag: str = ROW_TAG, by_record: bool = True) -> DataFrame:
     """Scan pages with the fixed schema, so no inference pass reads the dump first.
 
-    The XML reader gives every file to a single task. With `by_record` large files are cut into records
-    instead. The caller chooses, because the two differ on what XML allows and dumps do not use: pages inside
-    comments, and closing row tags inside CDATA sections, which only the first reads as XML does.
+    Large files are split between tasks, see `xml_records`; one pass runs at once to find out about comments, CDATA
+    sections and the like. With `by_record=False` the XML reader gives every file to a single task. Both give the same rows
+    for well-formed files; after a fault in the markup the XML reader stops, the split scan goes on with the next record.
     """
     return (read_pages_by_record if by_record else read_pages_by_file)(spark, path, row_tag)
 
 
 def read_pages_by_file(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
     """One task per file."""
-    pages = (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .option("ignoreSurroundingSpaces", "false")
-        .schema(PAGE_SCHEMA)
-        .load(path)
-    )
-    return project_pages(pages)
+    return project_pages(spark.read.format("xml").options(**_options(row_tag)).schema(PAGE_SCHEMA).load(path))
 
 
 def read_pages_by_record(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
-    """The same rows with large files split between tasks: the text reader ends a record at every
-    closing row tag, and each record is parsed by itself."""
-    return project_pages(_records(spark, path, row_tag, PAGE_SCHEMA))
+    """The same rows with large files split between tasks."""
+    return project_pages(_parsed(records(spark, path, row_tag), row_tag, PAGE_SCHEMA))
+
 
+def _options(row_tag: str) -> dict[str, str]:
+    return {"rowTag": row_tag, "ignoreSurroundingSpaces": "false"}
 
-def _records(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
-    records = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    # What precedes the opening tag is the head of the dump or the space between two pages.
-    page = F.regexp_extract("value", rf"(?s)<{row_tag}[\s>].*", 0)
-    parsed = records.select(
-        F.from_xml(
-            F.concat(page, F.lit(f"</{row_tag}>")),
-            schema.simpleString(),
-            {"rowTag": row_tag, "ignoreSurroundingSpaces": "false"},
-        ).alias("page")
-    ).filter(F.length(page) > 0)
-    return parsed.select("page.*")
+
+def _parsed(rows: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
+    return rows.select(F.from_xml("value", schema.simpleString(), _options(row_tag)).alias("page")).select("page.*")
 
 
 def read_pages_inferred(
-    spark: SparkSession, path: str, row_tag: str = ROW_TAG, sampling_ratio: float = 1.0, by_record: bool = False
+    spark: SparkSession, path: str, row_tag: str = ROW_TAG, sampling_ratio: float = 1.0, by_record: bool = True
 ) -> DataFrame:
-    """Scan pages with an inferred schema; parts that no page carries come back as NULL. With `by_record` the rows are
-    read with the inferred schema from split files, see `read_pages`."""
-    pages = (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .option("ignoreSurroundingSpaces", "false")
-        .option("samplingRatio", sampling_ratio)
-        .load(path)
-    )
+    """Scan pages with an inferred schema; parts that no page carries come back as NULL. Inference and scan read records
+    of split files; with `by_record=False` the XML reader gives every file to a single task for both."""
+    reader = spark.read.options(samplingRatio=sampling_ratio, **_options(row_tag))
     if by_record:
-        pages = _records(spark, path, row_tag, pages.schema)
+        rows = records(spark, path, row_tag)
+        # Spark infers schemas from files or from strings; the strings pass through Python.
+        pages = _parsed(rows, row_tag, reader.xml(rows.rdd.map(lambda r: r.value)).schema)
+    else:
+        pages = reader.format("xml").load(path)
     revision = _field(pages.schema, "revision")
     text = _field(revision, "text")
     if isinstance(text, T.StructType):

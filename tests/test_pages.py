@@ -115,8 +115,8 @@ def test_parquet_smoke(spark, tmp_path):
     assert files.filter(F.col("length") > 0).count() >= 1
 
 
-def test_file_size_does_not_choose_the_rows(spark, dump, tmp_path):
-    """Pages in comments and closing tags in CDATA read as XML says unless the caller asks for records."""
+def test_comments_and_cdata_read_as_xml(spark, dump, tmp_path):
+    """Pages in comments are none, and a closing tag in CDATA closes nothing."""
     body = PAGE.format(title="In", ns=0, redirect="", attr="", text="<![CDATA[a </page> b]]>")
     path = tmp_path / "odd.xml"
     path.write_text(f"<mediawiki>\n<!-- {PAGE.format(title='Out', ns=0, redirect='', attr='', text='x')} -->\n{body}\n</mediawiki>", encoding="utf8")
