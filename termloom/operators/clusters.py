@@ -461,14 +461,14 @@ def _silhouette_squared(points: DataFrame, labelings: list[str]) -> DataFrame:
 
 
 def silhouette_sweep(
-    points: DataFrame, key: str, ks=SWEEP, restarts: int = RESTARTS, seed: int = SEED, metric: str = EUCLIDEAN
+    points: DataFrame, key: str, ks=SWEEP, restarts: int = RESTARTS, seed: int = SEED, metric: str = EUCLIDEAN, **fit
 ) -> DataFrame:
     """(k, silhouette) for every k, on the vectors as they are.
 
-    All fits share their passes and all labelings are scored from the same distances.
+    All fits share their passes and all labelings are scored from the same distances. `fit` goes to `fit_centers`.
     """
     rows = points.select(key, "features")
-    centers = fit_centers(rows, key, ks, restarts, seed)
+    centers = fit_centers(rows, key, ks, restarts, seed, **fit)
     # Stored, because the score reads the labels three times.
     labeled = stored(_with_nearest(rows, {f"k{k}": centers[k] for k in centers}), "sweep_labels")
     scores = silhouette(labeled, [f"k{k}" for k in centers], key, metric)

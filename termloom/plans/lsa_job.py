@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from termloom.functions import vectors
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.text import strip_markup, strip_markup_v1
-from termloom.operators import articles, lsa, search, terms
-from termloom.settings import stored
+from termloom.operators import articles, block_svd, lsa, search, terms
+from termloom.settings import BROADCAST_BYTES, stored
 from termloom.sources import artifacts, pages
 
 
@@ -67,22 +67,32 @@ class LsaModel:
         return lsa.scaled_terms(self.term_vectors, self.factors.singular_values.tolist())
 
     def doc_embeddings(self) -> DataFrame:
+        if self.factors.v is None:
+            return lsa.project_documents(self.features, self.term_vectors)
         return lsa.project_on_factors(self.features, self.factors)
 
     def doc_embeddings_us(self) -> DataFrame:
-        u = lsa.left_vectors(self.features, self.factors)
+        if self.factors.v is None:
+            over_s = lsa.scaled_terms(self.term_vectors, (1 / self.factors.singular_values).tolist())
+            u = lsa.project_documents(self.features, over_s.withColumnRenamed("embedding", "v"))
+            u = u.withColumnRenamed("embedding", "u")
+        else:
+            u = lsa.left_vectors(self.features, self.factors)
         return lsa.scaled_documents(u, self.factors.singular_values.tolist())
 
     def neighbor_samples(self, seeds=search.SEED_TERMS, mode: str = vectors.SAMPLE_V3) -> DataFrame:
         return search.neighbor_samples(self.term_embeddings(), seeds, mode=mode)
 
 
-def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample: float = 1.0) -> LsaModel:
+def fit(
+    tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample: float = 1.0, max_bytes: int = BROADCAST_BYTES
+) -> LsaModel:
     """Fit on a table of token arrays with a unique doc_id; other columns are carried along.
 
     The tokens are read twice (vocabulary, counts), so they should be stored, not recomputed.
     With the vocabulary fitted on all rows its document frequencies also give the IDF weights,
-    which saves a third pass. A sample is drawn by doc_id, so it does not depend on the layout.
+    which saves a third pass. A sample is drawn by doc_id, so it does not depend on the layout. A right factor
+    above `max_bytes` comes from the block solver and stays a table.
     """
     on_sample = 0 < cv_fit_sample < 1
     fit_rows = articles.sample_by_key(tokens, "doc_id", cv_fit_sample)
@@ -95,8 +105,13 @@ def fit(tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample:
     else:
         idf = terms.idf_from_stats(vocab, tokens.count())
     features = stored(terms.tfidf(tf, idf), "features")
-    factors = lsa.truncated_svd(features, k)
-    term_vectors = stored(factors.term_vectors(tokens.sparkSession, names), "term_vectors")
+    if 8 * len(names) * k > max_bytes:
+        values, v = block_svd.block_svd(features, k, len(names))
+        factors = lsa.Factors(values, None)
+        term_vectors = stored(v.join(vocab.select("term_id", "term"), "term_id").select("term_id", "term", "v"), "term_vectors")
+    else:
+        factors = lsa.truncated_svd(features, k)
+        term_vectors = stored(factors.term_vectors(tokens.sparkSession, names), "term_vectors")
     return LsaModel(features, names, factors, term_vectors)
 
 

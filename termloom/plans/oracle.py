@@ -83,7 +83,7 @@ def _tokens(name: str, source: str = "documents", stopwords=ENGLISH) -> str:
 
 def _vocab(name: str, tokens: str, size: int = q.VOCAB_SIZE) -> str:
     """CTE (term_id, term, df, cf)."""
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY cf DESC, term) - 1 AS INTEGER) AS term_id, term, df, cf
   FROM (SELECT token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM {tokens} GROUP BY token)
   WHERE df >= {q.MIN_DF}
@@ -93,11 +93,10 @@ def _vocab(name: str, tokens: str, size: int = q.VOCAB_SIZE) -> str:
 _TOK = _tokens("tok")
 _VOCAB = f"{_TOK},\n{_vocab('vocab', 'tok')}"
 _TFIDF = f"""{_VOCAB},
-tf AS (SELECT doc_id, term_id, count(*) AS tf FROM tok JOIN vocab ON token = term GROUP BY doc_id, term_id),
-idf AS (SELECT term_id, term, ln((n + 1) / (df + 1)) AS idf
-        FROM (SELECT v.*, (SELECT count(*) FROM documents) AS n
-              FROM (SELECT term_id, term, CAST(count(*) AS DOUBLE) AS df FROM tf JOIN vocab USING (term_id)
-                    GROUP BY term_id, term) v)),
+tf AS MATERIALIZED (SELECT doc_id, term_id, count(*) AS tf FROM tok JOIN vocab ON token = term GROUP BY doc_id, term_id),
+n_docs AS (SELECT count(*) AS n FROM documents),
+idf AS MATERIALIZED (SELECT term_id, term, ln((n + 1) / (CAST(d.df AS DOUBLE) + 1)) AS idf
+        FROM (SELECT term_id, count(*) AS df FROM tf GROUP BY term_id) d JOIN vocab USING (term_id), n_docs),
 tfidf AS (SELECT doc_id, term_id, term, tf * idf AS tfidf FROM tf JOIN idf USING (term_id))"""
 
 _V = "cos((term_id + 1.0) * (topic + 1))"
@@ -158,18 +157,30 @@ _UNIT = """unit AS (
   FROM vecs)"""
 
 
-def _lloyd(rows: str) -> str:
-    """CTEs c<t> (cluster, e) and a<t> (vec_id, cluster): k-means steps from the first vectors of `rows`."""
-    parts = [f"{rows}_long AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {rows})",
-             f"c0 AS (SELECT CAST(vec_id AS INTEGER) AS cluster, e FROM {rows} WHERE vec_id < {clusters.DEFAULT_K})"]
+def _long_rows(rows: str) -> str:
+    return f"{rows}_long AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {rows})"
+
+
+def _lloyd(rows: str, k: int = clusters.DEFAULT_K, name: str = "") -> str:
+    """CTEs c<name><t> (cluster, e) and a<name><t> (vec_id, cluster): k-means steps from the first k vectors of `rows`.
+    The long form of `rows` comes with those without a name."""
+    parts = [] if name else [_long_rows(rows)]
+    parts.append(f"c{name}0 AS (SELECT CAST(vec_id AS INTEGER) AS cluster, e FROM {rows} WHERE vec_id < {k})")
     for t in range(q.LLOYD_STEPS + 1):
-        parts.append(f"""a{t} AS (SELECT p.vec_id, arg_min(cluster, list_distance(p.e, c{t}.e)) AS cluster
-  FROM {rows} p CROSS JOIN c{t} GROUP BY p.vec_id)""")
-        parts.append(f"""c{t + 1} AS (SELECT cluster, list(x ORDER BY pos) AS e FROM (
-  SELECT cluster, pos, avg(x) AS x FROM a{t} JOIN {rows}_long USING (vec_id) GROUP BY cluster, pos) GROUP BY cluster)""")
+        parts.append(f"""a{name}{t} AS MATERIALIZED (SELECT p.vec_id, arg_min(cluster, list_distance(p.e, c{name}{t}.e)) AS cluster
+  FROM {rows} p CROSS JOIN c{name}{t} GROUP BY p.vec_id)""")
+        parts.append(f"""c{name}{t + 1} AS (SELECT cluster, list(x ORDER BY pos) AS e FROM (
+  SELECT cluster, pos, avg(x) AS x FROM a{name}{t} JOIN {rows}_long USING (vec_id) GROUP BY cluster, pos) GROUP BY cluster)""")
     return ",\n".join(parts)
 
 
+def _sweep() -> str:
+    """CTE by_fit (labeling, vec_id, cluster): the labels of the given fits, the labeling being k."""
+    fits = ",\n".join(_lloyd("vecs", k, f"_{k}_") for k in q.SWEEP_GIVEN)
+    labels = " UNION ALL ".join(f"SELECT {k} AS labeling, vec_id, cluster FROM a_{k}_{q.LLOYD_STEPS}" for k in q.SWEEP_GIVEN)
+    return f"{_long_rows('vecs')},\n{fits},\nby_fit AS ({labels})"
+
+
 _AXES = f"""mean AS (SELECT list(x ORDER BY pos) AS mu FROM (
   SELECT pos, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM unit) GROUP BY pos)),
 middle AS (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda i: e[i] - mu[i]) AS e FROM unit, mean),
@@ -349,10 +360,15 @@ WHERE rank <= {q.TOP_TERMS}""",
 SELECT term_id, term, topic AS pos, round(value, 6) AS value FROM term_cells""",
     "topic_strength": f"""WITH {_VOCAB}, {_TOPIC_IDS}, {_TOPIC_ROWS}
 SELECT DISTINCT topic, singular_value FROM topic_rows""",
+    "topic_strength_fitted": f"""WITH RECURSIVE {_VECS}, {_product("gram", "vecs")}, {_two_axes("gram")}
+SELECT CAST(0 AS INTEGER) AS topic, round(sqrt(one.l), 4) AS singular_value FROM one
+UNION ALL SELECT CAST(1 AS INTEGER), round(sqrt(two.l), 4) FROM two""",
     "svd_gram": f"""WITH {_LONG}
 SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x), 6) AS value
 FROM cells a JOIN cells b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos""",
     "svd_truncated": _SVD_TRUNCATED,
+    "svd_block": _SVD_TRUNCATED,
+    "svd_block_join": _SVD_TRUNCATED,
     "kmeans_given": f"""WITH {_VECS}, {_lloyd('vecs')}
 SELECT cluster, CAST(i - 1 AS INTEGER) AS pos, round(x, 6) AS value
 FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM c{q.LLOYD_STEPS})""",
@@ -419,6 +435,8 @@ FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM assign
 SELECT labeling, round(silhouette, 6) AS silhouette FROM scores""",
     "silhouette_labelings": f"""WITH {_DISTANCES}, {_BY_MODULUS}, {_silhouette('by_modulus')}
 SELECT labeling AS k, round(silhouette, 6) AS silhouette FROM scores""",
+    "silhouette_sweep_given": f"""WITH {_DISTANCES}, {_sweep()}, {_silhouette('by_fit')}
+SELECT CAST(labeling AS INTEGER) AS k, round(silhouette, 6) AS silhouette FROM scores""",
     "pick_k": f"""WITH {_DISTANCES}, {_BY_MODULUS}, {_silhouette('by_modulus')}
 SELECT (SELECT labeling FROM scores ORDER BY silhouette DESC, labeling LIMIT 1) AS k, 'argmax' AS mode
 UNION ALL SELECT {clusters.DEFAULT_K}, 'fixed'""",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text, vectors
-from termloom.operators import articles, clusters, lsa, search, terms
+from termloom.operators import articles, block_svd, clusters, lsa, search, terms
 from termloom.plans import lsa_job
 from termloom.settings import scratch_path, stored
 from termloom.sources import artifacts, pages
@@ -23,6 +23,7 @@ VOCAB_SIZE = 80_000
 SMALL_VOCABULARY = 500
 SAMPLE_CANDIDATES = 300
 LLOYD_STEPS = 6
+SWEEP_GIVEN = (2, 3, 5, 8)
 FIXED_RANK = 8
 RANK = 20
 TOP_TERMS = 10
@@ -365,11 +366,21 @@ def topic_strength(spark, sf_dir):
     return lsa.topic_strength(_fixed_topics(stored(_vocabulary(spark, sf_dir), "vocabulary")))
 
 
-def _embedding_factors(spark, sf_dir):
-    """Full-rank factors of the `embeddings` matrix."""
+def topic_strength_fitted(spark, sf_dir):
+    """The strengths of the topics of a model that is fitted to the vectors."""
+    rows, factors = _embedding_factors(spark, sf_dir, 2)
+    strengths = lsa.topic_strength(factors.singular_table(spark))
+    return strengths.withColumn("singular_value", F.round("singular_value", 4))
+
+
+def _embedding_factors(spark, sf_dir, rank=None):
+    """Factors of the `embeddings` matrix, of full rank if none is given."""
     rows = clusters.with_vector(_points(spark, sf_dir)).select("vec_id", F.col("vector").alias("features"))
-    width = _vectors(spark, sf_dir).select(F.max(F.size("embedding"))).first()[0]
-    return rows, lsa.truncated_svd(rows, width)
+    return rows, lsa.truncated_svd(rows, rank or _width(spark, sf_dir))
+
+
+def _width(spark, sf_dir) -> int:
+    return _vectors(spark, sf_dir).select(F.max(F.size("embedding"))).first()[0]
 
 
 def svd_gram(spark, sf_dir):
@@ -392,6 +403,27 @@ def svd_truncated(spark, sf_dir):
     )
 
 
+def _block_truncated(spark, sf_dir, **bound):
+    """A V of the two largest singular values, from the block solver, with V as a table."""
+    rows = clusters.with_vector(_points(spark, sf_dir)).select("vec_id", F.col("vector").alias("features"))
+    values, v = block_svd.block_svd(rows, 2, _width(spark, sf_dir), **bound)
+    return lsa.project_documents(rows, v, **bound).select(
+        "vec_id",
+        *[F.round(F.col("embedding")[j], 4).alias(f"us_{j}") for j in range(2)],
+        *[F.round(F.lit(float(s)), 4).alias(f"s_{j}") for j, s in enumerate(values)],
+    )
+
+
+def svd_block(spark, sf_dir):
+    """The block solver where the block is sent to the tasks."""
+    return _block_truncated(spark, sf_dir)
+
+
+def svd_block_join(spark, sf_dir):
+    """The block solver, and the projection, for a V beyond the broadcast bound."""
+    return _block_truncated(spark, sf_dir, max_bytes=0)
+
+
 def svd_similar_docs(spark, sf_dir):
     """Search after a full-rank projection A V; the rotation keeps every cosine."""
     rows, factors = _embedding_factors(spark, sf_dir)
@@ -689,11 +721,17 @@ def final_clusters(spark, sf_dir):
     return clusters.cluster_sizes(labeled)
 
 
-def _given_fit(points):
-    """A fit from the vectors with the first ids, for a fixed number of steps."""
-    k = clusters.DEFAULT_K
-    first = points.filter(F.col("vec_id") < k).orderBy("vec_id").select("features").collect()
-    return {"starts": {k: [r.features for r in first]}, "max_iterations": LLOYD_STEPS, "tolerance": 0.0}
+def _given_fit(points, ks=(clusters.DEFAULT_K,)):
+    """Fits from the vectors with the first ids, for a fixed number of steps."""
+    first = points.filter(F.col("vec_id") < max(ks)).orderBy("vec_id").select("features").collect()
+    starts = {k: [r.features for r in first[:k]] for k in ks}
+    return {"starts": starts, "max_iterations": LLOYD_STEPS, "tolerance": 0.0}
+
+
+def silhouette_sweep_given(spark, sf_dir):
+    """The sweep over fits from given starts: labels and scores for every k."""
+    points = _points(spark, sf_dir)
+    return _rounded_scores(clusters.silhouette_sweep(points, "vec_id", SWEEP_GIVEN, **_given_fit(points, SWEEP_GIVEN)))
 
 
 def kmeans_given(spark, sf_dir):
@@ -735,13 +773,13 @@ QUERIES = {
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
         collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
         normalize_query, term_stats, vocabulary, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,
-        doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, svd_gram, svd_truncated,
+        doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, topic_strength_fitted, svd_gram, svd_truncated, svd_block, svd_block_join,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,
         neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, resolve_title, title_status, select_title,
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,
-        pca_covariance, kmeans, silhouette_sweep, final_clusters, pca_2d, kmeans_given, final_clusters_given, scatter_given, scatter_table,
+        pca_covariance, kmeans, silhouette_sweep, silhouette_sweep_given, final_clusters, pca_2d, kmeans_given, final_clusters_given, scatter_given, scatter_table,
     )
 }
