@@ -43,16 +43,65 @@ TABLE_HOLDERS = frozenset("table thead tbody tfoot tr".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|[^<]++|<",
-    re.S,
-)
+_OTHER = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?/][^>]*+>?|[^<]++|<", re.S)
+_OPENING = re.compile(r"<(/?)([a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]*+")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
-_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})|/\*.*?\*/", re.S)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"^([a-zA-Z][\w-]*|\*)?(?:([.#])([\w-]+))?$")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+# A string that nothing closes ends with its line.
+_CSS_MARK = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.S)
+_COMPOUND = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)")
+_COMBINATOR = re.compile(r"\s*(>)\s*|\s+")
+
+
+class Tags:
+    """Ends of tags. Quotes are followed from tag to tag, so each is looked at once however many tags never end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quoted: dict[int, int] = {}
+        # A search from the first place found the second one; -1 if there is none.
+        self.stop, self.next = (0, 0), (0, 0)
+
+    def _ahead(self, known: tuple[int, int], at: int, find) -> tuple[int, int]:
+        begin, found = known
+        return known if begin <= at and (found < 0 or at <= found) and known != (0, 0) else (at, find(at))
+
+    def _next_stop(self, at: int) -> int:
+        def find(at):
+            found = _STOP.search(self.page, at)
+            return found.start() if found else -1
+
+        self.stop = self._ahead(self.stop, at, find)
+        return self.stop[1]
+
+    def next_end(self, at: int) -> int:
+        """The next >, in quotes or not."""
+        self.next = self._ahead(self.next, at, lambda at: self.page.find(">", at))
+        return self.next[1]
+
+    def end(self, at: int) -> int:
+        """The next > outside of quotes."""
+        path = []
+        while True:
+            found = self._next_stop(at)
+            if found < 0 or self.page[found] == ">":
+                break
+            if found in self.quoted:
+                found = self.quoted[found]
+                break
+            path.append(found)
+            closing = self.page.find(self.page[found], found + 1)
+            if closing < 0:
+                found = -1
+                break
+            at = closing + 1
+        for quote in path:
+            self.quoted[quote] = found
+        return found
 
 
 class Node:
@@ -74,7 +123,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
     """The tree below a root node, and the texts of its style elements."""
     root = Node("html", {})
     stack, styles, at = [root], [], 0
-    end_of_page = len(page)
+    end_of_page, tags = len(page), Tags(page)
 
     # Places of the open elements in the stack, by tag, so that nesting of any depth is looked up at once.
     places: dict[str, list[int]] = {"html": [0]}
@@ -117,11 +166,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
             holder.children.insert(where, child)
 
     while at < end_of_page:
-        token = _TOKEN.match(page, at)
-        at = token.end()
-        name = token[2] or token[5]
-        if name is None:
-            text = token[0]
+        opening = _OPENING.match(page, at)
+        if opening is None or tags.next_end(at) < 0:
+            # Nothing closes a tag from here on: what looks like one is text, an end tag swallows the rest.
+            token = _OTHER.match(page, at)
+            at, text = token.end(), token[0]
             if text.startswith("<") and len(text) > 1:
                 continue
             if not text.isspace():
@@ -131,9 +180,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
             elif stack[-1].tag not in TABLE_HOLDERS:
                 stack[-1].children.append(text)
             continue
-        tag = name.lower()
-        raw = token[3] if token[2] else token[6]
-        if token[1] or token[4]:
+        name = _NAME.match(page, opening.start(2))
+        end = tags.end(name.end())
+        if end < 0:
+            end = tags.next_end(name.end())
+        at, tag, raw = end + 1, name[0].lower(), page[name.end() : end]
+        if opening[1]:
             if tag == "p" and not places.get("p"):
                 put(Node("p", {}))
             elif tag == "br":
@@ -197,87 +249,170 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def rules_of(styles: list[str]) -> list[tuple[str, str, str, str, str]]:
-    """(element, '.' or '#' or '', name, property, value) of the simple selectors that set what is visible."""
-    found = []
-    for style in styles:
-        for selectors, body in _RULE.findall(_AT_RULE.sub("", style)):
-            for name, value in _declarations(body):
-                for selector in selectors.split(","):
-                    simple = _SIMPLE.match(selector.strip())
-                    if simple and selector.strip():
-                        found.append(((simple[1] or "*").lower(), simple[2] or "", simple[3] or "", name, value))
-    return found
-
-
-def _declarations(body: str) -> list[tuple[str, str]]:
+def _on_screen(prelude: str) -> bool:
+    """Whether the rules in an at-rule's block hold. Conditions on the screen's size are unknown and count as not met."""
+    kind, _, rest = prelude.lower().partition(" ")
+    if kind in ("@layer", "@supports"):
+        return True
+    return kind == "@media" and any(q.strip() in ("", "all", "screen", "only screen", "only all", "not print", "not speech") for q in rest.split(","))
+
+
+def rules_of(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in one pass."""
+    css = _COMMENT.sub(" ", css)
+    blocks: list[str | None] = []
+    begin, hidden = 0, 0
+    for mark in _CSS_MARK.finditer(css):
+        what = mark[0]
+        if what == "{":
+            prelude = css[begin : mark.start()].strip()
+            inside_rule = bool(blocks) and blocks[-1] is not None
+            if prelude.startswith("@") or inside_rule:
+                blocks.append(None)
+                hidden += hidden > 0 or inside_rule or not _on_screen(prelude)
+            else:
+                blocks.append(prelude)
+            begin = mark.end()
+        elif what == "}" and blocks:
+            selectors = blocks.pop()
+            if selectors is not None and not hidden:
+                yield selectors, css[begin : mark.start()]
+            hidden -= selectors is None and hidden > 0
+            begin = mark.end()
+        elif what == ";" and not (blocks and blocks[-1] is not None):
+            begin = mark.end()
+    if blocks and blocks[-1] is not None and not hidden:
+        yield blocks[-1], css[begin:]
+
+
+def _declarations(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of what sets visibility."""
     found = []
     for part in body.split(";"):
         name, _, value = part.partition(":")
-        name = name.strip().lower()
+        name, value = name.strip().lower(), value.strip().lower()
         if name in ("display", "visibility"):
-            found.append((name, value.replace("!important", "").strip().lower()))
+            found.append((name, value.replace("!important", "").strip(), "!important" in value))
     return found
 
 
-def _shown(node: Node, rules: list) -> tuple[bool, str | None]:
-    """Whether the element is laid out, and the visibility that it sets."""
+def _chain(selector: str) -> tuple[tuple[str, str, frozenset, frozenset], ...] | None:
+    """(combinator before it, element, classes, ids) of each compound; None for selectors that are not understood."""
+    chain, at, combinator = [], 0, ""
+    while True:
+        compound = _COMPOUND.match(selector, at)
+        if compound.end() == at:
+            return None
+        parts = re.findall(r"([.#])([\w-]+)", compound[2])
+        chain.append((combinator, (compound[1] or "*").lower(), frozenset(n for k, n in parts if k == "."), frozenset(n for k, n in parts if k == "#")))
+        at = compound.end()
+        if at == len(selector):
+            return tuple(chain)
+        found = _COMBINATOR.match(selector, at)
+        if not found:
+            return None
+        combinator, at = found[1] or " ", found.end()
+
+
+class Styles:
+    """Rules of a page. A selector is matched from the outside in: what its first compounds found is handed down the tree."""
+
+    def __init__(self, sheets: list[str]):
+        self.chains: list[tuple] = []
+        # What a chain sets, by property and importance: the last rule of those with equal selectors counts.
+        self.sets: list[dict[tuple[str, bool], tuple[str, tuple, str]]] = []
+        self.first: dict[str, list[int]] = {}
+        known: dict[tuple, int] = {}
+        order = 0
+        for selectors, body in (rule for sheet in sheets for rule in rules_of(sheet)):
+            declared = _declarations(body)
+            for chain in (_chain(s.strip()) for s in selectors.split(",")) if declared else ():
+                if not chain:
+                    continue
+                if (number := known.setdefault(chain, len(self.chains))) == len(self.chains):
+                    _, element, classes, ids = chain[0]
+                    self.first.setdefault(f"#{min(ids)}" if ids else f".{min(classes)}" if classes else element, []).append(number)
+                    self.chains.append(chain)
+                    self.sets.append({})
+                weight = (sum(len(c[3]) for c in chain), sum(len(c[2]) for c in chain), sum(c[1] != "*" for c in chain))
+                order += 1
+                for what, value, important in declared:
+                    self.sets[number][what, important] = (what, (important, False, weight, order), value)
+
+    def apply(self, node, handed: tuple[frozenset, frozenset]) -> tuple[list, tuple[frozenset, frozenset]]:
+        """What the rules set for a node, and what its children are handed: (rule, compounds matched) by any element
+        above, and by the parent."""
+        if not self.chains:
+            return [], handed
+        tag, attributes = node.tag, node.attributes
+        classes, own = frozenset(attributes.get("class", "").split()), attributes.get("id")
+        keys = ["*", tag, *(f".{c}" for c in classes), *([f"#{own}"] if own else [])]
+        states = {(rule, 0) for key in keys for rule in self.first.get(key, ())} | handed[0] | handed[1]
+        found, above, parent = [], [], []
+        for rule, i in states:
+            chain = self.chains[rule]
+            _, element, wanted, ids = chain[i]
+            if element in ("*", tag) and wanted <= classes and ids <= {own}:
+                if i + 1 == len(chain):
+                    found += self.sets[rule].values()
+                else:
+                    (parent if chain[i + 1][0] == ">" else above).append((rule, i + 1))
+        return found, (handed[0].union(above) if above else handed[0], frozenset(parent))
+
+
+def _shown(node: Node, found: list) -> tuple[bool, str | None]:
+    """Whether the element is laid out, and the visibility that it sets; `found`: what the rules say."""
     attributes = node.attributes
-    if not attributes and not rules:
+    if not attributes and not found:
         return node.tag not in UNSEEN, None
     display = "none" if "hidden" in attributes or node.tag in UNSEEN else ""
     if node.tag == "dialog" and "open" not in attributes or node.tag == "input" and attributes.get("type", "").lower() == "hidden":
         display = "none"
     visibility = None
-    if rules:
-        classes = attributes.get("class", "").split()
-        for element, kind, name, what, value in rules:
-            if element in ("*", node.tag) and (
-                not kind or kind == "." and name in classes or kind == "#" and name == attributes.get("id")
-            ):
-                if what == "display" and node.tag not in UNSEEN:
-                    display = value
-                elif what == "visibility":
-                    visibility = value
     if "style" in attributes:
-        for what, value in _declarations(attributes["style"]):
-            if what == "display" and node.tag not in UNSEEN:
-                display = value
-            elif what == "visibility":
-                visibility = value
+        inline = _declarations(attributes["style"])
+        found = found + [(what, (important, True, (0, 0, 0), i), value) for i, (what, value, important) in enumerate(inline)]
+    for what, _, value in sorted(found, key=lambda f: f[1]):
+        if what == "display" and node.tag not in UNSEEN:
+            display = value
+        elif what == "visibility":
+            visibility = value
     return display != "none", visibility
 
 
 class Box:
     """Lines of one flow of text: the page, or one table cell."""
 
-    __slots__ = ("lines", "line", "gap", "indent", "marker")
+    __slots__ = ("lines", "parts", "gap", "indent", "marker")
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.indent, self.marker = [], "", 0, "", ""
+        # `parts` of the line that is not ended yet; none is empty.
+        self.lines, self.parts, self.gap, self.indent, self.marker = [], [], 0, "", ""
 
     def add(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
-        if not self.line or self.line[-1] == " ":
+        if not self.parts or self.parts[-1][-1] == " ":
             text = text.lstrip(" ")
-        self.line += text
+        if text:
+            self.parts.append(text)
 
     def add_kept(self, text: str) -> None:
         first, *rest = text.replace("\r\n", "\n").split("\n")
-        self.line += first
+        if first:
+            self.parts.append(first)
         for line in rest:
             self.end_line(True)
-            self.line = line
+            self.parts = [line] if line else []
 
     def end_line(self, forced: bool = False) -> None:
-        line = self.line.rstrip(" ")
+        line = "".join(self.parts).rstrip(" ")
         if line.strip() or forced:
             if self.gap > 1 and self.lines:
                 self.lines.append("")
             self.gap = 0
             self.lines.append((self.indent[: len(self.indent) - len(self.marker)] + self.marker + line).rstrip(" "))
             self.marker = ""
-        self.line = ""
+        self.parts = []
 
     def block(self, lines: int) -> None:
         self.end_line()
@@ -329,7 +464,8 @@ class Table:
         for row in cut:
             for i in range(max(len(lines) for lines in row.values())):
                 cells = [(row[c][i] if c in row and i < len(row[c]) else "").ljust(widths[c]) for c in columns]
-                out.append(" | ".join(cells).rstrip(" |") if len(columns) > 1 else cells[0].rstrip(" "))
+                last = max((n for n, cell in enumerate(cells) if cell.strip(" ")), default=0)
+                out.append(" | ".join(cells[: last + 1]).rstrip(" "))
         return out
 
 
@@ -342,21 +478,22 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page.replace("\x00", ""))
-    rules = rules_of(styles)
+    rules = Styles(styles)
     box, tables, lists = Box(), [], []
-    # Work still to do: (node or text, visible, kept white space) or a function that ends an element.
-    work: list = [(root, True, False)]
+    # Work still to do: (node or text, visible, kept white space, what selectors found above) or a function that ends an element.
+    work: list = [(root, True, False, (frozenset(), frozenset()))]
     while work:
         item = work.pop()
         if callable(item):
             item()
             continue
-        node, visible, kept = item
+        node, visible, kept, handed = item
         if isinstance(node, str):
             if visible:
                 box.add_kept(node) if kept else box.add(node)
             continue
-        shown, visibility = _shown(node, rules)
+        found, handed = rules.apply(node, handed)
+        shown, visibility = _shown(node, found)
         if not shown:
             continue
         if visibility is not None:
@@ -373,7 +510,12 @@ def render(page: str | None) -> str:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         elif tag == "select":
             options = [o for c in children if isinstance(c, Node) for o in (c.children if c.tag == "optgroup" else [c]) if isinstance(o, Node)]
-            children = [o for o in options if "selected" in o.attributes][:1] or options[:1]
+            if "multiple" in node.attributes or _number(node.attributes.get("size"), 1) > 1:
+                children = [Node("div", {}) for _ in options]
+                for line, option in zip(children, options, strict=True):
+                    line.children.append(option)
+            else:
+                children = [o for o in options if "selected" in o.attributes][:1] or options[:1]
         ends = []
         spacing = 2 if tag in SPACED else 1 if tag in BLOCK else 0
         inner = bool(lists) and tag in ("ul", "ol", "menu", "dir")
@@ -418,7 +560,7 @@ def render(page: str | None) -> str:
                 nonlocal lists
                 table, lists = tables.pop()
                 for line in table.lines():
-                    box.line = line
+                    box.parts = [line]
                     box.end_line()
 
             ends.append(end_table)
@@ -437,7 +579,7 @@ def render(page: str | None) -> str:
 
             ends.append(end_cell)
         work.extend(ends)
-        work.extend((child, visible, kept) for child in reversed(children))
+        work.extend((child, visible, kept, handed) for child in reversed(children))
     return box.text()
 
 
@@ -445,7 +587,11 @@ def extract_text(pages: DataFrame, key: str = "page_id", source: str = "html") -
     """One row per page: the key, text, n_chars (characters of text).
 
     Null and empty pages give an empty text; broken markup never fails, what cannot be read as a tag is
-    text. Repeated rows are rendered each; an empty table gives no rows. Other columns are not read.
+    text. The time for a page grows with its length, whatever is left open in it, and with the different selectors that
+    match about an element. Style rules are read with
+    element, class and id selectors, alone, compound, or as descendants and children, in the order of the cascade; selectors
+    with attributes, pseudo-classes or siblings, and media queries with conditions, are passed over. Cells are
+    aligned up to PAD characters. Repeated rows are rendered each; an empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from termloom.llm.html_text import extract_text, render
@@ -22,6 +24,17 @@ CASES = [
     ("<pre>\n a\n   b\n</pre>", " a\n   b"),
     ("<select><option>a<option selected>b</select><input type=submit value=go><input type=hidden value=no>", "bgo"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+    ("<style>.a{display:none} .a.b{display:block}</style><p class='a b'>shown<p class=a>not", "shown"),
+    ("<style>.a.b{display:block} .a{display:none}</style><p class='b a'>shown<p class=a>not", "shown"),
+    ("<style>div.x p{display:none}</style><p>1<div class=x><section><p>2</section></div><div><p>3</div>", "1\n\n3"),
+    ("<style>div > b, #n i {display:none}</style><div><b>1</b><i>2<b>3</b></i></div><div id=n><u><i>4</i>5</u></div>", "23\n5"),
+    ("<style>@media screen {.a{display:none}} @media print {.b{display:none}}</style><p class=a>1<p class=b>2", "2"),
+    ("<style>@media (max-width: 9px) {p{display:none}} @font-face {p: {display:none}} p::before{content:'}'}</style><p>1", "1"),
+    ("<style>p{display:none!important} @import 'x'; i{}</style><p style='display:block'>1</p><p style='display:block!important'>2", "2"),
+    ("<style>/* p{display:none} */ a:hover{display:none} b[x]{display:none} i+b{display:none}</style><p>1 <a>2</a> <i>3</i><b x>4</b>", "1 2 34"),
+    ("<select multiple><option>a<option>b</select><select size=3><optgroup><option>c<option>d</select>", "a\nb\nc\nd"),
+    ("<table><tr><td>a<td>x |<tr><td>b<td>|<tr><td>c<td></table>", "a | x |\nb | |\nc"),
+    ("<a b='>\">1</a><a \"'>2", "2"),
     ("1 < 2 <!-- c --> <![CDATA[x]]>3<a href='>'>4</a>", "1 < 2 34"),
     ("<b>open <i>nested</b> text", "open nested text"),
     ("<p><", "<"),
@@ -41,6 +54,30 @@ def test_deep_and_broken_pages():
     assert len(render(long_row)) < 1_000_000
 
 
+@pytest.mark.parametrize("part", [
+    "<a ", "<a", '<a "', "<a '", '<a ">"', "<a \"'>", "</a", "</a \"", "<!", "<a b=\"'>\"", "<b '>'\"", "<td", "<li", "&lt", "<p a='",
+    "<style>@</style>", "<table><tr><td>",
+])
+def test_time_grows_with_length(part):
+    """A million characters of what never ends."""
+    began = time.process_time()
+    render(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("css", ["@", "/*", "{", "}", "@media{", "a{", '"', "'\\", "a,", "a b ", "a>", "p{display:none}", ".x p{display:none}"])
+def test_time_of_styles(css):
+    began = time.process_time()
+    render("<style>" + css * (300_000 // len(css)) + "</style><p>" + "<div class=x>" * 100 + "seen")
+    assert time.process_time() - began < 60
+
+
+def test_selectors_of_deep_pages():
+    page = "<style>.x p{display:none} div div b{display:none}</style><div class=x>" + "<div>" * 50_000 + "<p>no</p><b>no</b><i>yes"
+    began = time.process_time()
+    assert render(page) == "yes" and time.process_time() - began < 30
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (2, None), (2, None), (None, "<p>b"), (3, "")], "page_id long, html string")
     pages = pages.selectExpr("*", "'x' AS id", "'y' AS text", "1 AS n_chars")
