@@ -16,12 +16,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions import vectors
-from termloom.operators.lsa import column_signs
+from termloom.operators.lsa import PRODUCT_CELLS, column_signs
 from termloom.settings import BROADCAST_BYTES, MAX_CLUSTERS, block_count, stored
 
 # Restarts, seed, iteration limit and tolerance of k-means, the swept range, the default k.
@@ -31,6 +31,8 @@ MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 SWEEP = range(2, 15)
 DEFAULT_K = 5
+# Points of a cluster that a sampled silhouette scores.
+SAMPLED = 200
 
 EUCLIDEAN, SQUARED_EUCLIDEAN = "euclidean", "squaredEuclidean"
 
@@ -448,6 +450,88 @@ def _mean_silhouettes(sums: DataFrame, labelings: list[str], bounds, counts) ->
     return sums.withColumn("size", size).agg(*means).select(F.inline(pairs))
 
 
+def sampled_silhouette(
+    points: DataFrame, labelings: list[str], key: str, per_cluster: int = SAMPLED, seed: int = SEED, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(labeling, silhouette, standard_error, sampled): the Euclidean silhouette estimated from some points of each cluster.
+
+    The `per_cluster` points of a cluster with the lowest hashes of their keys are scored against all points, so one
+    pass over the points takes the place of all pairs, and each score is exact. Clusters weigh by their sizes; the
+    standard error is that of a stratified sample, 0 where all points of every cluster are taken. The sample and its
+    distance sums must stay below `max_bytes`. Rows without a label do not belong to a labeling.
+    """
+    if per_cluster < 2:
+        raise ValueError("a standard error needs two points of a cluster")
+    sizes = _sizes(points, labelings)
+    sizes = {name: {label: n for label, n in found.items() if label is not None} for name, found in sizes.items()}
+    if min(len(s) for s in sizes.values()) < 2:
+        raise ValueError("a silhouette needs at least two clusters")
+    width = points.select(F.max(F.size("features"))).first()[0]
+    taken, most = sum(min(n, per_cluster) for s in sizes.values() for n in s.values()), max(map(len, sizes.values()))
+    # Sums come back with their places, as a table of three columns and more on the way.
+    if 64 * taken * (width + most) > max_bytes:
+        raise ValueError("the sample is too large to send: take fewer points per cluster")
+    picked = None
+    for i, name in enumerate(labelings):
+        order = Window.partitionBy("cluster").orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key)
+        rows = points.select(F.col(name).cast("int").alias("cluster"), key, "features").where("cluster is not null")
+        rows = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_cluster)
+        rows = rows.select(F.lit(i).alias("labeling"), "cluster", "features")
+        picked = rows if picked is None else picked.unionByName(rows)
+    sample = sorted(picked.collect(), key=lambda r: (r.labeling, r.cluster))
+    slots = [{label: j for j, label in enumerate(sizes[name])} for name in labelings]
+    vectors = np.array([r.features for r in sample], dtype=float)
+    span = np.searchsorted([r.labeling for r in sample], np.arange(len(labelings) + 1))
+    sent = points.sparkSession.sparkContext.broadcast((vectors, span, slots))
+
+    def run(batches):
+        import pyarrow as pa
+
+        vectors, span, slots = sent.value
+        total, step = np.zeros((len(vectors), most)), max(1, PRODUCT_CELLS // len(vectors))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            for low in range(0, len(x), step):
+                part = x[low : low + step]
+                squares = (vectors**2).sum(axis=1)[:, None] + (part**2).sum(axis=1) - 2 * vectors @ part.T
+                distance = np.sqrt(np.maximum(squares, 0.0))
+                for i, slot in enumerate(slots):
+                    labels = batch.column(1 + i).slice(low, len(part)).to_pylist()
+                    of = np.array([slot.get(label, -1) for label in labels])
+                    member = (of[:, None] == np.arange(len(slot))).astype(float)
+                    total[span[i] : span[i + 1], : len(slot)] += distance[span[i] : span[i + 1]] @ member
+        point, cluster = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(cluster), pa.array(total[point, cluster])], names=["point", "slot", "sum"])
+
+    columns = points.select("features", *[F.col(name).cast("int").alias(f"_{i}") for i, name in enumerate(labelings)])
+    sums = columns.mapInArrow(run, "point long, slot long, sum double").groupBy("point", "slot").agg(F.sum("sum").alias("sum"))
+    # A row for each sampled point and cluster; the bound above holds for them.
+    found = np.zeros((len(sample), most))
+    table = sums.toArrow()
+    found[table["point"].to_numpy(), table["slot"].to_numpy()] = table["sum"].to_numpy()
+    out = []
+    for i, name in enumerate(labelings):
+        counts = np.array(list(sizes[name].values()), dtype=float)
+        own = np.array([slots[i][r.cluster] for r in sample[span[i] : span[i + 1]]])
+        rows, at = found[span[i] : span[i + 1], : len(counts)], np.arange(len(own))
+        inner = rows[at, own] / np.maximum(counts[own] - 1, 1)
+        means = rows / counts
+        means[at, own] = np.inf
+        outer = means.min(axis=1)
+        widest = np.maximum(inner, outer)
+        scores = np.where((counts[own] > 1) & (widest > 0), (outer - inner) / np.where(widest > 0, widest, 1), 0.0)
+        mean, error = 0.0, 0.0
+        for c, n in enumerate(counts):
+            some = scores[own == c]
+            mean += n / counts.sum() * some.mean()
+            if len(some) < n:
+                error += (n / counts.sum()) ** 2 * some.var(ddof=1) / len(some) * (1 - len(some) / n)
+        out.append((name, float(mean), float(np.sqrt(error)), len(own)))
+    return points.sparkSession.createDataFrame(out, "labeling string, silhouette double, standard_error double, sampled long")
+
+
 def _silhouette_squared(points: DataFrame, labelings: list[str]) -> DataFrame:
     prepared = with_vector(points)
     rows = []

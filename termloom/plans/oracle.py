@@ -435,6 +435,21 @@ FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM assign
 SELECT labeling, round(silhouette, 6) AS silhouette FROM scores""",
     "silhouette_labelings": f"""WITH {_DISTANCES}, {_BY_MODULUS}, {_silhouette('by_modulus')}
 SELECT labeling AS k, round(silhouette, 6) AS silhouette FROM scores""",
+    "silhouette_sampled": f"""WITH {_DISTANCES},
+two AS (SELECT 'label' AS labeling, vec_id, label AS cluster FROM vecs UNION ALL SELECT 'third', vec_id, vec_id % 3 FROM vecs),
+{_silhouette('two')},
+size AS (SELECT labeling, cluster, count(*) AS n FROM two GROUP BY ALL),
+picked AS (SELECT labeling, vec_id, cluster FROM two QUALIFY row_number() OVER (
+  PARTITION BY labeling, cluster ORDER BY md5(vec_id || ':{clusters.SEED}'), vec_id) <= {q.SAMPLED_POINTS}),
+score AS (
+  SELECT labeling, cluster, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+  FROM picked JOIN per_point USING (labeling, vec_id)),
+stratum AS (
+  SELECT labeling, n, count(*) AS m, avg(s) AS mean, coalesce(var_samp(s), 0) AS spread
+  FROM score JOIN size USING (labeling, cluster) GROUP BY labeling, cluster, n)
+SELECT labeling, round(sum(n * mean) / sum(n), 6) AS silhouette,
+       round(sqrt(sum(n * n * spread / m * (1 - m / n))) / sum(n), 6) AS standard_error, sum(m)::BIGINT AS sampled
+FROM stratum GROUP BY labeling""",
     "silhouette_sweep_given": f"""WITH {_DISTANCES}, {_sweep()}, {_silhouette('by_fit')}
 SELECT CAST(labeling AS INTEGER) AS k, round(silhouette, 6) AS silhouette FROM scores""",
     "pick_k": f"""WITH {_DISTANCES}, {_BY_MODULUS}, {_silhouette('by_modulus')}

@@ -24,6 +24,7 @@ SMALL_VOCABULARY = 500
 SAMPLE_CANDIDATES = 300
 LLOYD_STEPS = 6
 SWEEP_GIVEN = (2, 3, 5, 8)
+SAMPLED_POINTS = 12
 FIXED_RANK = 8
 RANK = 20
 TOP_TERMS = 10
@@ -682,6 +683,13 @@ def silhouette_labelings(spark, sf_dir):
     return _rounded_scores(_modulus_scores(spark, sf_dir))
 
 
+def silhouette_sampled(spark, sf_dir):
+    """Estimates from some points of each cluster, for the labels and for vec_id mod 3."""
+    points = _points(spark, sf_dir).withColumn("third", F.pmod("vec_id", F.lit(3)))
+    found = clusters.sampled_silhouette(points, ["label", "third"], "vec_id", SAMPLED_POINTS)
+    return _rounded_scores(found).withColumn("standard_error", F.round("standard_error", 6))
+
+
 def pick_k(spark, sf_dir):
     scores = _modulus_scores(spark, sf_dir)
     best = clusters.pick_k(scores, "argmax").withColumn("mode", F.lit("argmax"))
@@ -780,6 +788,6 @@ QUERIES = {
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,
-        pca_covariance, kmeans, silhouette_sweep, silhouette_sweep_given, final_clusters, pca_2d, kmeans_given, final_clusters_given, scatter_given, scatter_table,
+        pca_covariance, kmeans, silhouette_sweep, silhouette_sweep_given, silhouette_sampled, final_clusters, pca_2d, kmeans_given, final_clusters_given, scatter_given, scatter_table,
     )
 }

@@ -163,3 +163,24 @@ def test_a_fit_cut_short_says_so(spark):
     points = spark.createDataFrame([(i, [float(i * i % 97)]) for i in range(200)], "id long, features array<double>")
     with pytest.warns(UserWarning, match="still moved"):
         clusters.fit_centers(points, "id", [5], restarts=1, max_iterations=1)
+
+
+def test_sampled_silhouette(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=3) + 4 * (i % 3)).tolist(), i % 3, int(i > 0), None if i % 10 == 0 else i % 2) for i in range(300)]
+    points = spark.createDataFrame(rows, "id long, features array<double>, a int, b int, c int").repartition(4)
+    exact = {r.labeling: r.silhouette for r in clusters.silhouette(points, ["a", "b"], "id").collect()}
+    whole = {r.labeling: r for r in clusters.sampled_silhouette(points, ["a", "b"], "id", 300).collect()}
+    for name in ("a", "b"):
+        assert whole[name].silhouette == pytest.approx(exact[name], abs=1e-6)
+        assert whole[name].standard_error == 0 and whole[name].sampled == 300
+    some = {r.labeling: r for r in clusters.sampled_silhouette(points, ["a", "b"], "id", 25).collect()}
+    assert some["a"].sampled == 75 and 0 < some["a"].standard_error < 0.05
+    assert abs(some["a"].silhouette - exact["a"]) < 4 * some["a"].standard_error
+    labelled = points.where("c is not null")
+    want = clusters.silhouette(labelled, ["c"], "id").first().silhouette
+    assert clusters.sampled_silhouette(points, ["c"], "id", 300).first().silhouette == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError, match="fewer points"):
+        clusters.sampled_silhouette(points, ["a"], "id", 25, max_bytes=1000)
+    with pytest.raises(ValueError, match="two clusters"):
+        clusters.sampled_silhouette(points.withColumn("a", F.lit(1)), ["a"], "id")
