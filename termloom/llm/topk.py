@@ -67,14 +67,17 @@ class Lists:
         return np.unique(named)
 
 
-def _best(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+def _best(scores: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
     """Columns of the k best of each row, ties to the lower column; `own` is never among them."""
-    n = scores.shape[1]
-    keys = scores * n + np.arange(n - 1, -1, -1)
-    keys[own] = np.iinfo(np.int64).min
-    k = min(k, n)
-    part = np.argpartition(keys, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), keys.shape)
-    return np.take_along_axis(part, np.argsort(np.take_along_axis(keys, part, axis=1), axis=1)[:, ::-1], axis=1)
+    out = []
+    for row, mine in zip(scores, own, strict=True):
+        columns = np.flatnonzero(~mine)
+        if len(columns) > k:
+            # All above the k-th score, and those equal to it.
+            values = row[columns]
+            columns = columns[values >= np.partition(values, len(columns) - k)[len(columns) - k]]
+        out.append(columns[np.lexsort((columns, -row[columns]))[:k]])
+    return out
 
 
 def search(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -118,16 +121,13 @@ def search(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int):
         scores = (fast[rows] @ query.astype(kind)).astype(np.int64)[None, :]
         own = (block.ids[rows] == query_ids[place])[None, :]
         columns = _best(scores, own, k)[0]
-        columns = columns[~own[0, columns]]
         report([place], [rows[columns]], [scores[0, columns]])
     for at in range(0, len(whole), GROUP):
         places = np.array(whole[at : at + GROUP])
         scores = (queries[places].astype(kind) @ fast.T).astype(np.int64)
         own = query_ids[places][:, None] == block.ids[None, :]
-        columns = _best(scores, own, k)
-        for i, place in enumerate(places):
-            kept = columns[i][~own[i, columns[i]]]
-            report([place], [kept], [scores[i, kept]])
+        for i, kept in enumerate(_best(scores, own, k)):
+            report([places[i]], [kept], [scores[i, kept]])
     return found
 
 

@@ -55,3 +55,12 @@ def test_lists_stop_early(monkeypatch):
     want = [(i, int(s)) for i, q in enumerate(queries) for s in sorted(vectors @ q)[::-1][:5]]
     assert sorted(zip(place, score, strict=True)) == sorted(want)
     assert max(read) < 2500
+
+
+def test_scores_near_the_end_of_64_bits():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(2**26, 2**27, (9000, 64)) * rng.choice([-1, 1], (9000, 1))
+    block = topk.Lists(np.arange(9000), vectors)
+    place, column, score = topk.search(block, np.array([5]), vectors[5:6], 4)
+    exact = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[5], v, strict=True)), i) for i, v in enumerate(vectors[:9000]) if i != 5)[:4]
+    assert sorted((-s, c) for s, c in zip(score, column, strict=True)) == exact
