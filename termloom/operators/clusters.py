@@ -31,6 +31,10 @@ MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 SWEEP = range(2, 15)
 DEFAULT_K = 5
+# Rounds of drawing candidates for starting centres, before which one point is drawn and after which all are weighed.
+ROUNDS = 4
+# Draws of which the best is taken when the candidates are clustered.
+TRIES = 4
 # Points of a cluster that a sampled silhouette scores.
 SAMPLED = 200
 
@@ -119,20 +123,78 @@ def _seed_centers(rows: DataFrame, k: int, restarts: int) -> np.ndarray:
     A row draws log(u) / distance2 with u from its hash, and the largest draw wins: the same
     odds as sampling from the whole table, with one row per task and restart to compare.
     """
-    spark = rows.sparkSession
-    schema = "restart int, draw double, features array<double>"
+    width = len(rows.select("features").first()[0])
+    if k > ROUNDS + 2 and 8 * restarts * (1 + ROUNDS * k) * width <= BROADCAST_BYTES:
+        return _oversampled_centers(rows, k, restarts)
     chosen = None
     for step in range(k):
-        known = spark.sparkContext.broadcast(chosen)
-        draws = rows.mapInArrow(_draw_task(known, step, restarts), schema)
-        best = draws.groupBy("restart").agg(F.max_by("features", F.struct("draw", "features")).alias("features"))
-        found = np.array([r.features for r in best.orderBy("restart").collect()])[:, None, :]
-        known.destroy()
+        found = np.array(_drawn(rows, chosen, step, restarts, 1))
         chosen = found if chosen is None else np.concatenate([chosen, found], axis=1)
     return chosen
 
 
-def _draw_task(known, step: int, restarts: int):
+def _drawn(rows: DataFrame, chosen, step: int, restarts: int, most: int) -> list[np.ndarray]:
+    """The points with the `most` largest draws, per restart; a task returns that many."""
+    known = rows.sparkSession.sparkContext.broadcast(chosen)
+    draws = rows.mapInArrow(_draw_task(known, step, restarts, most), "restart int, draw double, features array<double>")
+    order = Window.partitionBy("restart").orderBy(F.desc("draw"), "features")
+    best = draws.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).orderBy("restart", "place").collect()
+    known.destroy()
+    return [np.array([r.features for r in best if r.restart == restart]) for restart in range(restarts)]
+
+
+def _oversampled_centers(rows: DataFrame, k: int, restarts: int) -> np.ndarray:
+    """The same from ROUNDS + 2 passes, however large k is: k candidates a round, all drawn by their distances to those
+    of earlier rounds; then each candidate is weighed by the points nearest to it, and k of them are drawn on the driver."""
+    chosen = _drawn(rows, None, 0, restarts, 1)
+    for step in range(1, ROUNDS + 1):
+        chosen = [np.concatenate([c, *([n] if len(n) else [])]) for c, n in zip(chosen, _drawn(rows, chosen, step, restarts, k), strict=True)]
+    known = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        weights = [np.zeros(len(c)) for c in known.value]
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
+            for weight, c in zip(weights, known.value, strict=True) if x is not None else ():
+                weight += np.bincount(_squares(x, c).argmin(axis=1), minlength=len(c))
+        for restart, weight in enumerate(weights):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([restart] * len(weight), pa.int32()), pa.array(range(len(weight)), pa.int32()), pa.array(weight)],
+                names=["restart", "place", "weight"],
+            )
+
+    weighed = rows.mapInArrow(weigh, "restart int, place int, weight double").groupBy("restart", "place").agg(F.sum("weight").alias("weight"))
+    weights = [np.zeros(len(c)) for c in chosen]
+    for r in weighed.collect():
+        weights[r.restart][r.place] = r.weight
+    known.destroy()
+    return np.array([_weighted_centers(c, w, k, restart) for restart, (c, w) in enumerate(zip(chosen, weights, strict=True))])
+
+
+def _weighted_centers(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the points, each drawn with odds in proportion to its weight times its squared distance to those before it;
+    of a few draws the one that leaves the least distance."""
+    rng = np.random.default_rng(seed)
+    nearest, out = np.full(len(points), 1.0), []
+    for step in range(k):
+        odds = weights * nearest
+        odds = odds / odds.sum() if odds.sum() > 0 else np.full(len(points), 1 / len(points))
+        tries = rng.choice(len(points), 1 if step == 0 else TRIES, p=odds)
+        left = [np.minimum(nearest if step else np.inf, _squares(points, points[i : i + 1])[:, 0]) for i in tries]
+        best = int(np.argmin([(weights * d).sum() for d in left]))
+        nearest = left[best]
+        out.append(points[tries[best]])
+    return np.array(out)
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centres."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1) - 2 * x @ centers.T, 0.0)
+
+
+def _draw_task(known, step: int, restarts: int, most: int):
     def mixed(values):
         import numpy as np
 
@@ -146,7 +208,7 @@ def _draw_task(known, step: int, restarts: int):
         import pyarrow as pa
 
         centers = known.value
-        best_draw, best_row = np.full(restarts, -np.inf), [None] * restarts
+        best_draw, best_row = [np.empty(0)] * restarts, [None] * restarts
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -157,19 +219,21 @@ def _draw_task(known, step: int, restarts: int):
                 u = (mixed(hashes ^ stream) >> np.uint64(11)).astype(float) + 0.5
                 weight = np.ones(len(x))
                 if centers is not None:
-                    weight = np.min([((x - c) ** 2).sum(axis=1) for c in centers[restart]], axis=0)
+                    weight = _squares(x, centers[restart]).min(axis=1)
                 draws = np.full(len(x), -np.finfo(float).max)
                 np.divide(np.log(u / 2.0**53), weight, out=draws, where=weight > 0)
-                row = int(draws.argmax())
-                if best_row[restart] is None or draws[row] > best_draw[restart]:
-                    best_draw[restart], best_row[restart] = draws[row], x[row].copy()
-        found = [r for r in range(restarts) if best_row[r] is not None]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int32()), pa.array(best_draw[found]),
-                 pa.array([best_row[r] for r in found], pa.list_(pa.float64()))],
-                names=["restart", "draw", "features"],
-            )
+                top = np.argsort(-draws, kind="stable")[:most]
+                rows = x[top] if best_row[restart] is None else np.concatenate([best_row[restart], x[top]])
+                draws = np.concatenate([best_draw[restart], draws[top]])
+                top = np.argsort(-draws, kind="stable")[:most]
+                best_draw[restart], best_row[restart] = draws[top], rows[top]
+        for restart in range(restarts):
+            if len(best_draw[restart]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([restart] * len(best_draw[restart]), pa.int32()), pa.array(best_draw[restart]),
+                     pa.array(list(best_row[restart]), pa.list_(pa.float64()))],
+                    names=["restart", "draw", "features"],
+                )
 
     return draw
 

@@ -184,3 +184,26 @@ def test_sampled_silhouette(spark):
         clusters.sampled_silhouette(points, ["a"], "id", 25, max_bytes=1000)
     with pytest.raises(ValueError, match="two clusters"):
         clusters.sampled_silhouette(points.withColumn("a", F.lit(1)), ["a"], "id")
+
+
+def test_oversampled_starts(spark, monkeypatch):
+    """As many passes for 30 centres as for 10, and fits as cheap as from one draw a pass."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(30, 4)) * 20
+    rows = [(i, (middles[i % 30] + rng.normal(size=4)).tolist()) for i in range(1500)]
+    points = spark.createDataFrame(rows, "id long, features array<double>").repartition(4)
+    x = np.array([r[1] for r in rows])
+
+    def cost(centers):
+        return ((x[:, None] - np.asarray(centers)[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+    passes = []
+    drawn = clusters._drawn
+    monkeypatch.setattr(clusters, "_drawn", lambda *a: (passes.append(1), drawn(*a))[1])
+    fits = clusters.fit_centers(points, "id", [10, 30], restarts=3)
+    assert len(passes) == clusters.ROUNDS + 1 and {k: len(c) for k, c in fits.items()} == {10: 10, 30: 30}
+    monkeypatch.setattr(clusters, "ROUNDS", 100)
+    one_by_one = clusters.fit_centers(points, "id", [10, 30], restarts=3)
+    for k in (10, 30):
+        assert cost(fits[k]) < 1.1 * cost(one_by_one[k])
+    assert np.array_equal(clusters._weighted_centers(np.ones((3, 2)), np.ones(3), 2, 0), np.ones((2, 2)))
