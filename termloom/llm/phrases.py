@@ -31,9 +31,9 @@ from termloom.settings import stored
 
 LENGTHS = 5
 # Bytes of text counted at a time before the counts go into the trie.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 # Entries of a trie before subtrees are spilled, and of a container before it bursts.
-ENTRIES, BURST = 600_000, 8192
+ENTRIES, BURST = 500_000, 8192
 # Words with numbers before a task spills everything and numbers anew.
 NUMBERED = 1_000_000
 # Entries spilled together at least, prefix partitions per input partition, and words of a prefix.
@@ -240,7 +240,7 @@ class Tokens:
         self.lang = coded.indices.to_numpy()[row]
         self.salt = _lang_hash(self.langs)[self.lang]
         # Words of one piece have the same number of breaks before them, and the same row.
-        piece = np.cumsum(_BREAK[raw], dtype=np.int64)[start] + row * (len(data) + 1)
+        piece = np.cumsum(_BREAK[raw], dtype=np.int32)[start].astype(np.int64) + row * (len(data) + 1)
         last = np.flatnonzero(np.diff(piece, append=-1))
         self.left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(start)) if len(start) else piece
 
