@@ -19,6 +19,10 @@ from termloom.operators.joins import salted_join
 from termloom.settings import BROADCAST_BYTES, LEXICON_ROWS, STOPWORD_ROWS, stored
 
 
+# Counters of the filter of rare terms, as a power of two: 16 MB a task while it counts, 256 KB on the driver.
+FILTER_BITS = 21
+
+
 def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGLISH) -> DataFrame:
     """Replace the text column by its tokens without stop words."""
     return df.withColumn("tokens", without_stopwords(tokenize(F.col(text)), stopwords)).drop(text)
@@ -114,6 +118,66 @@ def term_stats(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum(F.col("first").cast("bigint")).alias("df"), F.count("*").alias("cf"))
 
 
+def surely_rare(tokens: DataFrame, min_df: int, bits: int = FILTER_BITS):
+    """A function from a term column to a condition that holds only for terms of fewer than `min_df` documents.
+
+    Each task counts documents by a hash of their terms, in 2^bits counters that stop at `min_df`; counters of tasks are
+    added in chunks, and one bit of each reaches the driver: 2^bits bits, whatever the number of terms. Terms that share
+    a counter make it larger, never smaller, so no frequent term is called rare.
+    """
+    size, chunk = 1 << bits, 1 << min(bits, 14)
+    hashes = F.array_distinct(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: _counter(t, bits)))
+    most = min(min_df, 255)
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counters = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            counters += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+        packed = np.minimum(counters, most).astype(np.uint8).reshape(-1, chunk)
+        found = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.astype(np.int32)), pa.array([packed[i].tobytes() for i in found], pa.binary())], names=["chunk", "counters"]
+        )
+
+    def add(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(c.as_py(), dtype=np.uint8).astype(np.int64) for c in parts["counters"])
+        bitmap = np.packbits(total >= most, bitorder="little").tobytes()
+        return pa.table({"chunk": parts["chunk"].slice(0, 1), "bitmap": pa.array([bitmap], pa.binary())})
+
+    counted = tokens.select(hashes.alias("hashes")).where("hashes is not null").mapInArrow(count, "chunk int, counters binary")
+    bitmap = bytearray(size // 8)
+    for row in counted.groupBy("chunk").applyInArrow(add, "chunk int, bitmap binary").collect():
+        bitmap[row["chunk"] * chunk // 8 : (row["chunk"] + 1) * chunk // 8] = row["bitmap"]
+    # One literal: the optimizer folds the list before the plan runs.
+    words = ",".join(str(int.from_bytes(bitmap[i : i + 8], "little", signed=True)) for i in range(0, len(bitmap), 8))
+    listed = F.split(F.lit(words), ",").cast("array<bigint>")
+
+    def rare(term: Column) -> Column:
+        place = _counter(term, bits)
+        word = F.get(listed, F.shiftright(place, 6))
+        return F.expr("1L").bitwiseAND(F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)))) == 0
+
+    return rare
+
+
+def _counter(term: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(1 << bits)).cast("int")
+
+
+def frequent_term_stats(tokens: DataFrame, min_df: int, bits: int = FILTER_BITS) -> DataFrame:
+    """`term_stats` of the terms of at least `min_df` documents. Most others leave before the shuffle; the tokens are
+    read twice."""
+    rare = surely_rare(tokens, min_df, bits)
+    kept = tokens.withColumn("tokens", F.filter("tokens", lambda t: t.isNotNull() & ~rare(t)))
+    return term_stats(kept).where(F.col("df") >= min_df)
+
+
 def _exploded(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
     """One row per element. The outer form, because before an inner explode the optimizer adds a
     size filter that computes the whole array a second time."""

@@ -34,6 +34,7 @@ class LsaParams:
     limit_pages: int = 0
     infer_schema: bool = False
     split_pages: bool = True
+    prune_rare: bool = True
     clean_v1: bool = False
     lexicon: str = ""
     stopwords: str = ""
@@ -85,18 +86,21 @@ class LsaModel:
 
 
 def fit(
-    tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample: float = 1.0, max_bytes: int = BROADCAST_BYTES
+    tokens: DataFrame, k: int, min_df: int, vocab_size: int, cv_fit_sample: float = 1.0, max_bytes: int = BROADCAST_BYTES,
+    prune_rare: bool = False,
 ) -> LsaModel:
     """Fit on a table of token arrays with a unique doc_id; other columns are carried along.
 
     The tokens are read twice (vocabulary, counts), so they should be stored, not recomputed.
     With the vocabulary fitted on all rows its document frequencies also give the IDF weights,
     which saves a third pass. A sample is drawn by doc_id, so it does not depend on the layout. A right factor
-    above `max_bytes` comes from the block solver and stays a table.
+    above `max_bytes` comes from the block solver and stays a table. `prune_rare` reads the tokens once more to keep
+    terms below `min_df` out of the shuffle; the vocabulary is the same.
     """
     on_sample = 0 < cv_fit_sample < 1
     fit_rows = articles.sample_by_key(tokens, "doc_id", cv_fit_sample)
-    stats = stored(terms.term_stats(fit_rows), "term_stats")
+    stats = terms.frequent_term_stats(fit_rows, min_df) if prune_rare else terms.term_stats(fit_rows)
+    stats = stored(stats, "term_stats")
     vocab = stored(terms.vocabulary(stats, min_df, vocab_size), "vocabulary")
     names = terms.vocabulary_terms(vocab)
     tf = terms.term_frequency(tokens, names)
@@ -144,7 +148,7 @@ def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
 def run(spark: SparkSession, params: LsaParams) -> LsaModel:
     """Write the four result tables under `params.out` and return the model."""
     tokens = stored(article_tokens(spark, params), "tokens")
-    model = fit(tokens, params.k, params.min_df, params.vocab_size, params.cv_fit_sample)
+    model = fit(tokens, params.k, params.min_df, params.vocab_size, params.cv_fit_sample, prune_rare=params.prune_rare)
     artifacts.write_topics(model.topics(), params.out, params.format)
     artifacts.write_doc_embeddings(model.doc_embeddings(), params.out, params.format)
     artifacts.write_term_embeddings(model.term_embeddings(), params.out, params.format)

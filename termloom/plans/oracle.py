@@ -345,6 +345,7 @@ WHERE word <> ''""",
     "term_stats": f"""WITH {_TOK}
 SELECT token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY token""",
     "vocabulary_cut": f"WITH {_TOK}, {_vocab('vocab', 'tok', q.SMALL_VOCABULARY)} SELECT term_id, term, df, cf FROM vocab",
+    "vocabulary_pruned": f"WITH {_VOCAB} SELECT term_id, term, df, cf FROM vocab",
     "vocabulary": f"WITH {_VOCAB} SELECT term_id, term, df, cf FROM vocab",
     "term_frequency": f"WITH {_TFIDF} SELECT doc_id, term_id, tf FROM tf",
     "idf": f"WITH {_TFIDF} SELECT term_id, term, round(idf, 6) AS idf FROM idf",

@@ -100,6 +100,13 @@ def _fit_vocabulary(token_rows):
     return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
 
 
+def vocabulary_pruned(spark, sf_dir):
+    """The vocabulary from statistics that rare terms have left before the shuffle; a filter so small that it errs."""
+    token_rows = stored(_tokens(spark, sf_dir), "tokens")
+    stats = stored(terms.frequent_term_stats(token_rows, MIN_DF, bits=16), "term_stats")
+    return terms.vocabulary(stats, MIN_DF, VOCAB_SIZE)
+
+
 def _vocabulary(spark, sf_dir):
     return _fit_vocabulary(stored(_tokens(spark, sf_dir), "tokens"))
 
@@ -780,7 +787,7 @@ QUERIES = {
         xml_pages_roundtrip, xml_pages_by_file, xml_pages_by_record, xml_pages_inferred, xml_pages_inferred_by_file, xml_pages_odd_markup, articles_filter, article_text_nonempty, page_limit,
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
         collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
-        normalize_query, term_stats, vocabulary, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,
+        normalize_query, term_stats, vocabulary, vocabulary_pruned, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,
         doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, topic_strength_fitted, svd_gram, svd_truncated, svd_block, svd_block_join,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,

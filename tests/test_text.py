@@ -162,3 +162,20 @@ def test_normalize_like_python(spark):
     assert apply(spark, text.normalize_title, titles) == [t.strip().lower() for t in titles]
     queries = ["  Two  words here ", "", "\t", "one"]
     assert apply(spark, text.normalize_query, queries) == [q.strip().lower().split() for q in queries]
+
+
+@pytest.mark.parametrize("bits", [6, 10, 21])
+@pytest.mark.parametrize("min_df", [1, 3, 300])
+def test_rare_terms_leave_early(spark, bits, min_df):
+    """A filter of any size keeps every frequent term; the larger it is the fewer rare ones pass."""
+    rows = [(i, [f"w{j}" for j in range(i % 40 * 20, i % 40 * 20 + 20 + i % 3)] + ["all", None, "all"]) for i in range(400)]
+    tokens = spark.createDataFrame([*rows, (400, None), (401, [])], "doc_id long, tokens array<string>").repartition(4)
+    want = sorted(map(tuple, terms.term_stats(tokens).where(F.col("df") >= min_df).collect()))
+    assert sorted(map(tuple, terms.frequent_term_stats(tokens, min_df, bits).collect())) == want
+    rare = terms.surely_rare(tokens, min_df, bits)
+    words = terms.term_stats(tokens)
+    passed = words.where(~rare(F.col("term"))).count()
+    assert passed >= len(want)
+    if bits == 21:
+        assert passed <= len(want) + 2 or min_df > 255
+    assert terms.frequent_term_stats(tokens.where("false"), 2, bits).collect() == []
