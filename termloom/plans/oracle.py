@@ -402,6 +402,7 @@ docs_in AS (SELECT doc_id, 'doc ' || doc_id AS title, list(value ORDER BY topic)
     "neighbor_samples_v1": _neighbor_query("sample_v1"),
     "batch_knn": _PAIRS,
     "batch_knn_blocks": _PAIRS,
+    "batch_knn_pruned": _PAIRS,
     "resolve_title": f"""WITH {_VECS}, {_DOCS_BY_LABEL},
 found AS (SELECT doc_id, lower(trim(title)) AS title FROM docs_in WHERE contains(lower(trim(title)), 'label 3'))
 SELECT doc_id, title, CASE WHEN (SELECT count(*) FROM found) > 1 THEN 'many' ELSE 'one' END AS status FROM found""",

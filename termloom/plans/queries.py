@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text, vectors
-from termloom.operators import articles, block_svd, clusters, lsa, search, terms
+from termloom.operators import articles, block_svd, clusters, lsa, pruned_search, search, terms
 from termloom.plans import lsa_job
 from termloom.settings import scratch_path, stored
 from termloom.sources import artifacts, pages
@@ -542,6 +542,14 @@ def batch_knn_blocks(spark, sf_dir):
     return _all_pairs_search(spark, sf_dir, max_bytes=0, block_rows=512)
 
 
+def batch_knn_pruned(spark, sf_dir):
+    """The same search where bounds from pivots rule blocks out."""
+    table = _vector_terms(spark, sf_dir)
+    queries = table.select(F.col("term_id").alias("query_id"), "embedding")
+    pruned = pruned_search.pruned_nearest(queries, table, "query_id", "term_id", "term", exclude_self=True, block_rows=2048)
+    return _ranked(pruned.found, "query_id", "rank", "term_id", "term")
+
+
 def resolve_title(spark, sf_dir):
     return search.title_candidates(_vector_docs(spark, sf_dir), " LABEL 3 ")
 
@@ -791,7 +799,7 @@ QUERIES = {
         doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, topic_strength_fitted, svd_gram, svd_truncated, svd_block, svd_block_join,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,
-        neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, resolve_title, title_status, select_title,
+        neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, batch_knn_pruned, resolve_title, title_status, select_title,
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,
