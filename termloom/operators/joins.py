@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_SALTS = 16
+# Keys taken out of the shuffle at most, counters of the summary that names them, and the longest key that may be one.
+FREQUENT_KEYS, COUNTERS, KEY_BYTES = 512, 4096, 256
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner", salts: int | None = None) -> DataFrame:
-    """`rows.join(lookup, on, how)` with the rows of one key spread over `salts` tasks.
+def frequent_keys(rows: DataFrame, on: str) -> list[str]:
+    """The most frequent strings of a column, from one pass with bounded counters a task. A key with more than about
+    1/COUNTERS of the rows is among them."""
+    short = rows.where(F.octet_length(on) <= KEY_BYTES)
+    top = short.agg(F.expr(f"approx_top_k({on}, {FREQUENT_KEYS}, {COUNTERS})").alias("top"))
+    return [r["key"] for r in top.select(F.explode("top.item").alias("key")).collect() if r["key"] is not None]
 
-    `lookup` has one row per key and is repeated once per salt. By default there are as many salts as the
-    cluster runs tasks at a time, so a key that a third of the rows share keeps all of them busy.
+
+def split_join(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """`rows.join(lookup, on, how)` for inner, left, semi and anti joins, with the rows of frequent keys left in place.
+
+    `lookup` has one row per key, so that of the frequent keys, FREQUENT_KEYS at most, is broadcast; the other rows are
+    shuffled, and none of their keys has many. `rows` is read twice and should be stored.
     """
-    salts = salts or max(LEAST_SALTS, rows.sparkSession.sparkContext.defaultParallelism)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    frequent = frequent_keys(rows, on)
+    if not frequent:
+        return rows.join(lookup, on, how)
+    is_frequent = F.coalesce(F.col(on).isin(frequent), F.lit(False))
+    few = F.broadcast(lookup.where(F.col(on).isin(frequent)))
+    in_place = rows.where(is_frequent).join(few, on, how)
+    return in_place.unionByName(rows.where(~is_frequent).join(lookup, on, how))

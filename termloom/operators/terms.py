@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.text import tokenize, without_stopwords
-from termloom.operators.joins import salted_join
+from termloom.operators.joins import split_join
 from termloom.settings import BROADCAST_BYTES, LEXICON_ROWS, STOPWORD_ROWS, stored
 
 
 # Counters of the filter of rare terms, as a power of two: 16 MB a task while it counts, 256 KB on the driver.
 FILTER_BITS = 21
+# Bits of the filter of a word table, as powers of two: 8 KB to 16 MB.
+LEAST_LISTED_BITS, MOST_LISTED_BITS = 16, 27
+
+# Endings of English nouns and what stands in their place in the base form.
+NOUN_ENDINGS = (
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+)
 
 
 def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGLISH) -> DataFrame:
@@ -28,32 +35,36 @@ def tokenized(df: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGL
     return df.withColumn("tokens", without_stopwords(tokenize(F.col(text)), stopwords)).drop(text)
 
 
-def without_listed(df: DataFrame, stop_table: DataFrame) -> DataFrame:
+def without_listed(df: DataFrame, stop_table: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Drop the words of a stop-word table (column `word`) of any size; arrays keep their order.
 
-    NULL elements are dropped as well, NULL arrays stay NULL. Up to STOPWORD_ROWS words become a literal
-    set and no row moves. More are anti-joined; the result is the same.
+    NULL elements are dropped as well, NULL arrays stay NULL. Up to `most_rows` (STOPWORD_ROWS) words become a literal
+    set and no row moves. Of more words a filter is probed inside the arrays, and only tokens that hit it are joined;
+    the result is the same.
     """
+    most_rows = STOPWORD_ROWS if most_rows is None else most_rows
     words = stop_table.select(F.lower("word").alias("word")).dropna().distinct()
-    listed = [r.word for r in words.limit(STOPWORD_ROWS + 1).collect()]
-    if len(listed) <= STOPWORD_ROWS:
-        present = F.filter("tokens", lambda token: token.isNotNull())
+    listed = [r.word for r in words.limit(most_rows + 1).collect()]
+    present = F.filter("tokens", lambda token: token.isNotNull())
+    if len(listed) <= most_rows:
         return df.withColumn("tokens", without_stopwords(present, listed))
-    rows = _with_row_number(df)
-    tokens = numbered(rows, "tokens", "token", "_row").filter(F.col("token").isNotNull())
-    kept = salted_join(tokens, words.withColumnRenamed("word", "token"), "token", "left_anti")
-    return _regrouped(rows, kept)
+    rows = _with_row_number(df.withColumn("tokens", present))
+    words = stored(words.withColumnRenamed("word", "token"), "words")
+    found = split_join(stored(listed_tokens(rows, words), "hits"), words, "token", "left_semi")
+    return _changed(rows, found.select("_row", "pos", F.lit(None).cast("string").alias("token")))
 
 
-def lemmatized(df: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lemmatized(df: DataFrame, lexicon: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Replace each token by its lemma from a (form, lemma) table; unknown forms and NULLs stay.
 
-    A lexicon of at most LEXICON_ROWS rows and BROADCAST_BYTES bytes is sent to the executors and looked up
-    batch by batch, without moving the tokens. A larger one is joined; the result is the same.
+    A lexicon of at most `most_rows` (LEXICON_ROWS) rows and BROADCAST_BYTES bytes is sent to the executors and looked up
+    batch by batch, without moving the tokens. Of a larger one a filter is probed inside the arrays, and only tokens
+    that hit it are joined; the result is the same.
     """
+    most_rows = LEXICON_ROWS if most_rows is None else most_rows
     known = lexicon.select("form", "lemma").dropna()
-    first = known.limit(LEXICON_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length("form") + F.octet_length("lemma"))).first()
-    if first[0] > LEXICON_ROWS or (first[1] or 0) > BROADCAST_BYTES:
+    first = known.limit(most_rows + 1).agg(F.count("*"), F.sum(F.octet_length("form") + F.octet_length("lemma"))).first()
+    if first[0] > most_rows or (first[1] or 0) > BROADCAST_BYTES:
         return _lemmatized_by_join(df, known)
     lemma_of = df.sparkSession.sparkContext.broadcast(dict(sorted(map(tuple, known.collect()), reverse=True)))
 
@@ -79,10 +90,98 @@ def lemmatized(df: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _lemmatized_by_join(df: DataFrame, known: DataFrame) -> DataFrame:
-    forms = known.groupBy(F.col("form").alias("token")).agg(F.min("lemma").alias("lemma"))
+    forms = stored(known.groupBy(F.col("form").alias("token")).agg(F.min("lemma").alias("lemma")), "forms")
     rows = _with_row_number(df)
-    found = salted_join(numbered(rows, "tokens", "token", "_row"), forms, "token", "left")
-    return _regrouped(rows, found.select("_row", "pos", F.coalesce("lemma", "token").alias("token")))
+    found = split_join(stored(listed_tokens(rows, forms), "hits"), forms, "token")
+    return _changed(rows, found.select("_row", "pos", F.col("lemma").alias("token")))
+
+
+def detached_lemmas(forms: DataFrame, lexicon: DataFrame, endings=NOUN_ENDINGS) -> DataFrame:
+    """(form, lemma) for the forms (column `form`) that a lexicon of (form, lemma) rows does not list, by its own lemmas.
+
+    Each rule of `endings` takes an ending off a form and puts another in its place. A result counts if it is a lemma of the
+    lexicon; of several the shortest is taken, then the first by letter. Forms without one give no row, and so
+    do empty and NULL ones. The work is per distinct form; a text's tokens do not move.
+    """
+    listed = lexicon.select("form", "lemma").dropna()
+    lemmas = listed.select("lemma").distinct()
+    known = listed.select("form").union(lemmas).distinct()
+    unknown = forms.select("form").dropna().distinct().join(known, "form", "left_anti")
+    form = F.col("form")
+    changed = [
+        F.when(form.endswith(old) & (F.length(form) > len(old)), F.concat(F.left(form, F.length(form) - len(old)), F.lit(new)))
+        for old, new in endings
+    ]
+    candidates = _exploded(unknown, F.array_distinct(F.array_compact(F.array(*changed))), "lemma", "form")
+    best = F.min(F.struct(F.length("lemma").alias("length"), "lemma")).alias("best")
+    found = candidates.join(lemmas, "lemma", "left_semi").groupBy("form").agg(best)
+    return found.select("form", F.col("best.lemma").alias("lemma"))
+
+
+def listed_tokens(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(_row, pos, token) of the tokens that may stand in `words` (column token, no repeats): all that do and few others.
+
+    Two bits a word in a filter with 16 bits a word, at most 2^MOST_LISTED_BITS whatever the number of words. It is put
+    together in chunks and broadcast, 2^MOST_LISTED_BITS bits at most; the arrays of tokens are probed where they lie.
+    """
+    bits = min(MOST_LISTED_BITS, max(LEAST_LISTED_BITS, (16 * words.count()).bit_length()))
+    sent = rows.sparkSession.sparkContext.broadcast(_listed_bits(words, bits))
+    mask = (1 << bits) - 1
+
+    def probe(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = np.frombuffer(sent.value, dtype=np.uint8)
+
+        def holds(place):
+            return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+        for batch in batches:
+            row, tokens, hashes = batch.columns
+            flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = np.flatnonzero(holds(flat & mask) & holds((flat >> 32) & mask))
+            ends = np.cumsum(lengths)
+            of = np.searchsorted(ends, hit, side="right")
+            words = tokens.flatten().take(pa.array(hit))
+            pos = (hit - (ends[of] - lengths[of])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(of)), pa.array(pos), words], names=["_row", "pos", "token"])
+
+    hashed = rows.select("_row", "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return hashed.mapInArrow(probe, "_row long, pos int, token string").where("token is not null")
+
+
+def _listed_bits(words: DataFrame, bits: int) -> bytes:
+    """The filter of `listed_tokens`: each task sets its bits, chunks of them are united, the driver gets 2^bits bits."""
+    size, chunk = 1 << bits, 1 << min(bits, 20)
+
+    def mark(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = np.zeros(size, dtype=bool)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False)
+            table[hashes & (size - 1)] = True
+            table[(hashes >> 32) & (size - 1)] = True
+        parts = table.reshape(-1, chunk)
+        used = np.flatnonzero(parts.any(axis=1))
+        packed = [np.packbits(parts[i], bitorder="little").tobytes() for i in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], names=["chunk", "bitmap"])
+
+    def unite(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        bitmap = np.bitwise_or.reduce([np.frombuffer(b.as_py(), dtype=np.uint8) for b in parts["bitmap"]])
+        return pa.table({"chunk": parts["chunk"].slice(0, 1), "bitmap": pa.array([bitmap.tobytes()], pa.binary())})
+
+    marked = words.select(F.xxhash64("token").alias("hash")).mapInArrow(mark, "chunk int, bitmap binary")
+    bitmap = bytearray(size // 8)
+    for row in marked.groupBy("chunk").applyInArrow(unite, "chunk int, bitmap binary").collect():
+        bitmap[row["chunk"] * chunk // 8 : (row["chunk"] + 1) * chunk // 8] = row["bitmap"]
+    return bytes(bitmap)
 
 
 def _with_row_number(df: DataFrame) -> DataFrame:
@@ -90,13 +189,38 @@ def _with_row_number(df: DataFrame) -> DataFrame:
     return stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def _regrouped(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """Put token rows back into the arrays of the rows that they come from; NULL arrays stay NULL."""
-    arrays = rows.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))
-    empty = F.array().cast("array<string>")
-    filled = F.when(F.col("tokens").isNotNull(), F.coalesce(F.col("found.token"), empty))
-    columns = [filled.alias(c) if c == "tokens" else F.col(c) for c in df.columns if c != "_row"]
-    return df.join(arrays, "_row", "left").select(*columns)
+def _changed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """`rows` with the tokens at some places (_row, pos) replaced, or taken out where the new token is NULL."""
+    gathered = changes.groupBy("_row").agg(F.collect_list(F.struct("pos", "token")).alias("_found"))
+    met = rows.join(gathered, "_row", "left")
+    columns = [c for c in rows.columns if c != "_row"]
+    position = columns.index("tokens")
+
+    def change(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [batch.column(c) for c in columns]
+            tokens, found = kept[position], batch.column("_found")
+            flat, entries = tokens.flatten(), found.flatten()
+            lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            changed = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begins = np.cumsum(lengths) - lengths
+            place = np.repeat(begins, changed) + entries.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            new = entries.field("token")
+            source = np.arange(len(flat))
+            source[place] = len(flat) + np.arange(len(place))
+            gone = np.zeros(len(flat), dtype=bool)
+            gone[place] = new.is_null().to_numpy(zero_copy_only=False)
+            left = lengths - np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=gone, minlength=len(lengths)).astype(np.int64)
+            both = pa.concat_arrays([flat.cast(pa.string()), new.cast(pa.string())])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+            mask = tokens.is_null() if tokens.null_count else None
+            kept[position] = pa.ListArray.from_arrays(offsets, both.take(pa.array(source[~gone])), mask=mask)
+            yield pa.RecordBatch.from_arrays(kept, names=columns)
+
+    return met.select(*columns, "_found").mapInArrow(change, rows.select(*columns).schema)
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:

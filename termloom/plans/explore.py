@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from termloom.functions import vectors
 from termloom.functions.text import normalize_title
 from termloom.operators import clusters, lsa, search
+from termloom.operators.title_index import TitleIndex, title_index
 from termloom.settings import stored
 from termloom.sources import artifacts
 
@@ -57,8 +59,13 @@ class Explorer:
     def similar_terms(self, text: str, n: int = search.TOP_RESULTS) -> DataFrame:
         return search.similar_terms(self.terms, text, n)
 
+    @cached_property
+    def titles(self) -> TitleIndex:
+        """Built by the first title search."""
+        return title_index(self.docs)
+
     def find_document(self, text: str) -> DataFrame:
-        return search.title_candidates(self.docs, text)
+        return self.titles.candidates(text)
 
     def similar_docs(self, title: str, n: int = search.TOP_RESULTS) -> DataFrame:
         """Documents nearest to the first document of this title."""

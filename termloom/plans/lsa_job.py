@@ -37,6 +37,7 @@ class LsaParams:
     prune_rare: bool = True
     clean_v1: bool = False
     lexicon: str = ""
+    detach_endings: bool = False
     stopwords: str = ""
     cosine: str = vectors.SAMPLE_V3
     format: str = "json"
@@ -141,7 +142,11 @@ def article_tokens(spark: SparkSession, params: LsaParams) -> DataFrame:
         tokens = terms.without_listed(stored(tokens, "all_tokens"), words)
     if params.lexicon:
         lexicon = spark.read.schema("form string, lemma string").json(params.lexicon)
-        tokens = terms.lemmatized(stored(tokens, "raw_tokens"), lexicon)
+        tokens = stored(tokens, "raw_tokens")
+        if params.detach_endings:
+            forms = terms.numbered(tokens, "tokens", "form").select("form").distinct()
+            lexicon = lexicon.union(terms.detached_lemmas(forms, lexicon))
+        tokens = terms.lemmatized(tokens, lexicon)
     return tokens.select("doc_id", "title", "tokens")
 
 

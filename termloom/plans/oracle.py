@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.text import WIDE_SPACE
-from termloom.operators import clusters, search
+from termloom.operators import clusters, search, terms
 from termloom.plans import queries as q
 
 
@@ -298,6 +298,14 @@ def _title_status(text: str) -> str:
     )
 
 
+_WITHOUT_COMMON = f"""WITH {_tokens('tok', stopwords=())},
+common AS (SELECT token FROM tok GROUP BY token
+           HAVING count(DISTINCT doc_id) > {q.COMMON_SHARE} * (SELECT count(*) FROM documents))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, token
+FROM tok WHERE token NOT IN (SELECT token FROM common)"""
+_LEMMAS = f"""WITH {_TOK} SELECT doc_id, pos,
+CASE WHEN token LIKE '%s' AND length(token) >= 4 THEN substr(token, 1, length(token) - 1) ELSE token END AS token FROM tok"""
+
 _SEED_ROWS = ", ".join(f"({i}, {_quoted(s)})" for i, s in enumerate(q.SEEDS))
 _FIRST_OF_TITLE = """firsts AS (
   SELECT lower(trim(title)) AS title, min(doc_id) AS doc_id, arg_min(e, doc_id) AS e FROM docs_in GROUP BY 1)"""
@@ -329,13 +337,20 @@ SELECT * FROM vocab""",
 SELECT doc_id, regexp_replace(raw_text, {_quoted(_LINK)}, '\\1\\2', 'g') AS text FROM pages_in""",
     "tokens": f"WITH {_tokens('tok', stopwords=())} SELECT doc_id, pos, token FROM tok",
     "tokens_no_stopwords": f"WITH {_TOK} SELECT doc_id, pos, token FROM tok",
-    "tokens_custom_stopwords": f"""WITH {_tokens('tok', stopwords=())},
-common AS (SELECT token FROM tok GROUP BY token
-           HAVING count(DISTINCT doc_id) > {q.COMMON_SHARE} * (SELECT count(*) FROM documents))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, token
-FROM tok WHERE token NOT IN (SELECT token FROM common)""",
-    "lemmas": f"""WITH {_TOK} SELECT doc_id, pos,
-CASE WHEN token LIKE '%s' AND length(token) >= 4 THEN substr(token, 1, length(token) - 1) ELSE token END AS token FROM tok""",
+    "tokens_custom_stopwords": _WITHOUT_COMMON,
+    "tokens_custom_stopwords_join": _WITHOUT_COMMON,
+    "lemmas": _LEMMAS,
+    "lemmas_join": _LEMMAS,
+    "lemmas_detached": f"""WITH {_TOK}, forms AS (SELECT DISTINCT token AS form FROM tok),
+bases AS (SELECT form FROM forms WHERE NOT form LIKE '%s'),
+endings(old, new) AS (VALUES {', '.join(f"({_quoted(old)}, {_quoted(new)})" for old, new in terms.NOUN_ENDINGS)}),
+candidates AS (
+  SELECT form, substr(form, 1, length(form) - length(old)) || new AS lemma FROM forms JOIN endings ON form LIKE '%' || old
+  WHERE length(form) > length(old) AND form NOT IN (SELECT form FROM bases)),
+best AS (
+  SELECT form, lemma FROM candidates WHERE lemma IN (SELECT form FROM bases)
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY length(lemma), lemma) = 1)
+SELECT doc_id, pos, coalesce(lemma, token) AS token FROM tok LEFT JOIN best ON token = form""",
     "normalize_title": "SELECT doc_id, lower(source) || ' doc ' || doc_id AS title FROM documents",
     "normalize_query": f"""SELECT conv_id, turn,
   CAST(row_number() OVER (PARTITION BY conv_id, turn, role, text ORDER BY i) - 1 AS INTEGER) AS pos, word
@@ -406,6 +421,12 @@ docs_in AS (SELECT doc_id, 'doc ' || doc_id AS title, list(value ORDER BY topic)
     "resolve_title": f"""WITH {_VECS}, {_DOCS_BY_LABEL},
 found AS (SELECT doc_id, lower(trim(title)) AS title FROM docs_in WHERE contains(lower(trim(title)), 'label 3'))
 SELECT doc_id, title, CASE WHEN (SELECT count(*) FROM found) > 1 THEN 'many' ELSE 'one' END AS status FROM found""",
+    "resolve_title_index": f"""WITH titles AS (
+  SELECT doc_id, lower(regexp_replace(' ' || array_to_string(string_split(text, ' ')[1:{q.TITLE_WORDS}], ' ') || ' ',
+         '^{_SPACE_CLASS}+|{_SPACE_CLASS}+$', '', 'g')) AS title FROM documents),
+queries(query) AS (VALUES {', '.join(f"({_quoted(t.strip().lower())})" for t in q.TITLE_QUERIES)})
+SELECT doc_id, title, CASE WHEN count(*) OVER (PARTITION BY query) > 1 THEN 'many' ELSE 'one' END AS status, query
+FROM titles JOIN queries ON contains(title, query) WHERE length(query) >= 3""",
     "title_status": f"""WITH {_VECS}, {_DOCS_BY_LABEL}
 {' UNION ALL '.join(_title_status(t) for t in ('label 3', 'la', 'no such title'))}""",
     "select_title": f"""WITH {_VECS}, {_DOCS_BY_LABEL}, {_FIRST_OF_TITLE}

@@ -7,13 +7,13 @@ the vocabulary of `documents`.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text, vectors
-from termloom.operators import articles, block_svd, clusters, lsa, pruned_search, search, terms
+from termloom.operators import articles, block_svd, clusters, lsa, pruned_search, search, terms, title_index
 from termloom.plans import lsa_job
 from termloom.settings import scratch_path, stored
 from termloom.sources import artifacts, pages
@@ -35,6 +35,8 @@ FIT_FRACTION = 0.5
 COMMON_SHARE = 0.2
 TERM_QUERY = "unseen V7 v9"
 DOC_QUERY = "The de ci"
+TITLE_WORDS = 8
+TITLE_QUERIES = (" The ", "de l", "tion", "no such title", "la", "page 1")
 SEEDS = (*search.SEED_TERMS, "de", "que", "der")
 
 
@@ -275,24 +277,50 @@ def tokens_no_stopwords(spark, sf_dir):
     return _token_rows(_tokens(spark, sf_dir))
 
 
-def tokens_custom_stopwords(spark, sf_dir):
+def _without_common(spark, sf_dir, **bound):
     """Own list: the terms that more than a fifth of the documents use."""
     all_tokens = terms.tokenized(_documents(spark, sf_dir), stopwords=())
     documents = _table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     common = terms.term_stats(all_tokens).filter(F.col("df") > COMMON_SHARE * documents)
-    return _token_rows(terms.without_listed(all_tokens, common.select(F.col("term").alias("word"))))
+    return _token_rows(terms.without_listed(all_tokens, common.select(F.col("term").alias("word")), **bound))
+
+
+def tokens_custom_stopwords(spark, sf_dir):
+    return _without_common(spark, sf_dir)
+
+
+def tokens_custom_stopwords_join(spark, sf_dir):
+    """The same for a list beyond the bound of a literal set."""
+    return _without_common(spark, sf_dir, most_rows=0)
+
+
+def _forms(token_rows):
+    return terms.numbered(token_rows, "tokens", "form").select("form").distinct()
 
 
 def _suffix_lexicon(spark, sf_dir):
-    found = terms.numbered(_tokens(spark, sf_dir), "tokens", "form").select("form").distinct()
     plural = F.col("form").endswith("s") & (F.length("form") >= 4)
-    return found.filter(plural).select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
+    found = _forms(_tokens(spark, sf_dir)).filter(plural)
+    return found.select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
 
 
 def lemmas(spark, sf_dir):
     return _token_rows(terms.lemmatized(_tokens(spark, sf_dir), _suffix_lexicon(spark, sf_dir)))
 
 
+def lemmas_join(spark, sf_dir):
+    """The same for a lexicon beyond the broadcast bound."""
+    return _token_rows(terms.lemmatized(_tokens(spark, sf_dir), _suffix_lexicon(spark, sf_dir), most_rows=0))
+
+
+def lemmas_detached(spark, sf_dir):
+    """Lemmas by endings: the terms that do not end in s are the bases."""
+    token_rows = stored(_tokens(spark, sf_dir), "tokens")
+    forms = stored(_forms(token_rows), "forms")
+    bases = forms.where(~F.col("form").endswith("s")).select("form", F.col("form").alias("lemma"))
+    return _token_rows(terms.lemmatized(token_rows, terms.detached_lemmas(forms, bases)))
+
+
 def normalize_title(spark, sf_dir):
     padded = F.concat(F.lit(" \t"), F.upper("source"), F.lit(" Doc "), F.col("doc_id").cast("string"), F.lit(" \n"))
     return _table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(padded).alias("title"))
@@ -554,6 +582,19 @@ def resolve_title(spark, sf_dir):
     return search.title_candidates(_vector_docs(spark, sf_dir), " LABEL 3 ")
 
 
+def _document_titles(spark, sf_dir):
+    """The first words of every document as its title."""
+    first = F.substring_index(F.col("text"), " ", TITLE_WORDS)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), first, F.lit(" ")).alias("title"))
+
+
+def resolve_title_index(spark, sf_dir):
+    """Several searches of the titles through one index."""
+    index = title_index.title_index(_document_titles(spark, sf_dir))
+    found = [index.candidates(t).withColumn("query", F.lit(t.strip().lower())) for t in TITLE_QUERIES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def title_status(spark, sf_dir):
     docs = _vector_docs(spark, sf_dir)
     texts = ("label 3", "la", "no such title")
@@ -794,12 +835,14 @@ QUERIES = {
     for query in (
         xml_pages_roundtrip, xml_pages_by_file, xml_pages_by_record, xml_pages_inferred, xml_pages_inferred_by_file, xml_pages_odd_markup, articles_filter, article_text_nonempty, page_limit,
         page_hash_sample, page_sample, vocab_fit_sample, clean_markup, clean_markup_html, clean_markup_v1,
-        collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, lemmas, normalize_title,
+        collapse_links, tokens, tokens_no_stopwords, tokens_custom_stopwords, tokens_custom_stopwords_join, lemmas, lemmas_join, lemmas_detached,
+        normalize_title,
         normalize_query, term_stats, vocabulary, vocabulary_pruned, term_frequency, idf, tfidf, top_tfidf_terms, topics_fixed_v,
         doc_embed_fixed_v, doc_embed_fixed_v_join, term_embed_fixed_v, topic_strength, topic_strength_fitted, svd_gram, svd_truncated, svd_block, svd_block_join,
         svd_similar_docs, svd_invariants, topics, doc_embeddings, doc_embeddings_us, term_embeddings,
         vector_norms, cosine_modes, similar_terms, similar_docs, docs_for_term, neighbor_samples,
-        neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, batch_knn_pruned, resolve_title, title_status, select_title,
+        neighbor_samples_cut, vocabulary_cut, neighbor_samples_v1, batch_knn, batch_knn_blocks, batch_knn_pruned, resolve_title, resolve_title_index,
+        title_status, select_title,
         first_of_title, seed_semi, json_artifacts_roundtrip, parquet_roundtrip, merged_shards, literal_table,
         index_range, list_files, dedupe_terms, kmeans_assign, kmeans_update, cluster_sizes, silhouette,
         silhouette_blocks, silhouette_squared, silhouette_labelings, pick_k, normalize_rows, cluster_radius,

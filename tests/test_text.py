@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text
 from termloom.functions.stopwords import ENGLISH
-from termloom.operators import terms
+from termloom.operators import joins, terms
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -179,3 +179,47 @@ def test_rare_terms_leave_early(spark, bits, min_df):
     if bits == 21:
         assert passed <= len(want) + 2 or min_df > 255
     assert terms.frequent_term_stats(tokens.where("false"), 2, bits).collect() == []
+
+
+def test_listed_tokens_hold_every_listed_one_and_few_others(spark):
+    rows = spark.read.parquet(DOCUMENTS).select(F.col("doc_id").alias("_row"), text.tokenize(F.col("text")).alias("tokens"))
+    every = terms.numbered(rows, "tokens", "token", "_row")
+    words = every.select("token").distinct().where("xxhash64(token) % 20 = 0")
+    listed = every.join(words, "token", "left_semi")
+    hits = terms.listed_tokens(rows, words)
+    assert listed.select("_row", "pos", "token").exceptAll(hits).isEmpty()
+    assert hits.exceptAll(every.select("_row", "pos", "token")).isEmpty()
+    assert listed.count() <= hits.count() < every.count() / 4
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join_is_the_join(spark, how):
+    keys = ["hot"] * 300 + [f"k{i}" for i in range(60)] + [None, "", "x" * 300] * 3
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, token string")
+    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("x" * 300, 3), ("absent", 4)], "token string, v int")
+    same = [sorted(map(str, f.collect())) for f in (rows.join(lookup, "token", how), joins.split_join(rows, lookup, "token", how))]
+    assert same[0] == same[1] and same[0]
+    assert joins.split_join(rows.limit(0), lookup, "token", how).count() == 0
+
+
+def test_frequent_keys_are_not_shuffled(spark):
+    rows = spark.range(1000).selectExpr("case when id % 3 = 0 then 'hot' else string(id) end as token", "id")
+    lookup = spark.range(100).selectExpr("string(id) as token", "id as v")
+    assert "hot" in joins.frequent_keys(rows, "token")
+    plan = joins.split_join(rows, lookup, "token")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "strategy=broadcast" in plan
+
+
+@pytest.mark.parametrize(
+    "form, lemma",
+    [
+        ("dogs", "dog"), ("glasses", "glass"), ("wolves", "wolf"), ("boxes", "box"), ("churches", "church"), ("dishes", "dish"),
+        ("firemen", "fireman"), ("cities", "city"), ("cats", None), ("dog", None), ("s", None), ("", None), ("axes", "ax"), ("mice", None),
+    ],
+)
+def test_detached_lemmas(spark, form, lemma):
+    bases = ["dog", "glass", "wolf", "box", "church", "dish", "fireman", "city", "axe", "ax"]
+    lexicon = spark.createDataFrame([(b, b) for b in bases] + [("mice", "mouse"), (None, "x")], "form string, lemma string")
+    forms = spark.createDataFrame([(form,), (form,), (None,)], "form string")
+    found = [r.lemma for r in terms.detached_lemmas(forms, lexicon).collect()]
+    assert found == ([lemma] if lemma else [])
