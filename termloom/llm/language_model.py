@@ -8,8 +8,8 @@ expectation-maximisation on held-out counts: a fold of the training texts is sco
    among them. Chunks are stored once; all later passes read them.
 2. Every chunk asks for the corpus counts of its distinct n-grams. Requests are dealt by ranges of the hash, so a
    frequent n-gram is one entry per chunk, however often it occurs. The answers are stored.
-3. Chunks of the fold meet their answers and give a table of estimates on a fixed grid, the only thing that the
-   driver gets: its size does not depend on the corpus. EM runs on that table.
+3. Chunks of the fold meet their answers and give a table of estimates on a grid of at most CELLS cells, the only thing
+   that the driver gets, whatever the corpus and the order. A cell carries the sums of its estimates. EM runs on that table.
 4. All chunks meet their answers and are scored.
 
 N-grams are told apart by 64-bit hashes, of which orders above 1 keep 56 bits.
@@ -32,9 +32,12 @@ ORDER = 3
 CHUNK_TOKENS = 1_250_000
 TEXT_BLOCK = 2 << 20
 BUCKETS_PER_PARTITION = 4
-# Context frequencies 0, 1, 2-3, 4-7, ... and the steps of the grid per doubling of an estimate.
+# Context frequencies 0, 1, 2-3, 4-7, ...; cells of the grid at most, for any order and corpus; levels of an estimate at most.
 FREQUENCIES = 24
-STEPS = 4
+CELLS = 1 << 20
+LEVELS = 256
+# Estimates of 2^-LOWEST of the uniform one, and smaller ones, share a level.
+LOWEST = 10
 ROUNDS = 200
 FLOOR = 1e-9
 TRAIN, FOLD, HELD_OUT = 0, 1, 2
@@ -225,8 +228,26 @@ def _estimates(chunk: Chunk, counts: list[np.ndarray], tokens: int) -> tuple[np.
     return bucket, estimates
 
 
+def levels(order: int) -> int:
+    """Levels of each estimate on the grid: FREQUENCIES * levels ** order is at most CELLS."""
+    most = LEVELS
+    while FREQUENCIES * most**order > CELLS:
+        most -= 1
+    return most
+
+
+def _level(estimate: np.ndarray, vocabulary: int, most: int) -> np.ndarray:
+    """Level 0 for no estimate, then equal steps of its logarithm up to 1."""
+    out = np.zeros(len(estimate), dtype=np.int64)
+    some = estimate > 0
+    share = (np.log2(estimate[some] * (vocabulary + 1)) + LOWEST) / (np.log2(vocabulary + 1) + LOWEST)
+    out[some] = 1 + np.clip(np.floor(share * (most - 1)), 0, most - 2).astype(np.int64)
+    return out
+
+
 def _grid(order: int, tokens: int, vocabulary: int):
     """Fold tokens with the fold's counts deleted, summed up on a grid of context bucket and estimates."""
+    most = levels(order)
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["cell", "n", *(f"f{i}" for i in range(1, 8))]
@@ -236,10 +257,7 @@ def _grid(order: int, tokens: int, vocabulary: int):
         bucket, estimates = _estimates(chunk, [t - f for t, f in zip(total, fold, strict=True)], tokens)
         cell = bucket.astype(np.int64)
         for estimate in estimates:
-            level = np.zeros(len(cell), dtype=np.int64)
-            some = estimate > 0
-            level[some] = 1 + np.clip(np.floor(STEPS * np.log2(estimate[some] * (vocabulary + 1))) + 40, 0, 253).astype(np.int64)
-            cell = cell * 256 + level
+            cell = cell * most + _level(estimate, vocabulary, most)
         cells, where = np.unique(cell, return_inverse=True)
         columns = {"cell": cells, "n": np.bincount(where)}
         for i in range(1, 8):
@@ -336,10 +354,10 @@ def lm_scores(
 
     grid = met(_grid(order, train_tokens - tokens.get(FOLD, 0), vocabulary), GRID_SCHEMA, f"role = {FOLD}")
     sums = [F.sum(c).alias(c) for c in ("n", *(f"f{i}" for i in range(1, order + 1)))]
-    cells = grid.groupBy("cell").agg(*sums).toPandas()  # cells of a fixed grid
+    cells = grid.groupBy("cell").agg(*sums).toPandas()  # CELLS rows at most
     n = cells["n"].to_numpy(dtype=np.float64)
     parts = [np.full(len(n), 1.0 / (vocabulary + 1))] + [cells[f"f{i}"].to_numpy(dtype=np.float64) / np.maximum(n, 1) for i in range(1, order + 1)]
-    weights = mixture_weights(cells["cell"].to_numpy(dtype=np.int64) >> (8 * order), n, np.stack(parts, axis=1))
+    weights = mixture_weights(cells["cell"].to_numpy(dtype=np.int64) // levels(order) ** order, n, np.stack(parts, axis=1))
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     found = met(_scores(order, train_tokens, vocabulary, weights), schema)

@@ -98,3 +98,25 @@ def test_edges(edges, nothing):
     nobody = lm.lm_scores(edges, F.lit(True), F.lit(False)).collect()
     assert {r["train_tokens"] for r in nobody} == {0} and all(math.isfinite(r["score"]) for r in nobody)
     assert lm.lm_scores(nothing, F.lit(False), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("order", range(1, 8))
+def test_the_grid_is_bounded(order):
+    most = lm.levels(order)
+    assert most >= 3 and lm.FREQUENCIES * most**order <= lm.CELLS
+    estimates = np.array([0.0, 1e-300, 1e-9, 1e-5, 0.3, 1.0])
+    for vocabulary in (0, 1, 50_000, 10**10):
+        level = lm._level(estimates, vocabulary, most)
+        assert level[0] == 0 and level[1] == 1 and level[-1] == most - 1 and (np.diff(level) >= 0).all()
+
+
+def test_coarse_cells_keep_the_held_out_score(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 10
+
+    def score():
+        return lm.lm_scores(docs, rest == 0, rest == 1).where("held_out").agg(F.sum("score")).first()[0]
+
+    bounded = score()
+    monkeypatch.setattr(lm, "CELLS", 1 << 40)
+    assert bounded == pytest.approx(score(), rel=2e-3)
