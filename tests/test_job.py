@@ -96,6 +96,16 @@ def test_capped_job_is_parallel_and_stable(spark, out):
     assert found[0] == found[1] == found[2] and 0 < len(found[0]) <= 60
 
 
+def test_endings_are_detached_by_the_lexicon(spark, tmp_path):
+    lexicon = tmp_path / "lexicon.json"
+    lexicon.write_text(json.dumps({"form": "city", "lemma": "city"}) + "\n" + json.dumps({"form": "mice", "lemma": "mouse"}) + "\n")
+    rows = [("A", 0, None, "Cities, mice & dogs of the city")]
+    made = spark.createDataFrame(rows, "title string, ns int, redirect struct<_title:string>, raw_text string")
+    pages.write_pages(made, f"{tmp_path}/dump")
+    params = lsa_job.LsaParams(input=f"{tmp_path}/dump", out="", lexicon=str(lexicon), detach_endings=True)
+    assert lsa_job.article_tokens(spark, params).first().tokens == ["city", "mouse", "dogs", "city"]
+
+
 def test_result_rows_without_keys_are_in_file_order(spark, tmp_path):
     """A title's first document and a term's last vector go by part file and place, not by size of the split."""
     folder = tmp_path / "keyless"
