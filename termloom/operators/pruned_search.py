@@ -4,10 +4,12 @@
    that angle into a ring around it; rings with many rows are cut by hash. These blocks are stored.
 2. Angles obey the triangle inequality, so the angles of a query to the pivots bound the angle to every block. Each
    query first meets the blocks with the smallest bounds until they hold n rows: the n-th score found is its threshold.
-3. It then meets the remaining blocks whose bound reaches the threshold. All others cannot change its result.
+3. Queries are dealt to groups, and the blocks that a bound of any of its queries reaches pass by each group
+   (`streams`). A query is multiplied with those blocks whose bound reaches its own threshold, which rises on the way.
+   All others cannot change its result.
 
-Only the pivots and one line a block travel to every task; both are bounded. Pairs of a query and a block are
-shuffled by block and group of queries, so no task holds more than a block and a group.
+Only the pivots and one line a block travel to every task; both are bounded. What is shuffled is the queries with
+their few first blocks, and the table once for each group at most: pairs of a query and a block stay in the tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions import vectors
-from termloom.operators.search import SCORE_DIGITS, TOP_RESULTS, _best_of
+from termloom.operators.search import SCORE_DIGITS, TOP_RESULTS, Best, held_bytes
+from termloom.operators.streams import group_count, streamed
 from termloom.settings import BROADCAST_BYTES, stored
 
 # Most pivots, whatever the table's size; rings of this angle (radians) around each.
@@ -32,8 +35,8 @@ ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 
 @dataclass(frozen=True)
 class PrunedSearch:
-    """`found` is the result of the search, `met` the blocks that each query met with their rows, `rows` the size of
-    the table."""
+    """`found` is the result of the search, `met` the number of rows that each query was multiplied with, `rows` the
+    size of the table."""
 
     found: DataFrame
     met: DataFrame
@@ -91,22 +94,34 @@ def pruned_nearest(
         "block", F.pmod(F.xxhash64("_key"), F.col("parts")).alias("part"), "_key", "_label", "embedding"
     )
     asked = stored(asked.withColumn("_query_row", F.monotonically_increasing_id()), "queries")
-    groups = max(1, -(-asked.count() // block_rows))
+    count = asked.count()
+    groups = group_count(asked, count, held_bytes(width or 0, n))
     asked = asked.withColumn("_group", F.pmod(F.xxhash64("_query_row"), F.lit(groups)).cast("int"))
 
     need = n + 1 if exclude_self else n
     bounds = _Bounds(spark, centers, layout, mode)
     first = stored(bounds.nearest(asked, need), "first_blocks")
-    best = stored(_scored(first, in_blocks, n, mode, exclude_self, ties), "first_found")
     rounded = F.round("score", SCORE_DIGITS)
     order = Window.partitionBy("_query_row").orderBy(rounded.desc())
-    ranked = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-    reached = ranked.where(F.col("place") == n).select("_query_row", F.col("score").alias("least"))
-    # At most `need` blocks a query: each has a row.
-    done = first.groupBy("_query_row").agg(F.collect_list("block").alias("done"))
-    held = asked.join(done, "_query_row").join(reached, "_query_row", "left")
-    later = stored(bounds.reaching(held), "later_blocks")
-    partial = best.unionByName(_scored(later, in_blocks, n, mode, exclude_self, ties))
+    best = _scored(first, in_blocks, n, mode, exclude_self, ties, block_rows)
+    ranked = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == n)
+    reached = ranked.select("_query_row", F.col("score").alias("least"))
+    held = stored(asked.join(reached, "_query_row", "left"), "thresholds")
+    # At most groups x blocks pairs.
+    wanted = bounds.reaching(held, groups).groupBy("block").agg(F.collect_set("_group").alias("_groups"))
+    passing = in_blocks.join(F.broadcast(wanted), "block").withColumn("_group", F.explode("_groups"))
+    schema = (
+        T.StructType().add("_query_row", "long").add("_query", asked.schema["_query"].dataType)
+        .add("_key", rows.schema["_key"].dataType).add("_label", rows.schema["_label"].dataType)
+        .add("score", "double").add("rows", "long")
+    )
+
+    def start(mine):
+        return _Searched(mine, bounds, n, mode, exclude_self, ties)
+
+    passing = passing.select("_group", "block", "_key", "_label", "embedding")
+    later = stored(streamed(held, passing, groups, start, schema, ("block",)), "later_found")
+    partial = later.where("rows is null")
 
     tie = F.col("_key").asc() if ties == "key" else F.col("_label").desc()
     final = Window.partitionBy("_query").orderBy(rounded.desc(), tie, "_key")
@@ -115,7 +130,7 @@ def pruned_nearest(
         found.select(
             F.col("_query").alias(query_key), "rank", F.col("_key").alias(key), F.col("_label").alias(label), "score"
         ),
-        first.unionByName(later).select("_query_row", "block", "rows"),
+        first.select("_query_row", "rows").unionByName(later.where("rows is not null").select("_query_row", "rows")),
         total,
     )
 
@@ -219,24 +234,29 @@ class _Bounds:
         met = self._met(asked, asked.columns, choose)
         return met.select(*asked.columns, "block", F.lit(0).cast("long").alias("part"), "rows")
 
-    def reaching(self, held: DataFrame) -> DataFrame:
-        """All parts of the blocks whose bounds reach the n-th score so far, less those that `nearest` gave."""
+    def reaching(self, held: DataFrame, groups: int) -> DataFrame:
+        """(_group, block): the blocks whose bounds reach the n-th score so far of a query of the group."""
+        sent, epsilon = self.sent, self.epsilon
 
-        def choose(batch, bound, parts, size):
+        def run(batches):
             import numpy as np
+            import pyarrow as pa
 
-            least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)
-            reach = bound >= np.where(np.isnan(least), -np.inf, least)[:, None] - SCORE_SLACK
-            begin = np.zeros(bound.shape, dtype=np.int64)
-            done = batch.column("done")
-            rows = np.repeat(np.arange(len(bound)), done.value_lengths().to_numpy())
-            begin[rows, done.flatten().to_numpy()] = 1
-            i, j = np.nonzero(reach & (begin < parts[None, :]))
-            return i, j, begin[i, j]
+            centers, pivot, _, _, *shape = sent.value
+            reached = np.zeros((groups, len(pivot)), dtype=bool)
+            step = max(1, 500_000 // (len(pivot) + len(centers) + 1))
+            for whole in batches if len(pivot) else ():
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    unit, length = _unit(_matrix(batch.column("_wanted")))
+                    reach = _upper(unit, length, centers, pivot, *shape, epsilon) >= _thresholds(batch.column("least"))[:, None] - SCORE_SLACK
+                    group = batch.column("_group").to_numpy()
+                    for number in np.unique(group):
+                        reached[number] |= reach[group == number].any(axis=0)
+            group, block = np.nonzero(reached)
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(block.astype(np.int32))], names=["_group", "block"])
 
-        kept = [c for c in held.columns if c not in ("least", "done")]
-        part = F.explode(F.sequence(F.col("begin"), F.col("parts") - 1))
-        return self._met(held, kept, choose).select(*kept, "block", part.alias("part"), "rows")
+        return held.select("_wanted", "least", "_group").mapInArrow(run, "_group int, block int")
 
     def _met(self, asked: DataFrame, kept: list[str], choose) -> DataFrame:
         sent, epsilon = self.sent, self.epsilon
@@ -282,26 +302,83 @@ def _upper(unit, length, centers, pivot, low, high, norm, most, epsilon):
     return np.where((pivot < 0)[None, :] | (length == 0)[:, None], 0.0, bound)
 
 
-def _scored(met: DataFrame, in_blocks: DataFrame, n: int, mode: str, exclude_self: bool, ties: str) -> DataFrame:
-    """The n best rows of every query in every block that it meets."""
-    best_of = _best_of(n, mode, exclude_self, ties)
-    schema = (
-        T.StructType().add("_query_row", "long").add("_query", met.schema["_query"].dataType)
-        .add("_key", in_blocks.schema["_key"].dataType).add("_label", in_blocks.schema["_label"].dataType)
-        .add("score", "double")
-    )
-    # A block is copied once for each group of queries that meets it.
-    used = met.select("block", "part", F.col("_group").alias("_by")).distinct()
-    copies = in_blocks.join(used, ["block", "part"])
+def _thresholds(column):
+    """The scores to reach, without one the least."""
+    import numpy as np
+
+    least = column.to_numpy(zero_copy_only=False).astype(float)
+    return np.where(np.isnan(least), -np.inf, least)
+
+
+class _Searched:
+    """A group of queries that the blocks of the table pass by; see `streams.streamed`."""
+
+    def __init__(self, queries, bounds, n: int, mode: str, exclude_self: bool, ties: str):
+        import numpy as np
+
+        queries = queries.rename_columns(["embedding" if c == "_wanted" else c for c in queries.column_names])
+        least = _thresholds(queries.column("least").combine_chunks())
+        self.best = Best(queries, n, mode, exclude_self, ties, cut=np.where(np.isneginf(least), least, np.round(least, SCORE_DIGITS)))
+        self.unit, self.length = _unit(self.best.q)
+        self.bounds, self.met = bounds, np.zeros(len(self.unit), dtype=np.int64)
+
+    def meet(self, rows) -> None:
+        import numpy as np
+
+        centers, pivot, _, _, *shape = self.bounds.sent.value
+        self.kinds = [rows.schema.field(c).type for c in ("_key", "_label")]
+        blocks = rows.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        low, everyone = 0, np.arange(len(self.unit))
+        for start, end in zip(edges, edges[1:]):
+            line = slice(blocks[start], blocks[start] + 1)
+            # Only the pivot of this block; the block of zero rows has none.
+            center = centers[max(pivot[blocks[start]], 0) :][:1]
+            upper = _upper(self.unit, self.length, center, np.minimum(pivot[line], 0), *(c[line] for c in shape), self.bounds.epsilon)[:, 0]
+            some = np.flatnonzero(upper >= self.best.cut - SCORE_SLACK)
+            if len(some) == len(everyone):
+                # Goes with the blocks after it that all queries meet as well.
+                continue
+            if low < start:
+                self._multiply(rows.slice(low, start - low), everyone)
+            self._multiply(rows.slice(start, end - start), some)
+            low = end
+        if low < len(blocks):
+            self._multiply(rows.slice(low), everyone)
+
+    def _multiply(self, rows, some) -> None:
+        self.met[some] += rows.num_rows
+        self.best.meet(rows, some)
+
+    def finish(self):
+        import pyarrow as pa
+
+        names = ["_query_row", "_query", "_key", "_label", "score", "rows"]
+        for found in self.best.finish("_query_row", "_query"):
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], names=names)
+        # And a line for each query with the number of rows it met.
+        queries = self.best.queries
+        columns = [queries.column(c).combine_chunks() for c in ("_query_row", "_query")]
+        columns += [pa.nulls(queries.num_rows, t) for t in (*self.kinds, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(self.met)], names=names)
+
+
+def _scored(met: DataFrame, in_blocks: DataFrame, n: int, mode: str, exclude_self: bool, ties: str, block_rows: int) -> DataFrame:
+    """(_query_row, score): the n best scores of every query in every block that it meets."""
+    # A block is copied once for each `block_rows` queries that meet it.
+    lots = met.groupBy("block", "part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_lots"))
+    asked = met.join(F.broadcast(lots), ["block", "part"]).withColumn("_by", F.pmod(F.xxhash64("_query_row"), F.col("_lots")).cast("int"))
+    copies = in_blocks.join(F.broadcast(lots), ["block", "part"]).withColumn("_by", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)))
 
     def meet(queries, rows):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        found = best_of(queries.rename_columns({"_wanted": "embedding"}), rows)
-        place = pc.index_in(found.column("_query"), pc.unique(queries.column("_query")))
-        row = queries.column("_query_row").take(place)
-        return pa.table([row, *found.columns], names=schema.names)
+        best = Best(queries.rename_columns({"_wanted": "embedding"}), n, mode, exclude_self, ties)
+        for batch in rows.combine_chunks().to_batches():
+            best.meet(batch)
+        found = [pa.Table.from_batches([b]).select(["_query_row", "score"]) for b in best.finish("_query_row")]
+        return pa.concat_tables(found) if found else pa.table({"_query_row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    by_block = copies.groupBy("block", "part", "_by")
-    return met.groupBy("block", "part", "_group").cogroup(by_block).applyInArrow(meet, schema)
+    by_block = copies.select("block", "part", "_by", "_key", "_label", "embedding").groupBy("block", "part", "_by")
+    by_query = asked.select("block", "part", "_by", "_query_row", "_query", "_wanted").groupBy("block", "part", "_by")
+    return by_query.cogroup(by_block).applyInArrow(meet, "_query_row long, score double")

@@ -54,3 +54,13 @@ def test_fewer_rows_than_asked_for_nulls_and_empty_tables(spark):
     for a, b in ((queries, corpus.limit(0)), (queries.limit(0), corpus), (queries, corpus.where("term_id = 2"))):
         hits = pruned_nearest(a, b, "query_id", "term_id", "term", 2)
         assert hits.found.count() == a.where("embedding is not null").count() * b.count()
+
+
+def test_pairs_of_query_and_block_stay_in_the_tasks(spark):
+    """Vectors without clusters, where no block can be ruled out: a query is sent to its first blocks and to one group."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"t{i}", rng.normal(size=32).tolist()) for i in range(400)]
+    corpus = table(spark, rows).repartition(4)
+    found = pruned_nearest(asked(corpus, 400), corpus, "query_id", "term_id", "term", 3, pivots=40, block_rows=16)
+    assert answered(found) == brute([(i, v) for i, _, v in rows], rows, 3, vectors.VIEWER, False, "label")
+    assert found.met.count() <= 400 * (3 + 1) and found.share() > 0.9
