@@ -115,3 +115,20 @@ def test_neighbor_samples(terms):
 def test_seeds_keep_their_order(spark, terms):
     seeds = spark.createDataFrame([(0, "fig"), (1, "nope"), (2, "apple")], "seed_pos int, term string")
     assert [r.term for r in search.known_seeds(seeds, terms).collect()] == ["fig", "apple"]
+
+
+def test_copies_of_the_table_do_not_grow_with_its_blocks(spark, monkeypatch):
+    """120 rows in blocks of two pass by a group for each core and more, not by 60 blocks."""
+    copied = []
+    spread = search.to_every_group
+    monkeypatch.setattr(search, "to_every_group", lambda rows, groups: (copied.append(groups), spread(rows, groups))[1])
+    rng = np.random.default_rng(7)
+    rows = [(i, f"t{i}", rng.normal(size=3).tolist()) for i in range(120)]
+    corpus = table(spark, rows)
+    queries = corpus.selectExpr("term_id as query_id", "embedding")
+    found = search.batch_nearest(queries, corpus, "query_id", "term_id", "term", 4, max_bytes=0, block_rows=2)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.term_id)
+    assert got == brute([(i, v) for i, _, v in rows], rows, 4, vectors.VIEWER, False, "label")
+    assert copied == [2 * spark.sparkContext.defaultParallelism]
