@@ -207,3 +207,21 @@ def test_oversampled_starts(spark, monkeypatch):
     for k in (10, 30):
         assert cost(fits[k]) < 1.1 * cost(one_by_one[k])
     assert np.array_equal(clusters._weighted_centers(np.ones((3, 2)), np.ones(3), 2, 0), np.ones((2, 2)))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_bytes": 0, "block_rows": 7}])
+def test_silhouette_of_many_clusters_from_one_split(spark, monkeypatch, sizes):
+    """Sums by runs where clusters are many; points of one split are scored by all cores, in groups that follow the cores."""
+    rng = np.random.default_rng(4)
+    x, labels = rng.normal(size=(200, 5)) + 100, np.arange(200) % 50
+    rows = [(i, x[i].tolist(), int(labels[i])) for i in range(200)]
+    points = spark.createDataFrame(rows, "id long, features array<double>, label int").coalesce(1)
+    counted = []
+    groups_of = clusters.group_count
+    monkeypatch.setattr(clusters, "group_count", lambda *a: (counted.append(groups_of(*a)), counted[-1])[1])
+    found = clusters.silhouette(points, ["label"], "id", **sizes)
+    assert found.first().silhouette == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    cores = spark.sparkContext.defaultParallelism
+    assert counted == ([2 * cores] if sizes else [])
+    slotted = points.selectExpr("features", "array(label) as _slots")
+    assert clusters._distance_sums(slotted, 50, 1, sizes.get("max_bytes", 1 << 20), sizes.get("block_rows")).rdd.getNumPartitions() == 2 * cores
