@@ -31,6 +31,8 @@ from termloom.settings import stored
 ORDER = 3
 CHUNK_TOKENS = 1_250_000
 TEXT_BLOCK = 2 << 20
+# Tokens of a chunk whose estimates are held at a time; a longer text is one run.
+RUN_TOKENS = 1 << 17
 BUCKETS_PER_PARTITION = 4
 # Context frequencies 0, 1, 2-3, 4-7, ...; cells of the grid at most, for any order and corpus; levels of an estimate at most.
 FREQUENCIES = 24
@@ -73,6 +75,17 @@ def _unsmall(data: bytes) -> np.ndarray:
     return _unplanes(data[1:], data[0]).astype(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the place of each key among them, with little memory on the way."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(keys), dtype=np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], where
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of one role each from the rows of a task."""
     open_rows: dict[int, list] = {TRAIN: [], FOLD: [], HELD_OUT: []}
@@ -82,7 +95,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(role):
         nonlocal number
         ids, lengths, tokens = (np.concatenate(x) for x in zip(*open_rows[role], strict=True))
-        vocabulary, places = np.unique(tokens, return_inverse=True)
+        vocabulary, places = _distinct(tokens)
         open_rows[role], open_tokens[role] = [], 0
         number += 1
         return pa.RecordBatch.from_pydict({
@@ -113,18 +126,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """Tokens of a chunk and its distinct n-grams of every order."""
+    """Tokens of a chunk and its distinct n-grams of every order, without `keys` only their places."""
 
-    def __init__(self, vocabulary: bytes, places: bytes, lengths: bytes, order: int):
+    def __init__(self, vocabulary: bytes, places: bytes, lengths: bytes, order: int, keys: bool = True):
         self.words = _unplanes(vocabulary, 8)
-        self.tokens = _unsmall(places)
+        self.tokens = _unsmall(places).astype(np.int32)
         self.lengths = _unsmall(lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
         # Distinct keys and the place among them of each token's n-gram, by order.
         self.keys, self.places = [self.words], [self.tokens]
         if order > 1:
             hashes = self.words[self.tokens]
-            place = np.arange(len(hashes)) - np.repeat(self.first, self.lengths)
+            place = np.arange(len(hashes), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.lengths)
             history = hashes.copy()
             for back in range(1, order):
                 before = np.empty_like(hashes)
@@ -132,10 +145,20 @@ class Chunk:
                 before[place < back] = END
                 history *= np.uint64(0xD1342543DE82EF95)
                 history += before
-                key, where = np.unique(mixed(history.copy()) >> np.uint64(8), return_inverse=True)
-                self.keys.append(key)
+                del before
+                key, where = _distinct(mixed(history.copy()) >> np.uint64(8))
+                self.keys.append(key if keys else None)
                 self.places.append(where)
 
+    def runs(self):
+        """Runs of whole texts with about RUN_TOKENS tokens: (text from, to, token from, to)."""
+        ends, at = np.cumsum(self.lengths), 0
+        while at < len(ends):
+            low = int(ends[at] - self.lengths[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + RUN_TOKENS, side="right")))
+            yield at, to, low, int(ends[to - 1])
+            at = to
+
     def counts(self, level: int) -> np.ndarray:
         return np.bincount(self.places[level], minlength=len(self.keys[level]))
 
@@ -177,7 +200,7 @@ def _answers(table: pa.Table) -> pa.Table:
     level = rows[0]["level"]
     grams = [_unplanes(r["grams"], _width(level)) for r in rows]
     sizes = np.cumsum([0, *map(len, grams)])
-    distinct, where = np.unique(np.concatenate(grams), return_inverse=True)
+    distinct, where = _distinct(np.concatenate(grams))
     total = np.zeros(len(distinct), dtype=np.int64)
     fold = np.zeros(len(distinct), dtype=np.int64)
     for i, row in enumerate(rows):
@@ -202,7 +225,7 @@ def _answers(table: pa.Table) -> pa.Table:
 def _met(chunks: pa.Table, answers: pa.Table, order: int):
     """The chunk with the counts of its distinct n-grams: all of the training texts, and those of the fold."""
     row = chunks.to_pylist()[0]
-    chunk = Chunk(row["vocabulary"], row["places"], row["lengths"], order)
+    chunk = Chunk(row["vocabulary"], row["places"], row["lengths"], order, keys=False)
     total, fold = [], []
     found = sorted(answers.select(["level", "bucket", "total", "fold"]).to_pylist(), key=lambda r: (r["level"], r["bucket"]))
     for level in range(order):
@@ -212,17 +235,18 @@ def _met(chunks: pa.Table, answers: pa.Table, order: int):
     return row, chunk, total, fold
 
 
-def _estimates(chunk: Chunk, counts: list[np.ndarray], tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bucket of each token's longest context, and the maximum-likelihood estimates from order 1 up."""
-    own = [c[p] for c, p in zip(counts, chunk.places, strict=True)]
+def _estimates(chunk: Chunk, counts: list[np.ndarray], tokens: int, run: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For a run of texts the bucket of each token's longest context, and the maximum-likelihood estimates from order 1 up."""
+    text, to, low, high = run
+    own = [c[p[low:high]] for c, p in zip(counts, chunk.places, strict=True)]
     ends = np.flatnonzero(chunk.words == END)
     texts = int(counts[0][ends[0]]) if len(ends) else 0
     estimates = [own[0] / max(tokens, 1)]
-    context = np.full(len(chunk.tokens), tokens, dtype=np.int64)
+    context = np.full(high - low, tokens, dtype=np.int64)
     for level in range(1, len(own)):
-        context = np.empty(len(chunk.tokens), dtype=np.int64)
+        context = np.empty(high - low, dtype=np.int64)
         context[1:] = own[level - 1][:-1]
-        context[chunk.first] = texts
+        context[chunk.first[text:to] - low] = texts
         estimates.append(own[level] / np.maximum(context, 1))
     bucket = np.minimum(np.frexp(context.astype(np.float64))[1], FREQUENCIES - 1)
     return bucket, estimates
@@ -254,14 +278,21 @@ def _grid(order: int, tokens: int, vocabulary: int):
         if not chunks.num_rows:
             return pa.table({n: pa.array([], pa.int64() if n in ("cell", "n") else pa.float64()) for n in names})
         _, chunk, total, fold = _met(chunks, answers, order)
-        bucket, estimates = _estimates(chunk, [t - f for t, f in zip(total, fold, strict=True)], tokens)
-        cell = bucket.astype(np.int64)
-        for estimate in estimates:
-            cell = cell * most + _level(estimate, vocabulary, most)
+        rest = [t - f for t, f in zip(total, fold, strict=True)]
+        parts = []
+        for run in chunk.runs():
+            bucket, estimates = _estimates(chunk, rest, tokens, run)
+            cell = bucket.astype(np.int64)
+            for estimate in estimates:
+                cell = cell * most + _level(estimate, vocabulary, most)
+            found, where = np.unique(cell, return_inverse=True)
+            parts.append((found, np.bincount(where), *(np.bincount(where, weights=e) for e in estimates)))
+        cell, *sums = (np.concatenate(c) for c in zip(*parts, strict=True))
         cells, where = np.unique(cell, return_inverse=True)
-        columns = {"cell": cells, "n": np.bincount(where)}
+        n, *sums = (np.bincount(where, weights=c) for c in sums)
+        columns = {"cell": cells, "n": n.astype(np.int64)}
         for i in range(1, 8):
-            columns[f"f{i}"] = np.bincount(where, weights=estimates[i - 1]) if i <= order else np.zeros(len(cells))
+            columns[f"f{i}"] = sums[i - 1] if i <= order else np.zeros(len(cells))
         return pa.table(columns).select(names).cast(pa.schema([(n, pa.int64() if n in ("cell", "n") else pa.float64()) for n in names]))
 
     return run
@@ -302,20 +333,26 @@ def _scores(order: int, tokens: int, vocabulary: int, weights: np.ndarray):
         if not chunks.num_rows:
             return pa.table({n: pa.array([], kind) for n, kind in names.items()})
         row, chunk, total, _ = _met(chunks, answers, order)
-        known = total[0][chunk.tokens]
-        base = np.log10((known + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-        bucket, estimates = _estimates(chunk, total, tokens)
-        own = weights[bucket]
-        probability = own[:, 0] / (vocabulary + 1)
-        for i, estimate in enumerate(estimates, 1):
-            probability += own[:, i] * estimate
+        parts = []
+        for run in chunk.runs():
+            text, to, low, high = run
+            known = total[0][chunk.tokens[low:high]]
+            base = np.log10((known + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+            bucket, estimates = _estimates(chunk, total, tokens, run)
+            own = weights[bucket]
+            probability = own[:, 0] / (vocabulary + 1)
+            for i, estimate in enumerate(estimates, 1):
+                probability += own[:, i] * estimate
+            first = chunk.first[text:to] - low
+            parts.append([np.add.reduceat(c, first) for c in ((known > 0).astype(np.int64), base, np.log10(probability))])
+        n_known, base, score = (np.concatenate(c) for c in zip(*parts, strict=True))
         columns = {
             "id": row["ids"],
             "held_out": np.full(len(chunk.lengths), row["role"] == HELD_OUT),
             "n_tokens": chunk.lengths,
-            "n_known": np.add.reduceat((known > 0).astype(np.int64), chunk.first),
-            "base_score": np.add.reduceat(base, chunk.first),
-            "score": np.add.reduceat(np.log10(probability), chunk.first),
+            "n_known": n_known,
+            "base_score": base,
+            "score": score,
         }
         return pa.table({n: pa.array(columns[n], kind) for n, kind in names.items()})
 

@@ -120,3 +120,32 @@ def test_coarse_cells_keep_the_held_out_score(spark, monkeypatch):
     bounded = score()
     monkeypatch.setattr(lm, "CELLS", 1 << 40)
     assert bounded == pytest.approx(score(), rel=2e-3)
+
+
+def test_a_chunk_is_scored_in_short_runs():
+    """Scoring a chunk of 400,000 tokens takes less memory than its estimates would all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from termloom.llm import language_model as lm
+
+    rng = np.random.default_rng(1)
+    tokens, lengths = rng.integers(1, 5000, 400_000).astype(np.uint64), np.full(2000, 200)
+    vocabulary, places = np.unique(tokens, return_inverse=True)
+    assert all(np.array_equal(a, b) for a, b in zip(lm._distinct(tokens), (vocabulary, places)))
+    row = {"chunk": 1, "role": 0, "ids": list(range(2000)), "lengths": lm._small(lengths), "vocabulary": lm._planes(vocabulary, 8), "places": lm._small(places)}
+    chunk = lm.Chunk(row["vocabulary"], row["places"], row["lengths"], 3)
+    answers = [{"level": i, "bucket": 0, "total": lm._small(chunk.counts(i)), "fold": b""} for i in range(3)]
+    score = lm._scores(3, len(tokens), len(vocabulary), np.full((lm.FREQUENCIES, 4), 0.25))
+    tables = pa.Table.from_pylist([row]), pa.Table.from_pylist(answers)
+    tracemalloc.start()
+    found = score(*tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35_000_000 and sum(found["n_tokens"].to_pylist()) == 400_000
+    # One run for each text gives the same.
+    lm.RUN_TOKENS, most = 1, lm.RUN_TOKENS
+    again = score(*tables)
+    lm.RUN_TOKENS = most
+    assert np.allclose(found["score"].to_numpy(), again["score"].to_numpy()) and found["n_known"] == again["n_known"]
