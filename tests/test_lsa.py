@@ -124,3 +124,27 @@ def test_projection_of_dense_rows_and_repeated_keys(spark, max_bytes):
     for broken in (table.where("term_id <> 1"), table.union(table)):
         with pytest.raises(ValueError, match="gaps"):
             lsa.project_documents(features, broken, max_bytes=max_bytes)
+
+
+def test_batches_are_worked_on_in_slices(spark):
+    """More rows than a slice, with NULL and empty arrays at the seams, in lemmas and in projections."""
+    import pyarrow as pa
+
+    from termloom.operators import lsa, streams, terms
+
+    whole = pa.RecordBatch.from_pydict({"a": list(range(2 * streams.SLICE_ROWS + 5))})
+    parts = list(streams.sliced([whole, whole.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [streams.SLICE_ROWS, streams.SLICE_ROWS, 5]
+    rows = [(i, None if i % 1024 == 0 else [] if i % 1024 == 1 else [f"w{i % 7}", "x", f"w{i % 3}"]) for i in range(2600)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").coalesce(1)
+    lexicon = spark.createDataFrame([("w1", "one"), ("x", "ex")], "form string, lemma string")
+    lemma = {"w1": "one", "x": "ex"}
+    want = {i: t and [lemma.get(w, w) for w in t] for i, t in rows}
+    for most in (None, 0):
+        assert dict(map(tuple, terms.lemmatized(df, lexicon, most_rows=most).collect())) == want
+    tf = terms.term_frequency(df.where("tokens is not null"), ["x", "w0", "w1"])
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 1.0])], "term_id int, v array<double>")
+    place = {"x": (1.0, 0.0), "w0": (0.0, 2.0), "w1": (3.0, 1.0)}
+    want = {i: [sum(place.get(w, (0.0, 0.0))[j] for w in t) for j in range(2)] for i, t in rows if t is not None}
+    for bound in ({}, {"max_bytes": 0}):
+        assert dict(map(tuple, lsa.project_documents(tf, v, "tf", **bound).collect())) == want
