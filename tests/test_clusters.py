@@ -225,3 +225,11 @@ def test_silhouette_of_many_clusters_from_one_split(spark, monkeypatch, sizes):
     assert counted == ([2 * cores] if sizes else [])
     slotted = points.selectExpr("features", "array(label) as _slots")
     assert clusters._distance_sums(slotted, 50, 1, sizes.get("max_bytes", 1 << 20), sizes.get("block_rows")).rdd.getNumPartitions() == 2 * cores
+
+
+def test_fits_use_all_cores_for_one_split(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(60)], "id long, features array<double>").coalesce(1)
+    found, step = [], clusters._lloyd_step
+    monkeypatch.setattr(clusters, "_lloyd_step", lambda rows, fits: (found.append(rows.rdd.getNumPartitions()), step(rows, fits))[1])
+    clusters.fit_centers(points, "id", [2], restarts=1, max_iterations=2)
+    assert set(found) == {spark.sparkContext.defaultParallelism}
