@@ -148,3 +148,17 @@ def test_batches_are_worked_on_in_slices(spark):
     want = {i: [sum(place.get(w, (0.0, 0.0))[j] for w in t) for j in range(2)] for i, t in rows if t is not None}
     for bound in ({}, {"max_bytes": 0}):
         assert dict(map(tuple, lsa.project_documents(tf, v, "tf", **bound).collect())) == want
+
+
+def test_the_solver_passes_over_cached_vectors(tiny, monkeypatch):
+    """What RowMatrix reads is cached, not a table that it would decode in every pass; it is released afterwards."""
+    seen, solve = [], lsa.RowMatrix.computeSVD
+
+    def watched(self, *args, **named):
+        rows = self._java_matrix_wrapper._java_model.rows()
+        seen.extend([rows, rows.getStorageLevel().useMemory()])
+        return solve(self, *args, **named)
+
+    monkeypatch.setattr(lsa.RowMatrix, "computeSVD", watched)
+    assert np.allclose(lsa.truncated_svd(tiny, 2).singular_values, [np.sqrt(5), 1.0])
+    assert seen[1] and not seen[0].getStorageLevel().useMemory()
