@@ -223,3 +223,14 @@ def test_detached_lemmas(spark, form, lemma):
     forms = spark.createDataFrame([(form,), (form,), (None,)], "form string")
     found = [r.lemma for r in terms.detached_lemmas(forms, lexicon).collect()]
     assert found == ([lemma] if lemma else [])
+
+
+def test_term_stats_count_slices_before_the_shuffle(spark):
+    """Tasks count by slices of documents, not one row per token; nulls, empty and repeated documents."""
+    rows = [(["a", "b", None, "a"],), (None,), ([],), ([None],), (["b"],), (["b"],), (["", "ä"],)] + [(["a", "z"] * 3,)] * 2000
+    tokens = spark.createDataFrame(rows, "tokens array<string>").repartition(2)
+    found = terms.term_stats(tokens)
+    assert sorted(map(tuple, found.collect())) == [("", 1, 1), ("a", 2001, 6002), ("b", 3, 3), ("z", 2000, 6000), ("ä", 1, 1)]
+    assert terms.term_stats(tokens.where("false")).collect() == []
+    slices = found._jdf.queryExecution().optimizedPlan().toString()
+    assert slices.count("MapInArrow") == 1 and slices.index("Generate") < slices.index("MapInArrow")
