@@ -225,6 +225,31 @@ def test_detached_lemmas(spark, form, lemma):
     assert found == ([lemma] if lemma else [])
 
 
+def test_frequent_listed_words_change_in_place(spark, monkeypatch):
+    """Only the tokens of words that are not frequent are moved; a lemma that is a form too is not looked up again."""
+    moved, changed = [], terms._changed
+
+    def counted(rows, changes):
+        moved.append(changes.count())
+        return changed(rows, changes)
+
+    monkeypatch.setattr(terms, "_changed", counted)
+    monkeypatch.setattr(joins, "FREQUENT_KEYS", 1)
+    rows = [(1, ["a", "b", None, "a", "c"]), (2, None), (3, []), (4, ["c", "a", "a", "d"]), (4, ["a"] * 20), (None, ["x", "b"])]
+    df = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+
+    def found(frame):
+        return sorted(map(str, ((r.doc_id, r.tokens) for r in frame.collect())))
+
+    listed = spark.createDataFrame([("A",), ("b",), ("b",), (None,), ("zz",)], "word string")
+    without = [(i, t and [w for w in t if w is not None and w not in ("a", "b")]) for i, t in rows]
+    assert found(terms.without_listed(df, listed, most_rows=0)) == sorted(map(str, without))
+    lexicon = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "e"), ("d", None)], "form string, lemma string")
+    lemmas = [(i, t and [{"a": "b", "b": "c"}.get(w, w) for w in t]) for i, t in rows]
+    assert found(terms.lemmatized(df, lexicon, most_rows=0)) == sorted(map(str, lemmas))
+    assert moved == [2, 2]
+
+
 def test_term_stats_count_slices_before_the_shuffle(spark):
     """Tasks count by slices of documents, not one row per token; nulls, empty and repeated documents."""
     rows = [(["a", "b", None, "a"],), (None,), ([],), ([None],), (["b"],), (["b"],), (["", "ä"],)] + [(["a", "z"] * 3,)] * 2000
