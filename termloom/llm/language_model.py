@@ -6,8 +6,8 @@ expectation-maximisation on held-out counts: a fold of the training texts is sco
 
 1. Texts become chunks of a bounded number of tokens: the chunk's distinct word hashes and, per token, a place
    among them. Chunks are stored once; all later passes read them.
-2. Every chunk asks for the corpus counts of its distinct n-grams. Requests are dealt by ranges of the hash, so a
-   frequent n-gram is one entry per chunk, however often it occurs. The answers are stored.
+2. Every chunk asks for the corpus counts of its distinct n-grams, as steps between sorted hashes. Requests are dealt by
+   ranges of the hash, so a frequent n-gram is one entry per chunk, however often it occurs. The answers are stored.
 3. Chunks of the fold meet their answers and give a table of estimates on a grid of at most CELLS cells, the only thing
    that the driver gets, whatever the corpus and the order. A cell carries the sums of its estimates. EM runs on that table.
 4. All chunks meet their answers and are scored.
@@ -75,6 +75,15 @@ def _unsmall(data: bytes) -> np.ndarray:
     return _unplanes(data[1:], data[0]).astype(np.int64)
 
 
+def _rising(keys: np.ndarray) -> bytes:
+    """Sorted keys, at least one: the first, and the steps from each to the next, which take fewer bytes than keys."""
+    return keys[:1].astype("<u8").tobytes() + _small(np.diff(keys))
+
+
+def _unrising(data: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate((np.frombuffer(data[:8], dtype="<u8"), _unplanes(data[9:], data[8]))), dtype=np.uint64)
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order and the place of each key among them, with little memory on the way."""
     order = np.argsort(keys)
@@ -187,7 +196,7 @@ def _requests(order: int, buckets: int):
                         "level": pa.array([level] * len(some), pa.int32()),
                         "chunk": pa.array([row["chunk"]] * len(some), pa.int64()),
                         "role": pa.array([row["role"]] * len(some), pa.int32()),
-                        "grams": [_planes(keys[edges[b] : edges[b + 1]], _width(level)) for b in some],
+                        "grams": [_rising(keys[edges[b] : edges[b + 1]]) for b in some],
                         "counts": [_small(counts[edges[b] : edges[b + 1]]) for b in some],
                     })
 
@@ -198,7 +207,7 @@ def _answers(table: pa.Table) -> pa.Table:
     """Corpus counts for every request of one bucket and order, and the number of distinct training n-grams."""
     rows = table.to_pylist()
     level = rows[0]["level"]
-    grams = [_unplanes(r["grams"], _width(level)) for r in rows]
+    grams = [_unrising(r["grams"]) for r in rows]
     sizes = np.cumsum([0, *map(len, grams)])
     distinct, where = _distinct(np.concatenate(grams))
     total = np.zeros(len(distinct), dtype=np.int64)
@@ -376,9 +385,9 @@ def lm_scores(
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     role = F.when(held_out, HELD_OUT).when(fold, FOLD).otherwise(TRAIN).cast("int")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("text"), role.alias("role"))
-    chunks = stored(rows.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
+    chunks = stored(rows.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks", "zstd")
     asked = chunks.select("chunk", "role", "lengths", "vocabulary", "places").mapInArrow(_requests(order, buckets), REQUEST_SCHEMA)
-    answers = stored(asked.groupBy("bucket", "level").applyInArrow(_answers, ANSWER_SCHEMA), "counts")
+    answers = stored(asked.groupBy("bucket", "level").applyInArrow(_answers, ANSWER_SCHEMA), "counts", "zstd")
 
     sizes = chunks.groupBy("role").agg(F.sum("tokens").alias("n")).collect()  # three rows at most
     tokens = {r["role"]: r["n"] for r in sizes}

@@ -149,3 +149,19 @@ def test_a_chunk_is_scored_in_short_runs():
     again = score(*tables)
     lm.RUN_TOKENS = most
     assert np.allclose(found["score"].to_numpy(), again["score"].to_numpy()) and found["n_known"] == again["n_known"]
+
+
+def test_requests_are_steps_between_hashes():
+    """Sorted hashes come back from their steps, and the steps of a chunk's requests take fewer bytes than the hashes."""
+    edges = [np.array(x, dtype=np.uint64) for x in ([5], [0, 2**64 - 1], [2**63 - 1, 2**63, 2**63 + 7], range(300))]
+    assert all((lm._unrising(lm._rising(keys)) == keys).all() for keys in edges)
+    tokens = np.sort(lm.mixed(np.arange(1, 50_001, dtype=np.uint64)))
+    places, lengths = np.arange(len(tokens)), np.array([20_000, 30_000])
+    row = [("vocabulary", lm._planes(tokens, 8)), ("places", lm._small(places)), ("lengths", lm._small(lengths)), ("chunk", 1), ("role", 0)]
+    batch = lm.pa.RecordBatch.from_pylist([dict(row)])
+    chunk = lm.Chunk(*(dict(row)[k] for k in ("vocabulary", "places", "lengths")), 3)
+    asked = [r for b in lm._requests(3, 8)(iter([batch])) for r in b.to_pylist()]
+    for level, keys in enumerate(chunk.keys):
+        grams = [r["grams"] for r in sorted(asked, key=lambda r: r["bucket"]) if r["level"] == level]
+        assert (np.concatenate([lm._unrising(g) for g in grams]) == keys).all()
+        assert sum(map(len, grams)) < 0.95 * lm._width(level) * len(keys)
