@@ -36,6 +36,23 @@ END = 0xE000
 _SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE_RUN = regex.compile(f"[{_SPACES}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
+# Code points that the regex module calls letters or numbers and the tokenizers library, by an older table, does not.
+_NEWER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+    "\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    "\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128"
+    "\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
+    "\U0003d000-\U0003fc3f"
+)
+# Capitals that the tokenizers library lower-cases and str.lower() does not know.
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_IS_NEWER = regex.compile(f"[{_NEWER}]")
+_HAS_NEWER = regex.compile(f"[{_NEWER}{''.join(map(chr, _CAPITALS))}]")
 
 
 def _byte_units() -> list[str]:
@@ -157,11 +174,18 @@ class Encoder:
             self.pieces.put(piece, found)
         return found
 
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk.isascii() or not _HAS_NEWER.search(chunk):
+            return self.pattern.findall(chunk)
+        # Newer letters and numbers are cut as marks, for which 0x00 stands.
+        chunk = chunk.translate(_CAPITALS)
+        return [chunk[m.start() : m.end()] for m in self.pattern.finditer(_IS_NEWER.sub("\0", chunk))]
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         if chunk.isascii() and chunk.isalpha():
             ids = self._piece(chunk)
         else:
-            ids = [i for piece in self.pattern.findall(chunk) for i in self._piece(piece)]
+            ids = [i for piece in self._pieces(chunk) for i in self._piece(piece)]
         found = packed(ids), self.decode(ids)
         self.chunks.put(chunk, found)
         return found

@@ -54,6 +54,12 @@ def test_any_text(encoder, library, text):
     same(encoder, library, text)
 
 
+def test_letters_newer_than_the_library(encoder, library):
+    for letter in "\u1c89\ua7dc\U00016ea0\u088f\u0558\u058b\u0c5c\ua7ce\U00010940\U000323b0\U0003d000":
+        for text in (f":{letter}", f"a{letter}b {letter}1", f"{letter}{letter}'s"):
+            same(encoder, library, text)
+
+
 def test_caches_change_nothing(encoder, library, monkeypatch):
     monkeypatch.setattr(bpe, "PAIRS", 3)
     encoder.chunks.size = encoder.pieces.size = 2
