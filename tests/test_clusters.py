@@ -233,3 +233,32 @@ def test_fits_use_all_cores_for_one_split(spark, monkeypatch):
     monkeypatch.setattr(clusters, "_lloyd_step", lambda rows, fits: (found.append(rows.rdd.getNumPartitions()), step(rows, fits))[1])
     clusters.fit_centers(points, "id", [2], restarts=1, max_iterations=2)
     assert set(found) == {spark.sparkContext.defaultParallelism}
+
+
+def test_a_pass_reads_blocks_of_points(spark):
+    """A pass gets some vectors as one value; of equal centres the first has the points, a centre without points stays."""
+    x = np.random.default_rng(9).normal(size=(2500, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_hash long, features array<double>")
+    rows = clusters._packed(points.coalesce(1))
+    assert rows.count() == 3
+    assert clusters._variance(clusters._packed(points.repartition(5))) == pytest.approx(x.var(axis=0, ddof=1).mean(), rel=1e-12)
+    fits = {(2, 0): x[:2], (2, 1): x[[5, 5]], (3, 0): np.array([*x[7:9], [1e3] * 3])}
+    moved, costs = clusters._lloyd_step(rows, fits)
+    for name, centers in fits.items():
+        label = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        want = np.array([x[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centers)])
+        assert np.allclose(moved[name], want, atol=1e-12) and costs[name] == pytest.approx(cost(x, centers))
+    assert np.array_equal(moved[2, 1][1], x[5]) and np.array_equal(moved[3, 0][2], [1e3] * 3)
+
+
+def test_points_pass_by_in_the_order_of_their_labels(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x, a, b = rng.normal(size=(300, 4)), rng.integers(0, 100, 300), rng.integers(0, 3, 300)
+    points = spark.createDataFrame([(i, v.tolist(), int(a[i]), int(b[i])) for i, v in enumerate(x)], "id long, features array<double>, a int, b int")
+    orders, streamed = [], clusters.streamed
+    monkeypatch.setattr(clusters, "streamed", lambda *args, order: (orders.append(order), streamed(*args, order=order))[1])
+    for sizes in ({}, {"max_bytes": 0}, {"max_bytes": 0, "block_rows": 16}):
+        found = {r.labeling: r.silhouette for r in clusters.silhouette(points, ["a", "b"], "id", **sizes).collect()}
+        assert found["a"] == pytest.approx(brute_silhouette(x, a), abs=1e-9)
+        assert found["b"] == pytest.approx(brute_silhouette(x, b), abs=1e-9)
+    assert len(orders) == 2
