@@ -262,3 +262,10 @@ def test_points_pass_by_in_the_order_of_their_labels(spark, monkeypatch):
         assert found["a"] == pytest.approx(brute_silhouette(x, a), abs=1e-9)
         assert found["b"] == pytest.approx(brute_silhouette(x, b), abs=1e-9)
     assert len(orders) == 2
+
+
+@pytest.mark.parametrize("odd", [None, [1.0, None], [1.0]])
+def test_fits_of_odd_vectors_fail(spark, odd):
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(15)] + [(15, odd)], "id long, features array<double>")
+    with pytest.raises(Exception, match="one length and no null values"):
+        clusters.fit_centers(points.coalesce(1), "id", [2], restarts=1)
